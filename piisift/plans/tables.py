@@ -86,9 +86,10 @@ def doc_files(spark: SparkSession, sf_dir: str, balance: bool = True) -> DataFra
         (created + F.expr("make_dt_interval(0, 0, 0, octet_length(text))")).alias("modified"),
         "text")
     supported = F.lower("ext_raw").isin(*SUPPORTED_EXTENSIONS)
-    return (out.withColumn("extension", F.lower("ext_raw")).drop("ext_raw")
+    return (out.withColumn("extension", F.lower("ext_raw"))
             .withColumn("status", F.when(~supported, "SKIPPED")
-                        .when(F.col("text").isNull(), "ERROR").otherwise("SCANNED")))
+                        .when(F.col("text").isNull(), "ERROR").otherwise("SCANNED"))
+            .drop("ext_raw"))
 
 
 def run_id_of(scan_path):
