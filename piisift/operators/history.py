@@ -178,7 +178,7 @@ def parse_external(payloads: DataFrame, col: str = "payload") -> DataFrame:
     id → a new UUID, risk counts from the supplied findings' levels.
     """
     r = payloads.select("*", F.from_json(F.col(col), EXTERNAL_RUN).alias("__r"))
-    status = F.upper(F.trim(F.col("__r.status")))
+    status = F.upper(F.col("__r.status"))  # no trim: ' completed' is invalid
     start = F.try_to_timestamp(F.col("__r.startTime"))
     end = F.try_to_timestamp(F.col("__r.endTime"))
     reason = (F.when(F.col("__r").isNull(), "Request body is required.")

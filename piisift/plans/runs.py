@@ -316,3 +316,136 @@ def history_restore(spark, sf_dir):
     "start_time, end_time), 0), 0) as ms from run_summary) s", "run_summary"))
 def history_view(spark, sf_dir):
     return history.history_view(run_summary_df(spark, sf_dir))
+
+
+# ---- H3–H7: history as of a point in time ----------------------------------------------
+# Events of every run (started at start_time, finished at end_time).  The
+# state "as of" the first finish has that run COMPLETED and every run not
+# finished by then still RUNNING.  The cut-off is one aggregated row
+# (broadcast-safe).
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = runs(spark, sf_dir)
+    ev = F.explode(F.array(
+        F.struct(F.lit("started").alias("event"), F.col("start_time").alias("at"),
+                 (F.unix_micros(F.col("start_time").cast("timestamp")) * 2).alias("seq")),
+        F.struct(F.lit("finished").alias("event"), F.col("end_time").alias("at"),
+                 (F.unix_micros(F.col("end_time").cast("timestamp")) * 2 + 1).alias("seq"))))
+    return r.select("run_id", "scan_path", "report_path", ev.alias("e")).select(
+        "run_id", "e.seq", "e.event", "e.at", "scan_path", "report_path")
+
+
+def events_as_of_first_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = run_events(spark, sf_dir)
+    cutoff = runs(spark, sf_dir).agg(F.min("end_time").alias("__cutoff"))
+    return ev.crossJoin(F.broadcast(cutoff)).filter(F.col("at") <= F.col("__cutoff")).drop("__cutoff")
+
+
+def state_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folded = history.fold_events(events_as_of_first_end(spark, sf_dir))
+    return folded.withColumn("seq", F.unix_micros(F.col("start_time").cast("timestamp")))
+
+
+_HIST_CTES = (
+    "events as (select run_id, 'started' as event, start_time as ev_ts, scan_path, report_path from runs "
+    "union all select run_id, 'finished' as event, end_time as ev_ts, scan_path, report_path from runs),\n"
+    "cutoff as (select min(end_time) as t from runs),\n"
+    "ev as (select e.* from events e, cutoff c where e.ev_ts <= c.t),\n"
+    "folded as (select run_id, min(ev_ts) filter (where event = 'started') as start_time, "
+    "max(ev_ts) filter (where event = 'finished') as end_time, any_value(scan_path) as scan_path, "
+    "case when bool_or(event = 'finished') then 'COMPLETED' else 'RUNNING' end as status, "
+    "max(report_path) filter (where event = 'finished') as report_path from ev group by run_id)")
+
+
+def hist_sql(body: str) -> str:
+    return run_ctes(body, "runs").replace("\n" + body, ",\n" + _HIST_CTES + "\n" + body)
+
+
+_FOLD_COLS = "run_id, start_time, end_time, scan_path, status, report_path"
+
+
+@register("history_fold", hist_sql(f"select {_FOLD_COLS} from folded"))
+def history_fold(spark, sf_dir):
+    return history.fold_events(events_as_of_first_end(spark, sf_dir)).select(*_FOLD_COLS.split(", "))
+
+
+@register("history_current", hist_sql(
+    f"select {_FOLD_COLS}, true as any_running from folded where status = 'RUNNING' "
+    "order by start_time desc limit 1"))
+def history_current(spark, sf_dir):
+    cur = history.current_run(state_as_of(spark, sf_dir), seq="seq")
+    return cur.select(*_FOLD_COLS.split(", "), "any_running")
+
+
+@register("history_list", hist_sql(
+    f"select {_FOLD_COLS} from (select {_FOLD_COLS} from runs) r order by start_time desc, run_id desc"))
+def history_list(spark, sf_dir):
+    # the history holds the as-of snapshot rows and, written later, the
+    # final rows; the last write of each run wins
+    snap = state_as_of(spark, sf_dir).withColumn("write_seq", F.lit(0))
+    final = (runs(spark, sf_dir).select(*_FOLD_COLS.split(", "))
+             .withColumn("seq", F.unix_micros(F.col("start_time").cast("timestamp")))
+             .withColumn("write_seq", F.lit(1)))
+    table = snap.unionByName(final)
+    latest = history.latest_per_run(table, seq="write_seq")
+    return history.newest_first(latest).select(*_FOLD_COLS.split(", "))
+
+
+@register("history_latest", hist_sql(
+    f"select {_FOLD_COLS} from runs order by start_time desc, run_id desc limit 1"))
+def history_latest(spark, sf_dir):
+    return history.latest_run(runs(spark, sf_dir)).select(*_FOLD_COLS.split(", "))
+
+
+@register("history_latest_completed", hist_sql(
+    f"select {_FOLD_COLS} from folded where status = 'COMPLETED' order by start_time desc, run_id desc limit 1"))
+def history_latest_completed(spark, sf_dir):
+    return history.latest_completed(state_as_of(spark, sf_dir)).select(*_FOLD_COLS.split(", "))
+
+
+# ---- H8: external runs, one payload per scanned file ----------------------------------
+# Status text per language exercises the checks: accepted as given,
+# lower-case (accepted), RUNNING (rejected, decision X10), blank (rejected).
+EXT_STATUS = "case lang when 'en' then 'COMPLETED' when 'de' then 'failed' when 'fr' then 'RUNNING' else ' ' end"
+_ISO_JSON = "yyyy-MM-dd'T'HH:mm:ss"
+
+
+def external_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON payloads built from the documents and their findings (findings of
+    one file per payload, so each list is bounded by one text)."""
+    fnd = run_findings(spark, sf_dir)
+    per_file = fnd.groupBy("doc_id").agg(F.collect_list(F.struct(
+        F.col("file_name").alias("fileName"), F.col("file_path").alias("filePath"),
+        F.col("data_type").alias("dataType"), F.col("risk_level").alias("riskLevel"),
+        F.col("masked_value").alias("maskedValue"),
+        F.date_format("scan_ts", _ISO_JSON).alias("scanTimestamp"))).alias("findings"))
+    docs = doc_files(spark, sf_dir, balance=False).filter(F.col("status") == "SCANNED").join(
+        spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    body = F.struct(
+        F.concat(F.lit("ext-"), F.col("doc_id").cast("string")).alias("runId"),
+        F.date_format("created", _ISO_JSON).alias("startTime"),
+        F.date_format("modified", _ISO_JSON).alias("endTime"), F.col("path").alias("scanPath"),
+        F.lit(1).alias("filesScanned"), F.lit(0).alias("filesSkipped"), F.lit(0).alias("errorsEncountered"),
+        F.col("findings"), F.expr(EXT_STATUS).alias("status"))
+    return docs.join(per_file, "doc_id", "left").select(F.to_json(body).alias("payload"))
+
+
+_EXT_COLS = ["run_id", "status", "start_time", "end_time", "scan_path", "files_scanned", "files_skipped",
+             "errors", "critical", "medium", "normal", "reject_reason"]
+
+
+@register("external_ingest", run_ctes(
+    "select 'ext-' || cast(d.doc_id as varchar) as run_id, "
+    "case when upper(st) = 'FAILED' then 'FAILED' else 'COMPLETED' end as status, "
+    "d.created as start_time, d.modified as end_time, d.path as scan_path, 1 as files_scanned, "
+    "0 as files_skipped, 0 as errors, coalesce(k.critical, 0) as critical, coalesce(k.medium, 0) as medium, "
+    "coalesce(k.normal, 0) as normal, "
+    "case when trim(st) = '' then 'status is required (COMPLETED or FAILED).' "
+    "when upper(st) not in ('COMPLETED', 'FAILED') then 'Invalid status ''' || st || '''. Expected COMPLETED or FAILED.' "
+    "end as reject_reason "
+    f"from (select f.*, {EXT_STATUS} as st from doc_files f join documents x using (doc_id) "
+    "where f.status = 'SCANNED') d left join (select doc_id, "
+    "count(*) filter (where risk_level = 'CRITICAL') as critical, count(*) filter (where risk_level = 'MEDIUM') as medium, "
+    "count(*) filter (where risk_level = 'NORMAL') as normal from run_findings group by doc_id) k using (doc_id)",
+    "run_findings"))
+def external_ingest(spark, sf_dir):
+    return history.parse_external(external_payloads(spark, sf_dir)).select(*_EXT_COLS)
