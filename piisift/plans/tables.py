@@ -124,4 +124,6 @@ def with_ctes(body: str, *names: str) -> str:
             need.append("rec")
         if n not in need:
             need.append(n)
+    if not need:
+        return body
     return "with " + ",\n".join(f"{n} as ({defs[n]})" for n in need) + "\n" + body
