@@ -190,9 +190,10 @@ PAGE_NO = 3
 
 
 @register("findings_page", run_ctes(
-    f"select {_FIND_COLS}, cast(pos as integer) as pos, {PAGE_NO} as page, total from (select *, "
-    f"row_number() over (order by {_SEQ_DESC}) as pos, count(*) over () as total from run_findings) x "
-    f"where pos > {(PAGE_NO - 1) * browse.PAGE_SIZE} and pos <= {PAGE_NO * browse.PAGE_SIZE}",
+    f"select {_FIND_COLS}, cast(pos as integer) as pos, pg as page, total from (select *, "
+    f"row_number() over (order by {_SEQ_DESC}) as pos, count(*) over () as total from run_findings) x, "
+    f"(select least({PAGE_NO}, greatest(1, cast(ceil(count(*) / {browse.PAGE_SIZE}.0) as integer))) as pg "
+    f"from run_findings) p where pos > (pg - 1) * {browse.PAGE_SIZE} and pos <= pg * {browse.PAGE_SIZE}",
     "run_findings"))
 def findings_page(spark, sf_dir):
     return browse.page(run_findings(spark, sf_dir), PAGE_NO)
