@@ -109,16 +109,31 @@ def ascii_boundaries(pattern: str, lead_word: bool = False, tail_word: bool = Fa
     return "".join(out)
 
 
-def _digits_run(text: Column) -> Column:
-    return text.rlike("[0-9]{4}")
+def _digits(n: int) -> Callable[[Column], Column]:
+    """A run of at least ``n`` digits (a necessary condition of the pattern)."""
+    def guard(text: Column) -> Column:
+        return text.rlike(f"[0-9]{{{n}}}")
+    guard.__name__ = f"digits{n}"
+    return guard
+
+
+_digits_run = _digits(4)
+_digits7 = _digits(7)
+_digits9 = _digits(9)
+_digits10 = _digits(10)
 
 
 def _has_at(text: Column) -> Column:
     return F.instr(text, "@") > 0
 
 
-def _has_zero(text: Column) -> Column:
-    return F.instr(text, "0") > 0
+def _ifsc_head(text: Column) -> Column:
+    return text.rlike("[A-Z]{4}0")
+
+
+# A longer run implies a shorter one: each guard is evaluated only when the
+# weaker one holds (``implies`` names the weaker guard).
+GUARD_IMPLIES = {"digits7": "digits4", "digits9": "digits7", "digits10": "digits9"}
 
 
 @dataclass(frozen=True)
@@ -154,10 +169,12 @@ _ENDS = {  # name: (lead_word, tail_word)
     "BANK_ACCOUNT": (True, True), "IFSC": (True, True), "UPI_ID": (False, True),
     "PHONE_NUMBER": (False, True), "EMAIL": (False, True),
 }
-_GUARDS = {
+_GUARDS = {  # each pattern needs: card 4-digit groups, Aadhaar/PAN 4 digits,
+    # passport/licence/voter 7, bank 9, phone 10 consecutive digits; IFSC four
+    # capitals and a '0'; e-mail and UPI an '@'
     "CARD_NUMBER": _digits_run, "AADHAAR_NUMBER": _digits_run, "PAN_NUMBER": _digits_run,
-    "PASSPORT": _digits_run, "DRIVING_LICENCE": _digits_run, "VOTER_ID": _digits_run,
-    "BANK_ACCOUNT": _digits_run, "PHONE_NUMBER": _digits_run, "IFSC": _has_zero,
+    "PASSPORT": _digits7, "DRIVING_LICENCE": _digits7, "VOTER_ID": _digits7,
+    "BANK_ACCOUNT": _digits9, "PHONE_NUMBER": _digits10, "IFSC": _ifsc_head,
     "UPI_ID": _has_at, "EMAIL": _has_at,
 }
 _VALIDATORS = {"CARD_NUMBER": checks.luhn_valid, "AADHAAR_NUMBER": checks.verhoeff_valid}

@@ -16,13 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.types import NORMAL, Detector, resolve_types
+from ..functions.types import GUARD_IMPLIES, NORMAL, Detector, resolve_types
 
 CANDIDATE_TYPE = T.ArrayType(T.StructType([
     T.StructField("data_type", T.StringType()),
     T.StructField("match_idx", T.LongType()),
     T.StructField("value", T.StringType()),
 ]))
+CANDIDATE_VALID_TYPE = T.ArrayType(T.StructType(
+    CANDIDATE_TYPE.elementType.fields + [T.StructField("is_valid", T.BooleanType())]))
 FINDING_TYPE = T.ArrayType(T.StructType([
     T.StructField("data_type", T.StringType()),
     T.StructField("risk_level", T.StringType()),
@@ -37,31 +39,76 @@ def _raw_matches(text: Column, det: Detector) -> Column:
     return F.transform(found, lambda v, i: F.struct(i.cast("long").alias("i"), v.alias("v")))
 
 
+def _guard_name(det: Detector) -> str:
+    return getattr(det.guard, "__name__", f"g{id(det.guard)}")
+
+
 def _guarded(text: Column, det: Detector, arr: Column, empty_type: T.DataType,
-             use_guards: bool) -> Column:
+             use_guards: bool, guard_cols: Mapping[str, str] | None = None) -> Column:
     if use_guards and det.guard is not None:
-        return F.when(det.guard(text), arr).otherwise(F.array().cast(empty_type))
+        cond = F.col(guard_cols[_guard_name(det)]) if guard_cols else det.guard(text)
+        return F.when(cond, arr).otherwise(F.array().cast(empty_type))
     return arr
 
 
+def with_guards(df: DataFrame, text_col: str, detectors: Sequence[Detector],
+                use_guards: bool = True) -> tuple[DataFrame, dict[str, str]]:
+    """Evaluate every distinct guard once, as a column, before the regex work.
+
+    A stronger guard (longer digit run) is only tested where the weaker one
+    held, so text without digits is read once by the cheapest test only.
+    """
+    if not use_guards:
+        return df, {}
+    text = F.col(text_col)
+    guards: dict[str, Column] = {}
+    for det in detectors:
+        if det.guard is not None:
+            guards.setdefault(_guard_name(det), det.guard(text))
+    names = {g: f"__guard_{g}" for g in guards}
+    out = df
+    for g in sorted(guards, key=_guard_depth):
+        cond = guards[g]
+        weaker = GUARD_IMPLIES.get(g)
+        while weaker is not None and weaker not in names:
+            weaker = GUARD_IMPLIES.get(weaker)
+        if weaker is not None:
+            cond = F.col(names[weaker]) & cond
+        out = out.withColumn(names[g], cond)
+    return out, names
+
+
+def _guard_depth(name: str) -> int:
+    d = 0
+    while name in GUARD_IMPLIES:
+        name, d = GUARD_IMPLIES[name], d + 1
+    return d
+
+
 def _as_column(text) -> Column:
     return F.col(text) if isinstance(text, str) else text
 
 
-def candidate_array(text, detectors: Sequence[Detector], use_guards: bool = True) -> Column:
-    """All raw candidates of a text as array<struct<data_type, match_idx, value>>."""
+def candidate_array(text, detectors: Sequence[Detector], use_guards: bool = True,
+                    guard_cols: Mapping[str, str] | None = None, with_validity: bool = False) -> Column:
+    """All raw candidates of a text as array<struct<data_type, match_idx, value
+    [, is_valid]>>; ``is_valid`` applies the type's own validator in its branch."""
     text = _as_column(text)
+    empty = CANDIDATE_VALID_TYPE if with_validity else CANDIDATE_TYPE
     parts = []
     for det in detectors:
-        arr = F.transform(_raw_matches(text, det), _candidate_struct(det.name))
-        parts.append(_guarded(text, det, arr, CANDIDATE_TYPE, use_guards))
-    return F.flatten(F.array(*parts)) if parts else F.array().cast(CANDIDATE_TYPE)
+        arr = F.transform(_raw_matches(text, det), _candidate_struct(det, with_validity))
+        parts.append(_guarded(text, det, arr, empty, use_guards, guard_cols))
+    return F.flatten(F.array(*parts)) if parts else F.array().cast(empty)
 
 
-def _candidate_struct(name: str):
+def _candidate_struct(det: Detector, with_validity: bool = False):
     def build(x: Column) -> Column:
-        return F.struct(F.lit(name).alias("data_type"), x["i"].alias("match_idx"),
-                        x["v"].alias("value"))
+        fields = [F.lit(det.name).alias("data_type"), x["i"].alias("match_idx"), x["v"].alias("value")]
+        if with_validity:
+            ok = det.validator(x["v"]) if det.validator is not None else F.lit(True)
+            fields.append(ok.alias("is_valid"))
+        return F.struct(*fields)
     return build
 
 
@@ -81,7 +128,8 @@ def _finding_struct(det: Detector):
     return build
 
 
-def finding_array(text, detectors: Sequence[Detector], use_guards: bool = True) -> Column:
+def finding_array(text, detectors: Sequence[Detector], use_guards: bool = True,
+                  guard_cols: Mapping[str, str] | None = None) -> Column:
     """Validated, masked findings of a text as array<struct<data_type, risk_level,
     match_idx, masked_value>>; the raw value stays inside the expression."""
     text = _as_column(text)
@@ -91,7 +139,7 @@ def finding_array(text, detectors: Sequence[Detector], use_guards: bool = True)
         if det.validator is not None:
             arr = F.filter(arr, _validity(det.validator))
         arr = F.transform(arr, _finding_struct(det))
-        parts.append(_guarded(text, det, arr, FINDING_TYPE, use_guards))
+        parts.append(_guarded(text, det, arr, FINDING_TYPE, use_guards, guard_cols))
     return F.flatten(F.array(*parts)) if parts else F.array().cast(FINDING_TYPE)
 
 
@@ -109,15 +157,17 @@ def candidates(df: DataFrame, text_col: str = "text", key_cols: Iterable[str] |
                types: Sequence[str] | None = None,
                custom_patterns: Mapping[str, str] | None = None,
                detectors: Sequence[Detector] | None = None, use_guards: bool = True,
-               num_partitions: int | None = None) -> DataFrame:
-    """Raw detector output, before validation: keys…, data_type, match_idx, value.
+               num_partitions: int | None = None, with_validity: bool = False) -> DataFrame:
+    """Raw detector output, before validation: keys…, data_type, match_idx, value
+    (and ``is_valid`` by the type's validator when ``with_validity``).
 
     One row per match; no dedup and no overlap resolution across types.
     """
     chosen = resolve_types(types, custom_patterns, detectors)
     keys = _keys(key_cols)
     src = _spread(df.select(*keys, F.col(text_col).alias("__text")), num_partitions)
-    return src.select(*keys, F.inline(candidate_array("__text", chosen, use_guards)))
+    src, gcols = with_guards(src, "__text", chosen, use_guards)
+    return src.select(*keys, F.inline(candidate_array("__text", chosen, use_guards, gcols, with_validity)))
 
 
 def scan(df: DataFrame, text_col: str = "text", key_cols: Iterable[str] | str | None = None,
@@ -148,5 +198,25 @@ def scan(df: DataFrame, text_col: str = "text", key_cols: Iterable[str] | str |
     else:
         ts = F.lit(scan_ts).cast("timestamp_ntz")
     src = _spread(df.select(*keys, F.col(text_col).alias("__text")), num_partitions)
-    found = src.select(*keys, F.inline(finding_array("__text", chosen, use_guards)))
+    src, gcols = with_guards(src, "__text", chosen, use_guards)
+    found = src.select(*keys, F.inline(finding_array("__text", chosen, use_guards, gcols)))
     return found.withColumn("scan_ts", ts)
+
+
+def findings_per_row(df: DataFrame, text_col: str = "text", types: Sequence[str] | None = None,
+                     custom_patterns: Mapping[str, str] | None = None,
+                     detectors: Sequence[Detector] | None = None, use_guards: bool = True,
+                     only_if: Column | None = None, out_col: str = "findings") -> DataFrame:
+    """Every input row with its findings as one array column (nothing exploded).
+
+    Per-row counts, flags or nested payloads are then plain array functions
+    on ``out_col`` — the per-group aggregates need no second pass over the
+    text and no shuffle of single findings.  ``only_if``: rows where it is
+    false get an empty array without running any regex.
+    """
+    chosen = resolve_types(types, custom_patterns, detectors)
+    src, gcols = with_guards(df, text_col, chosen, use_guards)
+    arr = finding_array(text_col, chosen, use_guards, gcols)
+    if only_if is not None:
+        arr = F.when(only_if, arr).otherwise(F.array().cast(FINDING_TYPE))
+    return src.withColumn(out_col, arr).drop(*gcols.values())

@@ -39,6 +39,22 @@ def risk_counts(findings: DataFrame, by="run_id", runs: DataFrame | None = None)
     return agg
 
 
+def row_risk_counts(findings: Column) -> list[Column]:
+    """critical, medium, normal, total and has_card of one row's findings array."""
+    def n(level):
+        return F.size(F.filter(findings, lambda x: x["risk_level"] == level)).cast("long")
+    return [n(CRITICAL).alias("critical"), n(MEDIUM).alias("medium"), n(NORMAL).alias("normal"),
+            F.size(findings).cast("long").alias("total"),
+            F.exists(findings, lambda x: x["data_type"] == "CARD_NUMBER").alias("has_card")]
+
+
+def group_risk_counts(per_row: DataFrame, by) -> list[Column]:
+    """Aggregates over rows carrying ``row_risk_counts`` columns."""
+    return [F.sum("critical").alias("critical"), F.sum("medium").alias("medium"),
+            F.sum("normal").alias("normal"), F.sum("total").alias("total"),
+            F.bool_or("has_card").alias("has_card")]
+
+
 def risk_share(counts: DataFrame) -> DataFrame:
     """Share of each level in percent, one decimal: 100*n/max(total,1) (A4)."""
     denom = F.greatest(F.col("total"), F.lit(1))

@@ -122,12 +122,13 @@ def classify_risk(spark, sf_dir):
     f"left join (select data_type, count(*) as n_findings from ({duck.findings()}) f group by all) f "
     "using (data_type)", "corpus"))
 def type_dimension(spark, sf_dir):
-    src = corpus(spark, sf_dir)
-    n_cand = candidates(src, "text", KEYS).groupBy("data_type").agg(F.count(F.lit(1)).alias("n_candidates"))
-    n_find = scan(src, "text", KEYS).groupBy("data_type").agg(F.count(F.lit(1)).alias("n_findings"))
-    # the dimension holds one row per type: a bounded, broadcast-safe side
+    # one pass: every candidate carries its validity, counted per type
+    cand = candidates(corpus(spark, sf_dir), "text", KEYS, with_validity=True)
+    counts = cand.groupBy("data_type").agg(F.count(F.lit(1)).alias("n_candidates"),
+                                           F.count_if("is_valid").alias("n_findings"))
+    # both sides hold at most one row per type: bounded, broadcast-safe
     dim = F.broadcast(type_dimension_df(spark))
-    return (dim.join(n_cand, "data_type", "left").join(n_find, "data_type", "left")
+    return (dim.join(F.broadcast(counts), "data_type", "left")
             .select("ordinal", "data_type", "risk_level", "label", "has_checksum",
                     F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"),
                     F.coalesce("n_findings", F.lit(0)).alias("n_findings")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.types import CARD_NOTICE
 from ..operators import browse, history, summary
-from ..operators.detect import scan
+from ..operators.detect import findings_per_row, scan
 from . import duck
 from .registry import register
 from .tables import doc_files, run_id_of, with_ctes
@@ -40,9 +40,29 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
              "scan_path", F.concat(F.lit("reports/scan-report-"), rid, F.lit(".csv")).alias("report_path"))
 
 
+def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything per run from ONE pass over the files: times, file outcomes,
+    findings by risk and the card flag.  Findings are counted per file from
+    the file's findings array, so only one small partial aggregate per task
+    is shuffled, however large a run is."""
+    files = doc_files(spark, sf_dir)
+    per_file = findings_per_row(files, "text", only_if=F.col("status") == "SCANNED")
+    s = F.col("status")
+    per_file = per_file.select("scan_path", "status", "modified", *summary.row_risk_counts(F.col("findings")))
+    rid = run_id_of(F.col("scan_path"))
+    agg = per_file.groupBy("scan_path").agg(
+        (F.min("modified") + F.expr(SCAN_DELAY)).alias("start_time"),
+        (F.max("modified") + F.expr(SCAN_DELAY) + F.expr("INTERVAL 1 SECOND")).alias("end_time"),
+        F.count_if(s == "SCANNED").cast("int").alias("files_scanned"),
+        F.count_if(s == "SKIPPED").cast("int").alias("files_skipped"),
+        F.count_if(s == "ERROR").cast("int").alias("errors"),
+        *summary.group_risk_counts(per_file, "scan_path"))
+    return agg.select(rid.alias("run_id"), F.lit("COMPLETED").alias("status"), "*",
+                      F.concat(F.lit("reports/scan-report-"), rid, F.lit(".csv")).alias("report_path"))
+
+
 def run_summary_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = doc_files(spark, sf_dir, balance=False).withColumn("run_id", run_id_of(F.col("scan_path")))
-    return summary.run_summary(runs(spark, sf_dir), files, run_findings(spark, sf_dir))
+    return run_stats(spark, sf_dir).select(*history.HISTORY_COLUMNS)
 
 
 # ---- DuckDB forms -----------------------------------------------------------
@@ -99,7 +119,7 @@ def file_status(spark, sf_dir):
 # ---- A1 / A3 ----------------------------------------------------------------------
 @register("risk_counts", run_ctes("select * from risks", "risks"))
 def risk_counts(spark, sf_dir):
-    return summary.risk_counts(run_findings(spark, sf_dir), "run_id", runs(spark, sf_dir))
+    return run_stats(spark, sf_dir).select("run_id", "critical", "medium", "normal", "total")
 
 
 # ---- A4 -----------------------------------------------------------------------------
@@ -111,7 +131,8 @@ _PCT = ", ".join(
 
 @register("risk_share", run_ctes(f"select *, {_PCT} from risks", "risks"))
 def risk_share(spark, sf_dir):
-    return summary.risk_share(summary.risk_counts(run_findings(spark, sf_dir), "run_id", runs(spark, sf_dir)))
+    counts = run_stats(spark, sf_dir).select("run_id", "critical", "medium", "normal", "total")
+    return summary.risk_share(counts)
 
 
 # ---- A5 ------------------------------------------------------------------------------
@@ -121,7 +142,8 @@ def risk_share(spark, sf_dir):
     "from runs r left join (select run_id, bool_or(data_type = 'CARD_NUMBER') as has_card "
     "from run_findings group by run_id) c using (run_id)", "runs", "run_findings"))
 def card_notice(spark, sf_dir):
-    return summary.card_notice(run_findings(spark, sf_dir), "run_id", runs(spark, sf_dir))
+    flags = run_stats(spark, sf_dir).select("run_id", "has_card")
+    return flags.withColumn("notice", F.when(F.col("has_card"), F.lit(CARD_NOTICE)))
 
 
 # ---- A6 ------------------------------------------------------------------------------
@@ -411,23 +433,22 @@ _ISO_JSON = "yyyy-MM-dd'T'HH:mm:ss"
 
 
 def external_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON payloads built from the documents and their findings (findings of
-    one file per payload, so each list is bounded by one text)."""
-    fnd = run_findings(spark, sf_dir)
-    per_file = fnd.groupBy("doc_id").agg(F.collect_list(F.struct(
-        F.col("file_name").alias("fileName"), F.col("file_path").alias("filePath"),
-        F.col("data_type").alias("dataType"), F.col("risk_level").alias("riskLevel"),
-        F.col("masked_value").alias("maskedValue"),
-        F.date_format("scan_ts", _ISO_JSON).alias("scanTimestamp"))).alias("findings"))
-    docs = doc_files(spark, sf_dir, balance=False).filter(F.col("status") == "SCANNED").join(
-        spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    """JSON payloads, one per scanned file, carrying that file's findings.
+    Built in one pass from each file's findings array: no grouping, no join."""
+    files = doc_files(spark, sf_dir).filter(F.col("status") == "SCANNED")
+    per = findings_per_row(files, "text")
+    scanned_at = F.date_format(F.col("modified") + F.expr(SCAN_DELAY), _ISO_JSON)
+    items = F.transform(F.col("findings"), lambda x: F.struct(
+        F.col("file_name").alias("fileName"), F.col("path").alias("filePath"),
+        x["data_type"].alias("dataType"), x["risk_level"].alias("riskLevel"),
+        x["masked_value"].alias("maskedValue"), scanned_at.alias("scanTimestamp")))
     body = F.struct(
         F.concat(F.lit("ext-"), F.col("doc_id").cast("string")).alias("runId"),
         F.date_format("created", _ISO_JSON).alias("startTime"),
         F.date_format("modified", _ISO_JSON).alias("endTime"), F.col("path").alias("scanPath"),
         F.lit(1).alias("filesScanned"), F.lit(0).alias("filesSkipped"), F.lit(0).alias("errorsEncountered"),
-        F.col("findings"), F.expr(EXT_STATUS).alias("status"))
-    return docs.join(per_file, "doc_id", "left").select(F.to_json(body).alias("payload"))
+        items.alias("findings"), F.expr(EXT_STATUS).alias("status"))
+    return per.select(F.to_json(body).alias("payload"))
 
 
 _EXT_COLS = ["run_id", "status", "start_time", "end_time", "scan_path", "files_scanned", "files_skipped",

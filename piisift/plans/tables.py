@@ -69,8 +69,8 @@ def corpus(spark: SparkSession, sf_dir: str, balance: bool = True) -> DataFrame:
 
 
 def doc_files(spark: SparkSession, sf_dir: str, balance: bool = True) -> DataFrame:
-    """documents as files: scan_path, path, file_name, extension, size_bytes,
-    created, modified (TIMESTAMP_NTZ), status, text."""
+    """documents as files: scan_path, doc_id, path, file_name, size_bytes,
+    created, modified (TIMESTAMP_NTZ), lang, text, extension, status."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     if balance:
         docs = spread(docs)
@@ -84,7 +84,7 @@ def doc_files(spark: SparkSession, sf_dir: str, balance: bool = True) -> DataFra
         F.octet_length("text").cast("long").alias("size_bytes"),
         created.alias("created"),
         (created + F.expr("make_dt_interval(0, 0, 0, octet_length(text))")).alias("modified"),
-        "text")
+        "lang", "text")
     supported = F.lower("ext_raw").isin(*SUPPORTED_EXTENSIONS)
     return (out.withColumn("extension", F.lower("ext_raw"))
             .withColumn("status", F.when(~supported, "SKIPPED")
