@@ -128,3 +128,26 @@ def test_docx_text():
     data = _zip({"word/document.xml": f'<w:document {w}><w:body><w:p><w:r><w:t>card {CARD}</w:t></w:r></w:p>'
                                       f'</w:body></w:document>'})
     assert docx_text(data) == f"card {CARD}\n"
+
+
+def test_user_extractor(spark, tree):
+    files = list_files(spark, [tree], P.ScanOptions(recursive=False))
+    out = extract_text(files, extractors={"": lambda b: b.decode().upper()},
+                       supported_extensions=(*P.SUPPORTED_EXTENSIONS, ""))
+    st = {r.rel_path: (r.status, r.text) for r in out.collect()}
+    assert st["noext"][0] == "SCANNED" and st["noext"][1].startswith("CARD")
+
+
+def test_symlinked_dirs(spark, tmp_path):
+    real = tmp_path / "real"
+    (real / "in").mkdir(parents=True)
+    (real / "in" / "a.txt").write_text("x")
+    root = tmp_path / "root"
+    root.mkdir()
+    (root / "b.txt").write_text("y")
+    os.symlink(real, root / "link")
+    os.symlink(root, root / "loop")  # a cycle back to the root
+    plain = rels(list_files(spark, [str(root)]))
+    followed = rels(list_files(spark, [str(root)], P.ScanOptions(follow_symbolic_links=True)))
+    assert "link/in/a.txt" not in plain and "b.txt" in plain
+    assert "link/in/a.txt" in followed and not any(r.startswith("loop/") for r in followed)
