@@ -89,10 +89,36 @@ def _as_column(text) -> Column:
     return F.col(text) if isinstance(text, str) else text
 
 
+# Built expressions, by session and arguments.  An expression refers to its
+# input columns by name only, so one build serves every DataFrame of the
+# session; building the ~11-branch expression costs hundreds of driver calls.
+_EXPR_CACHE: dict[tuple, Column] = {}
+
+
+def _cached(kind: str, text, detectors, use_guards, guard_cols, extra, build) -> Column:
+    if not isinstance(text, str):
+        return build()
+    from pyspark.sql import SparkSession
+    key = (kind, id(SparkSession.getActiveSession()), text, tuple(detectors), use_guards,
+           tuple(sorted((guard_cols or {}).items())), extra)
+    try:
+        hit = _EXPR_CACHE.get(key)
+    except TypeError:  # an unhashable user detector: build each time
+        return build()
+    if hit is None:
+        hit = _EXPR_CACHE[key] = build()
+    return hit
+
+
 def candidate_array(text, detectors: Sequence[Detector], use_guards: bool = True,
                     guard_cols: Mapping[str, str] | None = None, with_validity: bool = False) -> Column:
     """All raw candidates of a text as array<struct<data_type, match_idx, value
     [, is_valid]>>; ``is_valid`` applies the type's own validator in its branch."""
+    return _cached("candidates", text, detectors, use_guards, guard_cols, with_validity,
+                   lambda: _candidate_array(text, detectors, use_guards, guard_cols, with_validity))
+
+
+def _candidate_array(text, detectors, use_guards, guard_cols, with_validity) -> Column:
     text = _as_column(text)
     empty = CANDIDATE_VALID_TYPE if with_validity else CANDIDATE_TYPE
     parts = []
@@ -132,6 +158,11 @@ def finding_array(text, detectors: Sequence[Detector], use_guards: bool = True,
                   guard_cols: Mapping[str, str] | None = None) -> Column:
     """Validated, masked findings of a text as array<struct<data_type, risk_level,
     match_idx, masked_value>>; the raw value stays inside the expression."""
+    return _cached("findings", text, detectors, use_guards, guard_cols, None,
+                   lambda: _finding_array(text, detectors, use_guards, guard_cols))
+
+
+def _finding_array(text, detectors, use_guards, guard_cols) -> Column:
     text = _as_column(text)
     parts = []
     for det in detectors:

@@ -24,7 +24,7 @@ from ..sources.extract import extract_text
 from ..sources.files import list_files
 from . import duck
 from .registry import register
-from .tables import doc_files, with_ctes
+from .tables import doc_files, read_table, with_ctes
 
 ROOT = "/data"
 EXCLUDED_PREFIX = ["/data/skip"]
@@ -177,7 +177,7 @@ def files_findings(spark, sf_dir):
     "cast(c_nationkey as varchar), ' | ') as text from customer"))
 def csv_row_text(spark, sf_dir):
     """E3 on a table: every cell and ' | ', the row's text ready to scan."""
-    cust = spark.read.parquet(f"{sf_dir.rstrip('/')}/customer.parquet")
+    cust = read_table(spark, sf_dir, "customer")
     cells = ["c_custkey", "c_name", "c_mktsegment", "c_nationkey"]
     return cust.select("c_custkey", row_text(cust, cells).alias("text"))
 

@@ -33,24 +33,50 @@ SUPPORTED_EXTENSIONS = ("pdf", "docx", "xlsx", "txt", "csv")  # fixed default li
 BASE_TS = "2024-01-01 00:00:00"
 
 
+_SCHEMAS: dict[tuple[int, str], object] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Parquet table by name.  The schema is inferred once per session and
+    path and then handed to the reader, which skips the inference job."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if key in _SCHEMAS:
+        return spark.read.schema(_SCHEMAS[key]).parquet(path)
+    df = spark.read.parquet(path)
+    _SCHEMAS[key] = df.schema
+    return df
+
 
+_SPLITS: dict[tuple[int, str], int] = {}
 
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+
+def spread(df: DataFrame, per_core: int = 2, table_key: str | None = None) -> DataFrame:
     """Round-robin spread of a plain scan that arrives in too few partitions.
 
-    Only looks at the scan's own split count (no job runs).  Large inputs
-    already come in many splits and are left alone: no shuffle at scale.
+    Only looks at the scan's own split count (planning, no job), remembered
+    per session and table.  Large inputs already come in many splits and are
+    left alone: no shuffle at scale.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism * per_core
-    try:
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. no RDD access (Connect): keep as is
-        return df
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism * per_core
+    key = (id(spark), table_key) if table_key else None
+    if key is not None and key in _SPLITS:
+        have = _SPLITS[key]
+    else:
+        try:
+            have = df.rdd.getNumPartitions()
+        except Exception:  # noqa: BLE001 - e.g. no RDD access (Connect): keep as is
+            return df
+        if key is not None:
+            _SPLITS[key] = have
     return df if have >= target else df.repartition(target)
 
 
+def _path(sf_dir: str, name: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
 def rec(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = read_table(spark, sf_dir, "customer").select("c_custkey")
     return cust.selectExpr("c_custkey as rec_id", REC_TEXT.format(s="string") + " as text")
@@ -64,7 +90,9 @@ def corpus(spark: SparkSession, sf_dir: str, balance: bool = True) -> DataFrame:
         F.lit("pages").alias("src"), F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
     recs = rec(spark, sf_dir).select(F.lit("rec").alias("src"), F.col("rec_id").alias("doc_id"), "text")
     if balance:
-        docs, pages, recs = spread(docs), spread(pages), spread(recs)
+        docs = spread(docs, table_key=_path(sf_dir, "documents"))
+        pages = spread(pages, table_key=_path(sf_dir, "pages"))
+        recs = spread(recs, table_key=_path(sf_dir, "customer"))
     return docs.unionByName(pages).unionByName(recs)
 
 
@@ -73,7 +101,7 @@ def doc_files(spark: SparkSession, sf_dir: str, balance: bool = True) -> DataFra
     created, modified (TIMESTAMP_NTZ), lang, text, extension, status."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     if balance:
-        docs = spread(docs)
+        docs = spread(docs, table_key=_path(sf_dir, "documents"))
     ext = F.expr(FILE_EXT)
     name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit("."), ext)
     created = F.expr(f"timestamp_ntz'{BASE_TS}' + make_dt_interval(0, 0, doc_id, 0)")  # + doc_id minutes
