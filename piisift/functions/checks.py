@@ -25,36 +25,47 @@ def digits_only(value: Column) -> Column:
     return F.regexp_replace(F.coalesce(value, F.lit("")), "[^0-9]", "")
 
 
-def _digit_at(s: Column, pos: Column) -> Column:
+def _digit_at(s: Column, pos) -> Column:
     # ascii('7') - 48 = 7; never casts, so no ANSI error on odd input
     return F.ascii(F.substring(s, pos, 1)) - F.lit(48)
 
 
-def luhn_valid(value: Column) -> Column:
-    """Luhn mod-10 over the digits of ``value``; 13 to 19 digits required."""
-    d = digits_only(value)
+LUHN_MIN, LUHN_MAX = 13, 19
+AADHAAR_LEN = 12
+
+
+def luhn_digits(d: Column) -> Column:
+    """Luhn over a string of digits (13 to 19 of them)."""
     n = F.length(d)
 
     def term(acc, i):  # i = 1 is the right-most digit
-        x = F.substring(d, n - i + 1, 1)
-        dig = F.ascii(x) - F.lit(48)
-        doubled = F.when(dig * 2 > 9, dig * 2 - 9).otherwise(dig * 2)
-        return acc + F.when(i % 2 == 0, doubled).otherwise(dig)
+        x = _digit_at(d, n - i + 1)
+        doubled = F.when(x * 2 > 9, x * 2 - 9).otherwise(x * 2)
+        return acc + F.when(i % 2 == 0, doubled).otherwise(x)
 
     total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), term)
-    return F.when(n.between(13, 19), total % 10 == 0).otherwise(F.lit(False))
+    return F.when(n.between(LUHN_MIN, LUHN_MAX), total % 10 == 0).otherwise(F.lit(False))
 
 
-def verhoeff_valid(value: Column) -> Column:
-    """Verhoeff check over exactly 12 digits (the Aadhaar form)."""
-    d = digits_only(value)
+def verhoeff_digits(d: Column) -> Column:
+    """Verhoeff over a string of exactly 12 digits: fold from the right with
+    the multiplication and permutation tables; 0 means valid."""
     n = F.length(d)
     mul, perm = F.lit(VERHOEFF_D), F.lit(VERHOEFF_P)
 
     def step(c, i):  # i = 0 is the right-most digit
-        dig = _digit_at(d, n - i)
-        p = _digit_at(perm, (i % 8) * 10 + dig + 1)
+        p = _digit_at(perm, (i % 8) * 10 + _digit_at(d, n - i) + 1)
         return _digit_at(mul, c * 10 + p + 1)
 
-    folded = F.aggregate(F.sequence(F.lit(0), F.lit(11)), F.lit(0), step)
-    return F.when(n == 12, folded == 0).otherwise(F.lit(False))
+    folded = F.aggregate(F.sequence(F.lit(0), F.lit(AADHAAR_LEN - 1)), F.lit(0), step)
+    return F.when(n == AADHAAR_LEN, folded == 0).otherwise(F.lit(False))
+
+
+def luhn_valid(value: Column) -> Column:
+    """Luhn mod-10 over the digits of ``value``; 13 to 19 digits required."""
+    return luhn_digits(digits_only(value))
+
+
+def verhoeff_valid(value: Column) -> Column:
+    """Verhoeff check over exactly 12 digits (the Aadhaar form)."""
+    return verhoeff_digits(digits_only(value))

@@ -153,12 +153,14 @@ class Detector:
     mask: Callable[[Column], Column] = masks.mask_last4
     guard: Callable[[Column], Column] | None = None
     source_pattern: str | None = field(default=None, compare=False)
+    # checksum on the digits-only form (lets a caller strip the value once)
+    digits_validator: Callable[[Column], Column] | None = None
 
     def with_pattern(self, pattern: str, rewrite_boundaries: bool = True) -> "Detector":
         """Same type (validator, mask, risk) with a user pattern and no guard."""
         spark_pattern = ascii_boundaries(pattern) if rewrite_boundaries else pattern
         return Detector(self.name, spark_pattern, self.risk, self.label, self.validator,
-                        self.mask, None, pattern)
+                        self.mask, None, pattern, self.digits_validator)
 
 
 # Which ends of each built-in pattern are certainly word characters, which
@@ -178,6 +180,7 @@ _GUARDS = {  # each pattern needs: card 4-digit groups, Aadhaar/PAN 4 digits,
     "UPI_ID": _has_at, "EMAIL": _has_at,
 }
 _VALIDATORS = {"CARD_NUMBER": checks.luhn_valid, "AADHAAR_NUMBER": checks.verhoeff_valid}
+_DIGIT_VALIDATORS = {"CARD_NUMBER": checks.luhn_digits, "AADHAAR_NUMBER": checks.verhoeff_digits}
 _MASKS = {"PAN_NUMBER": masks.mask_pan, "UPI_ID": masks.mask_email_like,
           "EMAIL": masks.mask_email_like}
 
@@ -187,7 +190,7 @@ def _builtin(name: str, risk: str, label: str, pattern: str) -> Detector:
     return Detector(name=name, pattern=ascii_boundaries(pattern, lead, tail), risk=risk,
                     label=label, validator=_VALIDATORS.get(name),
                     mask=_MASKS.get(name, masks.mask_last4), guard=_GUARDS[name],
-                    source_pattern=pattern)
+                    source_pattern=pattern, digits_validator=_DIGIT_VALIDATORS.get(name))
 
 
 BUILTIN_DETECTORS: tuple[Detector, ...] = tuple(_builtin(*row) for row in TYPE_TABLE)

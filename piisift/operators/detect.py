@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.checks import digits_only
 from ..functions.types import GUARD_IMPLIES, NORMAL, Detector, resolve_types
 
 CANDIDATE_TYPE = T.ArrayType(T.StructType([
@@ -123,7 +124,10 @@ def _candidate_array(text, detectors, use_guards, guard_cols, with_validity) ->
     empty = CANDIDATE_VALID_TYPE if with_validity else CANDIDATE_TYPE
     parts = []
     for det in detectors:
-        arr = F.transform(_raw_matches(text, det), _candidate_struct(det, with_validity))
+        raw = _raw_matches(text, det)
+        if with_validity and det.digits_validator is not None:
+            raw = F.transform(raw, _with_digits)
+        arr = F.transform(raw, _candidate_struct(det, with_validity))
         parts.append(_guarded(text, det, arr, empty, use_guards, guard_cols))
     return F.flatten(F.array(*parts)) if parts else F.array().cast(empty)
 
@@ -132,19 +136,31 @@ def _candidate_struct(det: Detector, with_validity: bool = False):
     def build(x: Column) -> Column:
         fields = [F.lit(det.name).alias("data_type"), x["i"].alias("match_idx"), x["v"].alias("value")]
         if with_validity:
-            ok = det.validator(x["v"]) if det.validator is not None else F.lit(True)
+            if det.digits_validator is not None:
+                ok = det.digits_validator(x["d"])
+            elif det.validator is not None:
+                ok = det.validator(x["v"])
+            else:
+                ok = F.lit(True)
             fields.append(ok.alias("is_valid"))
         return F.struct(*fields)
     return build
 
 
-def _validity(validator):
+def _validity(det: Detector):
     # F.filter passes exactly the lambda's declared arguments: bind via closure
     def keep(x: Column) -> Column:
-        return validator(x["v"])
+        if det.digits_validator is not None:
+            return det.digits_validator(x["d"])
+        return det.validator(x["v"])
     return keep
 
 
+def _with_digits(x: Column) -> Column:
+    """Strip the value to digits once; the checksum reads the field many times."""
+    return F.struct(x["i"].alias("i"), x["v"].alias("v"), digits_only(x["v"]).alias("d"))
+
+
 def _finding_struct(det: Detector):
     def build(x: Column) -> Column:
         return F.struct(F.lit(det.name).alias("data_type"),
@@ -168,7 +184,9 @@ def _finding_array(text, detectors, use_guards, guard_cols) -> Column:
     for det in detectors:
         arr = _raw_matches(text, det)
         if det.validator is not None:
-            arr = F.filter(arr, _validity(det.validator))
+            if det.digits_validator is not None:
+                arr = F.transform(arr, _with_digits)
+            arr = F.filter(arr, _validity(det))
         arr = F.transform(arr, _finding_struct(det))
         parts.append(_guarded(text, det, arr, FINDING_TYPE, use_guards, guard_cols))
     return F.flatten(F.array(*parts)) if parts else F.array().cast(FINDING_TYPE)
