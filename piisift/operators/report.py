@@ -53,6 +53,14 @@ def resolve_format(fmt: str | None) -> Callable[[DataFrame, str], None] | None:
     return WRITERS.get((fmt or "").strip().lower())
 
 
+def report_path(output_directory: str, fmt: str = "csv", now_ms: int | None = None) -> str:
+    """Report location named by the run's wall-clock millis (K1):
+    <dir>/scan-report-<epoch millis>.<fmt> (a directory of part files)."""
+    import time
+    ms = int(time.time() * 1000) if now_ms is None else now_ms
+    return f"{output_directory.rstrip('/')}/scan-report-{ms}.{(fmt or 'csv').lower()}"
+
+
 def write_report(findings: DataFrame, path: str, fmt: str | None = "csv",
                  single_file: bool = False) -> str | None:
     """Write the 8-column findings report (K1, K2); returns the path or None."""

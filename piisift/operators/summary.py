@@ -48,7 +48,7 @@ def row_risk_counts(findings: Column) -> list[Column]:
             F.exists(findings, lambda x: x["data_type"] == "CARD_NUMBER").alias("has_card")]
 
 
-def group_risk_counts(per_row: DataFrame, by) -> list[Column]:
+def group_risk_counts() -> list[Column]:
     """Aggregates over rows carrying ``row_risk_counts`` columns."""
     return [F.sum("critical").alias("critical"), F.sum("medium").alias("medium"),
             F.sum("normal").alias("normal"), F.sum("total").alias("total"),

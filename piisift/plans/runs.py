@@ -56,7 +56,7 @@ def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(s == "SCANNED").cast("int").alias("files_scanned"),
         F.count_if(s == "SKIPPED").cast("int").alias("files_skipped"),
         F.count_if(s == "ERROR").cast("int").alias("errors"),
-        *summary.group_risk_counts(per_file, "scan_path"))
+        *summary.group_risk_counts())
     return agg.select(rid.alias("run_id"), F.lit("COMPLETED").alias("status"), "*",
                       F.concat(F.lit("reports/scan-report-"), rid, F.lit(".csv")).alias("report_path"))
 

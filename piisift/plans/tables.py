@@ -59,17 +59,17 @@ def spread(df: DataFrame, per_core: int = 2, table_key: str | None = None) -> Da
     left alone: no shuffle at scale.
     """
     spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism * per_core
     key = (id(spark), table_key) if table_key else None
-    if key is not None and key in _SPLITS:
-        have = _SPLITS[key]
-    else:
-        try:
+    try:
+        target = spark.sparkContext.defaultParallelism * per_core
+        if key is not None and key in _SPLITS:
+            have = _SPLITS[key]
+        else:
             have = df.rdd.getNumPartitions()
-        except Exception:  # noqa: BLE001 - e.g. no RDD access (Connect): keep as is
-            return df
-        if key is not None:
-            _SPLITS[key] = have
+            if key is not None:
+                _SPLITS[key] = have
+    except Exception:  # noqa: BLE001 - no RDD access (e.g. Spark Connect): keep as is
+        return df
     return df if have >= target else df.repartition(target)
 
 

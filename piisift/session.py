@@ -39,13 +39,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a scratch one only if unset."""
-    conf = spark.sparkContext.getConf()
-    cp = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not cp:
+    cp = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext access (e.g. Spark Connect)
+        sc = None
+    if not cp and sc is not None:
+        cp = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not cp:  # nothing configured: a scratch folder, as in tests
         cp = tempfile.mkdtemp(prefix="piisift-cp-")
         spark.conf.set("spark.checkpoint.dir", cp)
-    spark.sparkContext.setCheckpointDir(cp)
-    return cp
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(cp)
+    return cp.replace("file:", "", 1) if cp.startswith("file:") else cp
 
 
 def shared_dir(spark: SparkSession, *parts: str) -> str:
