@@ -13,7 +13,7 @@ from ..session import shared_dir
 from ..streaming import stream as S
 from . import duck
 from .registry import register
-from .tables import read_table
+from .tables import read_table, with_ctes
 
 KEYS = ["source", "doc_id"]
 COLS = ["source", "doc_id", "data_type", "risk_level", "match_idx", "masked_value"]
@@ -62,3 +62,18 @@ def stream_recent(spark, sf_dir):
     table = spark.read.parquet(out)
     seq = [F.col("epoch"), F.col("doc_id"), browse.type_ordinal(F.col("data_type")), F.col("match_idx")]
     return browse.recent(table, seq=seq).select(*COLS)
+
+
+@register("stream_files", with_ctes(
+    "select scan_path || '/' || file_name as rel_path, data_type, risk_level, match_idx, masked_value "
+    "from (" + duck.findings(rel="(select * from doc_files where file_name like '%.txt') s",
+                             keys=("scan_path", "file_name")) + ") f", "doc_files"))
+def stream_files(spark, sf_dir):
+    """T1 over files: new .txt files under the folder are scanned as they land."""
+    from .sources_q import materialized_root
+    out, cp = _fresh(spark, "files")
+    files = S.read_text_files(spark, materialized_root(spark, sf_dir), glob="*.txt")
+    files = files.withColumn("rel_path", F.regexp_extract("path", r"([^/]+/[^/]+)$", 1))
+    found = S.findings_stream(files, "text", ["rel_path"])
+    S.start_findings_sink(found, out, cp).awaitTermination()
+    return spark.read.parquet(out).select("rel_path", "data_type", "risk_level", "match_idx", "masked_value")

@@ -72,3 +72,16 @@ def start_recent_sink(findings: DataFrame, table_path: str, checkpoint: str,
     w = findings.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="2 seconds")
     return w.start()
+
+
+def read_text_files(spark: SparkSession, root: str, glob: str | None = "*.txt",
+                    max_files_per_trigger: int | None = None) -> DataFrame:
+    """A stream of whole text files landing anywhere under ``root``: one row
+    per file (path, text), each new file read once."""
+    reader = (spark.readStream.format("text").option("wholetext", True)
+              .option("recursiveFileLookup", True))
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.load(root).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
