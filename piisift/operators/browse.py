@@ -89,7 +89,7 @@ def page(df: DataFrame, page_no: int, size: int = PAGE_SIZE, seq: Sequence[Colum
     # position inside the page: a window over at most ``size`` rows
     w = Window.orderBy(*ordered)
     return (rows.withColumn("pos", F.row_number().over(w) + F.lit((p - 1) * size))
-            .withColumn("page", F.lit(p)).withColumn("total", F.lit(total)))
+            .withColumn("page", F.lit(p)).withColumn("total", F.lit(total).cast("long")))
 
 
 def type_label(col: Column) -> Column:

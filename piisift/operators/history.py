@@ -52,7 +52,8 @@ def append_history(runs: DataFrame, path: str, fmt: str = "csv") -> None:
     rows = history_rows(runs)
     writer = rows.write.mode("append")
     if fmt == "csv":
-        writer.option("header", False).option("emptyValue", "").csv(path)
+        (writer.option("header", False).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         writer.format(fmt).save(path)
 

@@ -24,10 +24,16 @@ def writer(name: str):
     return deco
 
 
+def _csv_writer(df: DataFrame):
+    # values are written as they are: no trimming, '"' doubled inside quotes
+    return (df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+            .option("emptyValue", "").option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False))
+
+
 @writer("csv")
 def _csv(df: DataFrame, path: str) -> None:
-    (df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
-     .option("emptyValue", "").csv(path))
+    _csv_writer(df).csv(path)
 
 
 @writer("parquet")
@@ -76,6 +82,5 @@ def write_export(findings: DataFrame, path: str, single_file: bool = False) -> s
     """Filtered export (K3): friendly labels, display times, CRLF lines."""
     rows = browse.export_rows(findings)
     rows = rows.coalesce(1) if single_file else rows
-    (rows.write.mode("overwrite").option("header", True).option("lineSep", "\r\n")
-     .option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path))
+    _csv_writer(rows).option("lineSep", "\r\n").csv(path)
     return path

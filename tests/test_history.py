@@ -120,3 +120,14 @@ def test_report_sinks(spark, tmp_path):
     ex = report.write_export(f, str(tmp_path / "exp"), single_file=True)
     body = "".join(open(os.path.join(ex, p), newline="").read() for p in os.listdir(ex) if p.endswith(".csv"))
     assert "PII Type" in body and "Card Number" in body and "05 Jan 2024, 1:04 PM" in body and "\r\n" in body
+
+
+def test_history_table_append_and_read(spark, tmp_path):
+    runs = history.restore_history(spark.createDataFrame([(x,) for x in LINES[:3]], "value string"))
+    path = str(tmp_path / "history")
+    history.append_history(runs, path)
+    history.append_history(runs.filter("run_id = 'r1'"), path)
+    back = history.read_history(spark, path)
+    assert back.count() == 4
+    assert sorted(r.run_id for r in back.collect()) == ["r,3", "r1", "r1", "r2"]
+    assert [r.scan_path for r in back.collect() if r.run_id == "r,3"] == ["a,b"]
