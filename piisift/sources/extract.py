@@ -153,29 +153,47 @@ DEFAULT_EXTRACTORS: dict[str, Callable[[bytes], str]] = {
 EXTRACT_SCHEMA = "status string, text string, error string"
 
 
+OUT_BATCH_BYTES = 64 << 20   # flush extracted text in slices of about this size
+OUT_BATCH_ROWS = 1024
+
+
 def _extract_fn(extractors: Mapping[str, Callable[[bytes], str]], supported: set[str],
                 path_col: str, ext_col: str, keep: list[str]):
+    def one(path, ext):
+        e = (ext or "").lower()
+        fn = extractors.get(e)
+        if e not in supported or fn is None:
+            return "SKIPPED", None, None
+        try:
+            with open(path, "rb") as fh:
+                data = fh.read()
+            return "SCANNED", fn(data), None
+        except Exception as exc:  # noqa: BLE001 - one bad file never fails the job
+            return "ERROR", None, f"{type(exc).__name__}: {exc}"[:500]
+
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            status, text, error = [], [], []
-            for path, ext in zip(pdf[path_col], pdf[ext_col]):
-                e = (ext or "").lower()
-                fn = extractors.get(e)
-                if e not in supported or fn is None:
-                    status.append("SKIPPED"); text.append(None); error.append(None)
-                    continue
-                try:
-                    with open(path, "rb") as fh:
-                        data = fh.read()
-                    text.append(fn(data)); status.append("SCANNED"); error.append(None)
-                except Exception as exc:  # noqa: BLE001 - one bad file never fails the job
-                    status.append("ERROR"); text.append(None); error.append(f"{type(exc).__name__}: {exc}"[:500])
-            out = pdf[keep].copy()
-            out["status"], out["text"], out["error"] = status, text, error
-            yield out
+            start, size, out = 0, 0, []
+            for k, (path, ext) in enumerate(zip(pdf[path_col], pdf[ext_col])):
+                res = one(path, ext)
+                out.append(res)
+                size += len(res[1] or "")
+                if size >= OUT_BATCH_BYTES or len(out) >= OUT_BATCH_ROWS:
+                    yield _frame(pdf, keep, start, k + 1, out)
+                    start, size, out = k + 1, 0, []
+            if out:
+                yield _frame(pdf, keep, start, len(pdf), out)
     return run
 
 
+def _frame(pdf: pd.DataFrame, keep: list[str], lo: int, hi: int, rows: list[tuple]) -> pd.DataFrame:
+    part = pdf.iloc[lo:hi][keep].reset_index(drop=True)
+    part["status"] = [r[0] for r in rows]
+    part["text"] = [r[1] for r in rows]
+    part["error"] = [r[2] for r in rows]
+    return part
+
+
 def extract_text(files: DataFrame, extractors: Mapping[str, Callable[[bytes], str]] | None = None,
                  supported_extensions=SUPPORTED_EXTENSIONS, path_col: str = "path",
                  ext_col: str = "extension") -> DataFrame:

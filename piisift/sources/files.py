@@ -49,9 +49,13 @@ def _lister(options: ScanOptions, config: ScanConfig):
 
     def entries(root: str, d: str, depth: int) -> Iterator[tuple]:
         try:
-            it = list(os.scandir(d))
+            it = os.scandir(d)
         except OSError:
             return  # unreadable directory: skipped, as a failed visit
+        with it:
+            yield from _walk_entries(root, d, depth, it)
+
+    def _walk_entries(root: str, d: str, depth: int, it) -> Iterator[tuple]:
         for e in it:
             try:
                 is_link = e.is_symlink()
@@ -85,10 +89,11 @@ def _lister(options: ScanOptions, config: ScanConfig):
         for pdf in batches:
             rows: list[tuple] = []
             for root, d, depth in zip(pdf["root"], pdf["dir"], pdf["depth"]):
-                rows.extend(entries(root, d, int(depth)))
-                if len(rows) >= 10000:
-                    yield pd.DataFrame(rows, columns=cols)
-                    rows = []
+                for row in entries(root, d, int(depth)):  # a huge folder streams through
+                    rows.append(row)
+                    if len(rows) >= 10000:
+                        yield pd.DataFrame(rows, columns=cols)
+                        rows = []
             if rows:
                 yield pd.DataFrame(rows, columns=cols)
 
