@@ -43,9 +43,12 @@ def default_seq(df: DataFrame) -> list[Column]:
 
 
 def recent(findings: DataFrame, n: int = RECENT_WINDOW, seq: Sequence[Column] | None = None) -> DataFrame:
-    """The last ``n`` findings by ``seq`` (Q1)."""
+    """The last ``n`` findings by ``seq``, oldest first inside the slice (Q1).
+
+    A per-task top-n and one small merge; only the ``n`` survivors are sorted
+    again."""
     seq = list(seq or default_seq(findings))
-    return findings.orderBy(*[c.desc() for c in seq]).limit(n)
+    return findings.orderBy(*[c.desc() for c in seq]).limit(n).orderBy(*seq)
 
 
 def filter_risk(findings: DataFrame, level: str | None) -> DataFrame:

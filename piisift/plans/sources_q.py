@@ -129,6 +129,9 @@ def materialized_root(spark: SparkSession, sf_dir: str) -> str:
     """documents written as files under the shared folder (once per table)."""
     tag = os.path.basename(sf_dir.rstrip("/")) or "data"
     root = shared_dir(spark, "doc-files", tag)
+    if "://" in root and not root.startswith("file://"):
+        raise ValueError(f"file queries need a mounted shared folder, not {root}")
+    root = root.replace("file://", "", 1)
     done = root + ".done"
     if not os.path.exists(done):
         files = doc_files(spark, sf_dir).select("scan_path", "file_name", "text")

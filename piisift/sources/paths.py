@@ -8,7 +8,7 @@ no path list ever passes through the driver.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -44,7 +44,6 @@ class ScanConfig:
     excluded_paths: Sequence[str] = ()
     excluded_folder_names: Sequence[str] = EXCLUDED_FOLDER_NAMES
     report_format: str = "csv"
-    extra: dict = field(default_factory=dict)
 
 
 def normalize_filters(filters: Sequence[str] | None) -> list[str]:
@@ -139,10 +138,12 @@ def select_files(listing: DataFrame, options: ScanOptions = ScanOptions(),
     return listing.filter(selection(F.col(path_col), F.col(root_col), options, config))
 
 
-def file_status(files: DataFrame, config: ScanConfig = ScanConfig(), extractors: Sequence[str] | None = None,
-                ext_col: str = "extension") -> Column:
-    """SKIPPED when the extension is unsupported or has no extractor."""
+def skipped_status(ext: Column, config: ScanConfig = ScanConfig(),
+                   extractors: Sequence[str] | None = None) -> Column:
+    """'SKIPPED' when the extension is unsupported or has no extractor, else
+    null (S9)."""
     supported = [e.lower() for e in config.supported_extensions]
     if extractors is not None:
-        supported = [e for e in supported if e in {x.lower() for x in extractors}]
-    return F.when(F.lower(F.col(ext_col)).isin(*supported), F.lit(None)).otherwise(F.lit("SKIPPED"))
+        have = {x.lower() for x in extractors}
+        supported = [e for e in supported if e in have]
+    return F.when(F.lower(ext).isin(*supported), F.lit(None).cast("string")).otherwise(F.lit("SKIPPED"))
