@@ -77,3 +77,23 @@ def stream_files(spark, sf_dir):
     found = S.findings_stream(files, "text", ["rel_path"])
     S.start_findings_sink(found, out, cp).awaitTermination()
     return spark.read.parquet(out).select("rel_path", "data_type", "risk_level", "match_idx", "masked_value")
+
+
+@register("stream_file_status", with_ctes(
+    "select scan_path as folder, cast(count(*) filter (where status = 'SCANNED') as integer) as files_scanned, "
+    "cast(count(*) filter (where status = 'SKIPPED') as integer) as files_skipped, "
+    "cast(count(*) filter (where status = 'ERROR') as integer) as errors from doc_files group by scan_path",
+    "doc_files"))
+def stream_file_status(spark, sf_dir):
+    """T1 + T2 over files with their bytes: every landing file is extracted by
+    extension (txt strict, csv parsed, unknown skipped), scanned, and counted
+    per folder in a stateful aggregation."""
+    from ..operators.detect import findings_per_row
+    from ..sources.extract import extract_content
+    from .sources_q import materialized_root
+    out, cp = _fresh(spark, "file-status")
+    files = extract_content(S.read_files(spark, materialized_root(spark, sf_dir)))
+    files = files.withColumn("folder", F.substring_index("rel_path", "/", 1))
+    rows = findings_per_row(files, "text", only_if=F.col("status") == "SCANNED")
+    S.start_counter_sink(S.live_file_counters(rows, "folder"), out, cp).awaitTermination()
+    return spark.read.parquet(out).select("folder", "files_scanned", "files_skipped", "errors")

@@ -157,16 +157,20 @@ OUT_BATCH_BYTES = 64 << 20   # flush extracted text in slices of about this size
 OUT_BATCH_ROWS = 1024
 
 
+def _read_path(path: str) -> bytes:
+    with open(path, "rb") as fh:
+        return fh.read()
+
+
 def _extract_fn(extractors: Mapping[str, Callable[[bytes], str]], supported: set[str],
-                path_col: str, ext_col: str, keep: list[str]):
-    def one(path, ext):
+                source_col: str, ext_col: str, keep: list[str], from_path: bool = True):
+    def one(source, ext):
         e = (ext or "").lower()
         fn = extractors.get(e)
         if e not in supported or fn is None:
             return "SKIPPED", None, None
         try:
-            with open(path, "rb") as fh:
-                data = fh.read()
+            data = _read_path(source) if from_path else bytes(source)
             return "SCANNED", fn(data), None
         except Exception as exc:  # noqa: BLE001 - one bad file never fails the job
             return "ERROR", None, f"{type(exc).__name__}: {exc}"[:500]
@@ -174,8 +178,8 @@ def _extract_fn(extractors: Mapping[str, Callable[[bytes], str]], supported: set
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             start, size, out = 0, 0, []
-            for k, (path, ext) in enumerate(zip(pdf[path_col], pdf[ext_col])):
-                res = one(path, ext)
+            for k, (source, ext) in enumerate(zip(pdf[source_col], pdf[ext_col])):
+                res = one(source, ext)
                 out.append(res)
                 size += len(res[1] or "")
                 if size >= OUT_BATCH_BYTES or len(out) >= OUT_BATCH_ROWS:
@@ -206,6 +210,21 @@ def extract_text(files: DataFrame, extractors: Mapping[str, Callable[[bytes], st
     return files.mapInPandas(fn, schema + ", " + EXTRACT_SCHEMA)
 
 
+def extract_content(files: DataFrame, extractors: Mapping[str, Callable[[bytes], str]] | None = None,
+                    supported_extensions=SUPPORTED_EXTENSIONS, content_col: str = "content",
+                    ext_col: str = "extension") -> DataFrame:
+    """Like ``extract_text`` for rows that already carry the bytes (the
+    ``binaryFile`` source, batch or stream); the bytes column is dropped."""
+    ex = dict(DEFAULT_EXTRACTORS)
+    ex.update({k.lower(): v for k, v in (extractors or {}).items()})
+    keep = [c for c in files.columns if c != content_col]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields
+                       if f.name != content_col)
+    fn = _extract_fn(ex, {e.lower() for e in supported_extensions}, content_col, ext_col, keep,
+                     from_path=False)
+    return files.mapInPandas(fn, schema + ", " + EXTRACT_SCHEMA)
+
+
 def bytes_to_text_jvm(content_col, extension_col):
     """JVM-side text for content already in a column (e.g. ``binaryFile``):
     txt strictly, csv-like rows are left to ``extract_text``."""

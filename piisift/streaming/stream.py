@@ -85,3 +85,45 @@ def read_text_files(spark: SparkSession, root: str, glob: str | None = "*.txt",
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.load(root).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
+BINARY_FILE_SCHEMA = ("path string, modificationTime timestamp, length long, content binary")
+
+
+def read_files(spark: SparkSession, root: str, glob: str | None = None,
+               max_files_per_trigger: int | None = None) -> DataFrame:
+    """A stream of files landing anywhere under ``root`` with their bytes
+    (``binaryFile`` source): path, rel_path, file_name, extension, size_bytes,
+    modified, content.  Each new file is read once per checkpoint."""
+    from ..sources.paths import extension_of
+    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("recursiveFileLookup", True)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    df = reader.load(root)
+    name = F.substring_index(F.col("path"), "/", -1)
+    base = root.rstrip("/")
+    rel = F.regexp_replace(F.regexp_replace(F.col("path"), "^file:", ""), "^" + _re_quote(base) + "/", "")
+    return df.select("path", rel.alias("rel_path"), name.alias("file_name"), extension_of(name).alias("extension"),
+                     F.col("length").alias("size_bytes"), F.col("modificationTime").cast("timestamp_ntz")
+                     .alias("modified"), "content")
+
+
+def _re_quote(s: str) -> str:
+    import re
+    return re.escape(s)
+
+
+def live_file_counters(files_with_findings: DataFrame, by: Sequence[str] | str) -> DataFrame:
+    """T2 over a file stream: files scanned / skipped / errors and findings by
+    risk per group, from rows that carry ``status`` and a ``findings`` array."""
+    from ..operators import summary as SM
+    keys = [by] if isinstance(by, str) else list(by)
+    s = F.col("status")
+    per_file = files_with_findings.select(*keys, "status", *SM.row_risk_counts(F.col("findings")))
+    return per_file.groupBy(*keys).agg(
+        F.count_if(s == "SCANNED").cast("int").alias("files_scanned"),
+        F.count_if(s == "SKIPPED").cast("int").alias("files_skipped"),
+        F.count_if(s == "ERROR").cast("int").alias("errors"),
+        *[c for c in SM.group_risk_counts() if c is not None])
