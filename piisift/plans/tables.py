@@ -52,16 +52,19 @@ _SPLITS: dict[tuple[int, str], int] = {}
 
 
 def spread(df: DataFrame, per_core: int = 2, table_key: str | None = None) -> DataFrame:
-    """Round-robin spread of a plain scan that arrives in too few partitions.
+    """Round-robin spread of a plain scan that arrives in fewer splits than
+    there are cores (e.g. one large row group), to ``per_core`` × cores.
 
     Only looks at the scan's own split count (planning, no job), remembered
-    per session and table.  Large inputs already come in many splits and are
-    left alone: no shuffle at scale.
+    per session and table.  An input that already gives every core a split
+    is left alone, so large tables are never reshuffled; for small ones the
+    shuffle is cheap next to the regex work it spreads.
     """
     spark = df.sparkSession
     key = (id(spark), table_key) if table_key else None
     try:
-        target = spark.sparkContext.defaultParallelism * per_core
+        cores = spark.sparkContext.defaultParallelism
+        target = cores * per_core
         if key is not None and key in _SPLITS:
             have = _SPLITS[key]
         else:
@@ -70,7 +73,7 @@ def spread(df: DataFrame, per_core: int = 2, table_key: str | None = None) -> Da
                 _SPLITS[key] = have
     except Exception:  # noqa: BLE001 - no RDD access (e.g. Spark Connect): keep as is
         return df
-    return df if have >= target else df.repartition(target)
+    return df if have >= cores else df.repartition(target)
 
 
 def _path(sf_dir: str, name: str) -> str:
