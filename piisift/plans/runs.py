@@ -344,8 +344,7 @@ def history_view(spark, sf_dir):
 # ---- H3–H7: history as of a point in time ----------------------------------------------
 # Events of every run (started at start_time, finished at end_time).  The
 # state "as of" the first finish has that run COMPLETED and every run not
-# finished by then still RUNNING.  The cut-off is one aggregated row
-# (broadcast-safe).
+# finished by then still RUNNING.  The cut-off is a scalar subquery.
 def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = runs(spark, sf_dir)
     ev = F.explode(F.array(
@@ -359,8 +358,8 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events_as_of_first_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = run_events(spark, sf_dir)
-    cutoff = runs(spark, sf_dir).agg(F.min("end_time").alias("__cutoff"))
-    return ev.crossJoin(F.broadcast(cutoff)).filter(F.col("at") <= F.col("__cutoff")).drop("__cutoff")
+    cutoff = runs(spark, sf_dir).agg(F.min("end_time")).scalar()  # a one-value subquery
+    return ev.filter(F.col("at") <= cutoff)
 
 
 def state_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,7 +78,8 @@ def _lister(options: ScanOptions, config: ScanConfig):
                 if not options.include_hidden_files and _is_hidden(e.name):
                     continue
                 st = e.stat(follow_symlinks=True)
-                created = getattr(st, "st_birthtime", None)
+                # birth time where the OS has one, else the modified time
+                created = getattr(st, "st_birthtime", None) or st.st_mtime
                 yield (root, e.path, False, int(st.st_size), None if created is None else float(created),
                        float(st.st_mtime), depth + 1)
             except OSError:
