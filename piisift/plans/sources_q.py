@@ -106,6 +106,11 @@ def paths_type_filter(spark, sf_dir):
 
 
 # ---- real files -------------------------------------------------------------------
+def csv_record(text: str) -> str:
+    """The text as one CSV record of one quoted cell."""
+    return '"' + text.replace('"', '""') + '"\n'
+
+
 def _writer(root: str):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -113,7 +118,8 @@ def _writer(root: str):
             for folder, name, text in zip(pdf["scan_path"], pdf["file_name"], pdf["text"]):
                 d = os.path.join(root, folder)
                 os.makedirs(d, exist_ok=True)
-                data = (text or "").encode("utf-8")
+                body = csv_record(text or "") if name.endswith(".csv") else (text or "")
+                data = body.encode("utf-8")
                 p = os.path.join(d, name)
                 if not (os.path.exists(p) and os.path.getsize(p) == len(data)):
                     tmp = p + ".part"
@@ -126,9 +132,11 @@ def _writer(root: str):
 
 
 def materialized_root(spark: SparkSession, sf_dir: str) -> str:
-    """documents written as files under the shared folder (once per table)."""
+    """documents written as files under the shared folder (once per table):
+    .txt/.TXT/.md hold the text, .csv one quoted cell with the text, so the
+    extracted text of every scanned file is known in SQL."""
     tag = os.path.basename(sf_dir.rstrip("/")) or "data"
-    root = shared_dir(spark, "doc-files", tag)
+    root = shared_dir(spark, "doc-files-v2", tag)
     if "://" in root and not root.startswith("file://"):
         raise ValueError(f"file queries need a mounted shared folder, not {root}")
     root = root.replace("file://", "", 1)
@@ -145,9 +153,13 @@ def listed(spark, sf_dir) -> DataFrame:
     return list_files(spark, [materialized_root(spark, sf_dir)])
 
 
+_FILE_BYTES = ("case when file_name like '%.csv' then cast(strlen('\"' || replace(text, '\"', '\"\"') || '\"') + 1 "
+               "as bigint) else size_bytes end")
+
+
 @register("files_listing", with_ctes(
-    "select scan_path || '/' || file_name as rel_path, file_name, extension, size_bytes from doc_files",
-    "doc_files"))
+    f"select scan_path || '/' || file_name as rel_path, file_name, extension, {_FILE_BYTES} as size_bytes "
+    "from doc_files", "doc_files"))
 def files_listing(spark, sf_dir):
     return listed(spark, sf_dir).select("rel_path", "file_name", "extension", "size_bytes")
 
@@ -160,13 +172,26 @@ def extract_txt(spark, sf_dir):
     return f.select("rel_path", "status", F.length("text").alias("n_chars"))
 
 
-@register("extract_text", None)
+@register("extract_text", with_ctes(
+    "select scan_path || '/' || file_name as rel_path, extension, status, "
+    "cast(case when status <> 'SCANNED' then null when extension = 'csv' then length(text) + 4 "
+    "else length(text) end as integer) as n_chars from doc_files", "doc_files"))
 def extract_text_all(spark, sf_dir):
     f = extract_text(listed(spark, sf_dir))
     return f.select("rel_path", "extension", "status", F.length("text").alias("n_chars"))
 
 
-@register("files_findings", None)
+_SCANNED_DOCS = "(select * from doc_files where status = 'SCANNED') s"
+
+
+@register("files_findings", with_ctes(
+    "select f.folder, coalesce(k.critical, 0) as critical, coalesce(k.medium, 0) as medium, "
+    "coalesce(k.normal, 0) as normal, coalesce(k.total, 0) as total from "
+    "(select distinct scan_path as folder from doc_files where status = 'SCANNED') f left join "
+    "(select scan_path as folder, count(*) filter (where risk_level = 'CRITICAL') as critical, "
+    "count(*) filter (where risk_level = 'MEDIUM') as medium, count(*) filter (where risk_level = 'NORMAL') "
+    "as normal, count(*) as total from (" + duck.findings(rel=_SCANNED_DOCS, keys=("scan_path", "file_name"))
+    + ") x group by scan_path) k using (folder)", "doc_files"))
 def files_findings(spark, sf_dir):
     """End to end: list → extract → scan → counts by risk per folder."""
     f = extract_text(listed(spark, sf_dir)).filter(F.col("status") == "SCANNED")
@@ -188,3 +213,16 @@ def csv_row_text(spark, sf_dir):
 def row_text(df: DataFrame, cols) -> "F.Column":
     """Cells of a tabular row as CSV-extracted text: 'cell | cell | '."""
     return F.concat(*[x for c in cols for x in (F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(" | "))])
+
+
+@register("scan_run", with_ctes(
+    "select scan_path || '/' || file_name as rel_path, data_type, risk_level, match_idx, masked_value from ("
+    + duck.findings(rel=_SCANNED_DOCS, keys=("scan_path", "file_name")) + ") f", "doc_files"))
+def scan_run(spark, sf_dir):
+    """Entry A end to end: a scan request over the folder (all types, default
+    options), planned by ``run_scan``; its findings as rows."""
+    from ..operators.run import run_scan
+    root = materialized_root(spark, sf_dir)
+    run = run_scan(spark, [root], run_id="scan-run")
+    rel = F.substring(F.col("file_path"), len(root.rstrip("/")) + 2, 1 << 30)
+    return run.findings.select(rel.alias("rel_path"), "data_type", "risk_level", "match_idx", "masked_value")

@@ -54,6 +54,5 @@ def test_oracle(spark, con, name):
     assert _digest(df.columns, rows) == _digest(dcols, drows)
 
 
-def test_every_query_has_oracle_or_is_known_rows_only():
-    rows_only = set(E.queries()) - set(E.oracle_sql())
-    assert rows_only <= {"extract_text", "files_findings"}
+def test_every_query_has_an_oracle():
+    assert set(E.queries()) == set(E.oracle_sql())
