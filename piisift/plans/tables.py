@@ -102,7 +102,7 @@ def corpus(spark: SparkSession, sf_dir: str, balance: bool = True) -> DataFrame:
 def doc_files(spark: SparkSession, sf_dir: str, balance: bool = True) -> DataFrame:
     """documents as files: scan_path, doc_id, path, file_name, size_bytes,
     created, modified (TIMESTAMP_NTZ), lang, text, extension, status."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     if balance:
         docs = spread(docs, table_key=_path(sf_dir, "documents"))
     ext = F.expr(FILE_EXT)
@@ -114,7 +114,8 @@ def doc_files(spark: SparkSession, sf_dir: str, balance: bool = True) -> DataFra
         name.alias("file_name"), ext.alias("ext_raw"),
         F.octet_length("text").cast("long").alias("size_bytes"),
         created.alias("created"),
-        (created + F.expr("make_dt_interval(0, 0, 0, octet_length(text))")).alias("modified"),
+        # modified: n_chars seconds later, so run metadata never reads the text
+        (created + F.expr("make_dt_interval(0, 0, 0, n_chars)")).alias("modified"),
         "lang", "text")
     supported = F.lower("ext_raw").isin(*SUPPORTED_EXTENSIONS)
     return (out.withColumn("extension", F.lower("ext_raw"))
@@ -139,7 +140,7 @@ select source as scan_path, doc_id,
        lower({FILE_EXT}) as extension,
        cast(strlen(text) as bigint) as size_bytes,
        timestamp '{BASE_TS}' + to_minutes(doc_id) as created,
-       timestamp '{BASE_TS}' + to_minutes(doc_id) + to_seconds(strlen(text)) as modified,
+       timestamp '{BASE_TS}' + to_minutes(doc_id) + to_seconds(n_chars) as modified,
        case when lower({FILE_EXT}) not in ({', '.join(repr(e) for e in SUPPORTED_EXTENSIONS)}) then 'SKIPPED'
             when text is null then 'ERROR' else 'SCANNED' end as status,
        text
