@@ -10,7 +10,8 @@ Per extension (case-insensitive):
         by a line break; empty lines skipped; quoted commas and line breaks kept
   xlsx  all sheets, rows, cells in order; each cell's text and one space,
         a line break per row; numbers in Java's double notation (so a
-        16-digit number shows as 4.111111111111111E15)
+        16-digit number shows as 4.111111111111111E15), date-formatted
+        numbers as dd-MMM-yyyy, formulas as their formula text
   docx  paragraph text, one line each; table rows with tab-separated cells
   pdf   no extractor here → SKIPPED (plug one in through ``extractors``)
 Unsupported extensions → SKIPPED.
@@ -19,8 +20,10 @@ Unsupported extensions → SKIPPED.
 from __future__ import annotations
 
 import csv
+import datetime as dt
 import io
 import math
+import re
 import zipfile
 from decimal import Decimal
 from typing import Callable, Iterable, Iterator, Mapping
@@ -90,24 +93,67 @@ def _xlsx_sheet_paths(z: zipfile.ZipFile) -> list[str]:
     return out
 
 
+# Built-in number formats that show dates (ids 14-22 and 45-47).
+_DATE_FORMAT_IDS = set(range(14, 23)) | {45, 46, 47}
+_MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+
+
+def _is_date_format(code: str) -> bool:
+    """A custom number format shows a date when, without quoted text, escapes
+    and [..] sections, it is made of date/time letters and separators."""
+    f = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", code or "").split(";")[0]
+    f = re.sub(r"(?i)am/pm|a/p", "", f)
+    return bool(f) and bool(re.fullmatch(r"[yYmMdDhHsSeE0\-/,.: ]+", f)) and bool(re.search(r"[yYdD]|[mM]", f))
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Indexes of cell styles whose number format is a date."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    st = ET.fromstring(z.read("xl/styles.xml"))
+    custom = {int(n.get("numFmtId")): n.get("formatCode", "") for n in st.iterfind("m:numFmts/m:numFmt", _NS)}
+    out = set()
+    for i, xf in enumerate(st.iterfind("m:cellXfs/m:xf", _NS)):
+        fid = int(xf.get("numFmtId", "0"))
+        if fid in _DATE_FORMAT_IDS or (fid in custom and _is_date_format(custom[fid])):
+            out.add(i)
+    return out
+
+
+def _excel_date(serial: float, date1904: bool) -> str:
+    """dd-MMM-yyyy of an Excel day number (1900 system keeps its 29 Feb 1900)."""
+    days = int(math.floor(serial))
+    if date1904:
+        d = dt.date(1904, 1, 1) + dt.timedelta(days=days)
+    elif days == 60:
+        return "29-Feb-1900"
+    else:
+        d = dt.date(1899, 12, 31) + dt.timedelta(days=days - (1 if days > 60 else 0))
+    return f"{d.day:02d}-{_MONTHS[d.month - 1]}-{d.year:04d}"
+
+
 def xlsx_text(data: bytes) -> str:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         shared: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
             for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iterfind("m:si", _NS):
                 shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
+        dates = _date_styles(z)
+        wb = ET.fromstring(z.read("xl/workbook.xml"))
+        pr = wb.find("m:workbookPr", _NS)
+        date1904 = pr is not None and pr.get("date1904") in ("1", "true")
         out = io.StringIO()
         for sheet in _xlsx_sheet_paths(z):
             root = ET.fromstring(z.read(sheet))
             for row in root.iterfind("m:sheetData/m:row", _NS):
                 for c in row.iterfind("m:c", _NS):
-                    out.write(_cell_text(c, shared))
+                    out.write(_cell_text(c, shared, dates, date1904))
                     out.write(" ")
                 out.write(LINE)
         return out.getvalue()
 
 
-def _cell_text(c, shared: list[str]) -> str:
+def _cell_text(c, shared: list[str], dates: set[int] = frozenset(), date1904: bool = False) -> str:
     t = c.get("t")
     f = c.find("m:f", _NS)
     v = c.find("m:v", _NS)
@@ -122,7 +168,10 @@ def _cell_text(c, shared: list[str]) -> str:
     if t in ("str", "e") and v is not None:
         return v.text or ""
     if v is not None and v.text:
-        return java_double(float(v.text))
+        num = float(v.text)
+        if int(c.get("s", "0")) in dates and num >= 0:
+            return _excel_date(num, date1904)
+        return java_double(num)
     return ""
 
 

@@ -151,3 +151,19 @@ def test_symlinked_dirs(spark, tmp_path):
     followed = rels(list_files(spark, [str(root)], P.ScanOptions(follow_symbolic_links=True)))
     assert "link/in/a.txt" not in plain and "b.txt" in plain
     assert "link/in/a.txt" in followed and not any(r.startswith("loop/") for r in followed)
+
+
+def test_xlsx_date_cells():
+    m = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    r = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    data = _zip({
+        "xl/workbook.xml": f'<workbook {m} {r}><sheets><sheet name="S" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+                                      '<Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/styles.xml": f'<styleSheet {m}><numFmts count="1"><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd"/>'
+                         f'</numFmts><cellXfs count="3"><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/>'
+                         f'</cellXfs></styleSheet>',
+        "xl/worksheets/sheet1.xml": f'<worksheet {m}><sheetData><row r="1"><c r="A1" s="1"><v>45296</v></c>'
+                                    f'<c r="B1" s="2"><v>1</v></c><c r="C1" s="0"><v>45296</v></c>'
+                                    f'<c r="D1" s="1"><v>60</v></c></row></sheetData></worksheet>'})
+    assert xlsx_text(data) == "05-Jan-2024 01-Jan-1900 45296.0 29-Feb-1900 \n"
