@@ -179,6 +179,7 @@ _GUARDS = {  # each pattern needs: card 4-digit groups, Aadhaar/PAN 4 digits,
     "BANK_ACCOUNT": _digits9, "PHONE_NUMBER": _digits10, "IFSC": _ifsc_head,
     "UPI_ID": _has_at, "EMAIL": _has_at,
 }
+BUILTIN_GUARDS = {g.__name__: g for g in set(_GUARDS.values())}
 _VALIDATORS = {"CARD_NUMBER": checks.luhn_valid, "AADHAAR_NUMBER": checks.verhoeff_valid}
 _DIGIT_VALIDATORS = {"CARD_NUMBER": checks.luhn_digits, "AADHAAR_NUMBER": checks.verhoeff_digits}
 _MASKS = {"PAN_NUMBER": masks.mask_pan, "UPI_ID": masks.mask_email_like,

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.checks import digits_only
-from ..functions.types import GUARD_IMPLIES, NORMAL, Detector, resolve_types
+from ..functions.types import BUILTIN_GUARDS, GUARD_IMPLIES, NORMAL, Detector, resolve_types
 
 CANDIDATE_TYPE = T.ArrayType(T.StructType([
     T.StructField("data_type", T.StringType()),
@@ -41,7 +41,12 @@ def _raw_matches(text: Column, det: Detector) -> Column:
 
 
 def _guard_name(det: Detector) -> str:
-    return getattr(det.guard, "__name__", f"g{id(det.guard)}")
+    """Column key of a guard: built-in guards by name (so equal guards are
+    shared and the digit-run chain applies), any other by identity."""
+    name = getattr(det.guard, "__name__", "")
+    if BUILTIN_GUARDS.get(name) is det.guard:
+        return name
+    return f"user{id(det.guard)}"
 
 
 def _guarded(text: Column, det: Detector, arr: Column, empty_type: T.DataType,

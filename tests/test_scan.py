@@ -100,3 +100,11 @@ def test_split_union_invariance(spark, docs):
     b = docs.filter("doc_id <> 1")
     parts = scan(a, "text", ["doc_id"]).unionByName(scan(b, "text", ["doc_id"]))
     assert sorted(map(tuple, parts.select(*keys).collect())) == whole
+
+
+def test_user_guards_are_not_confused(spark):
+    a = Detector("A_CODE", ascii_boundaries(r"\bAAA\d{3}\b"), guard=lambda t: F.instr(t, "AAA") > 0)
+    b = Detector("B_CODE", ascii_boundaries(r"\bBBB\d{3}\b"), guard=lambda t: F.instr(t, "BBB") > 0)
+    df = spark.createDataFrame([(1, "BBB123 only")], "id long, text string")
+    got = [r.data_type for r in scan(df, "text", ["id"], detectors=[a, b]).collect()]
+    assert got == ["B_CODE"]
