@@ -34,10 +34,20 @@ FINDING_TYPE = T.ArrayType(T.StructType([
 ]))
 
 
-def _raw_matches(text: Column, det: Detector) -> Column:
-    """array<struct<i, v>>: every non-overlapping match, left to right."""
-    found = F.regexp_extract_all(text, F.lit(det.pattern), F.lit(0))
-    return F.transform(found, lambda v, i: F.struct(i.cast("long").alias("i"), v.alias("v")))
+def _matches(text: Column, det: Detector) -> Column:
+    """array<string>: every non-overlapping match, left to right."""
+    return F.regexp_extract_all(text, F.lit(det.pattern), F.lit(0))
+
+
+def _indexed(found: Column, with_digits: bool) -> Column:
+    """array<struct<i, v[, d]>>; ``d`` = the value stripped to digits, made once
+    for a checksum that reads it many times."""
+    def build(v, i):
+        fields = [i.cast("long").alias("i"), v.alias("v")]
+        if with_digits:
+            fields.append(digits_only(v).alias("d"))
+        return F.struct(*fields)
+    return F.transform(found, build)
 
 
 def _guard_name(det: Detector) -> str:
@@ -129,14 +139,23 @@ def _candidate_array(text, detectors, use_guards, guard_cols, with_validity) ->
     empty = CANDIDATE_VALID_TYPE if with_validity else CANDIDATE_TYPE
     parts = []
     for det in detectors:
-        raw = _raw_matches(text, det)
-        if with_validity and det.digits_validator is not None:
-            raw = F.transform(raw, _with_digits)
-        arr = F.transform(raw, _candidate_struct(det, with_validity))
+        found = _matches(text, det)
+        if with_validity:
+            raw = _indexed(found, det.digits_validator is not None)
+            arr = F.transform(raw, _candidate_struct(det, with_validity))
+        else:  # one pass: (value, index) → candidate
+            arr = F.transform(found, _candidate_of(det))
         parts.append(_guarded(text, det, arr, empty, use_guards, guard_cols))
     return F.flatten(F.array(*parts)) if parts else F.array().cast(empty)
 
 
+def _candidate_of(det: Detector):
+    def build(v: Column, i: Column) -> Column:
+        return F.struct(F.lit(det.name).alias("data_type"), i.cast("long").alias("match_idx"),
+                        v.alias("value"))
+    return build
+
+
 def _candidate_struct(det: Detector, with_validity: bool = False):
     def build(x: Column) -> Column:
         fields = [F.lit(det.name).alias("data_type"), x["i"].alias("match_idx"), x["v"].alias("value")]
@@ -161,9 +180,11 @@ def _validity(det: Detector):
     return keep
 
 
-def _with_digits(x: Column) -> Column:
-    """Strip the value to digits once; the checksum reads the field many times."""
-    return F.struct(x["i"].alias("i"), x["v"].alias("v"), digits_only(x["v"]).alias("d"))
+def _finding_of(det: Detector):
+    def build(v: Column, i: Column) -> Column:
+        return F.struct(F.lit(det.name).alias("data_type"), F.lit(det.risk or NORMAL).alias("risk_level"),
+                        i.cast("long").alias("match_idx"), det.mask(v).alias("masked_value"))
+    return build
 
 
 def _finding_struct(det: Detector):
@@ -187,12 +208,12 @@ def _finding_array(text, detectors, use_guards, guard_cols) -> Column:
     text = _as_column(text)
     parts = []
     for det in detectors:
-        arr = _raw_matches(text, det)
+        found = _matches(text, det)
         if det.validator is not None:
-            if det.digits_validator is not None:
-                arr = F.transform(arr, _with_digits)
-            arr = F.filter(arr, _validity(det))
-        arr = F.transform(arr, _finding_struct(det))
+            arr = F.filter(_indexed(found, det.digits_validator is not None), _validity(det))
+            arr = F.transform(arr, _finding_struct(det))
+        else:  # one pass: (value, index) → masked finding
+            arr = F.transform(found, _finding_of(det))
         parts.append(_guarded(text, det, arr, FINDING_TYPE, use_guards, guard_cols))
     return F.flatten(F.array(*parts)) if parts else F.array().cast(FINDING_TYPE)
 
