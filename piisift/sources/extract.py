@@ -12,7 +12,8 @@ Per extension (case-insensitive):
         a line break per row; numbers in Java's double notation (so a
         16-digit number shows as 4.111111111111111E15), date-formatted
         numbers as dd-MMM-yyyy, formulas as their formula text
-  docx  paragraph text, one line each; table rows with tab-separated cells
+  docx  headers, body paragraphs (one line each) and tables (tab-separated
+        cells per row), footers
   pdf   no extractor here → SKIPPED (plug one in through ``extractors``)
 Unsupported extensions → SKIPPED.
 """
@@ -176,22 +177,33 @@ def _cell_text(c, shared: list[str], dates: set[int] = frozenset(), date1904: bo
 
 
 def docx_text(data: bytes) -> str:
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        body = ET.fromstring(z.read("word/document.xml")).find("w:body", _NS)
-    out = io.StringIO()
+    """Headers, then body paragraphs (one line each) and tables (tab-separated
+    cells, a line per row, an empty line after the table), then footers."""
     w = f"{{{_NS['w']}}}"
 
     def para(p) -> str:
-        return "".join((t.text or "") if t.tag == w + "t" else "\t" for t in p.iter()
-                       if t.tag in (w + "t", w + "tab"))
-
-    for el in body if body is not None else []:
-        if el.tag == w + "p":
-            out.write(para(el) + LINE)
-        elif el.tag == w + "tbl":
-            for tr in el.iterfind("w:tr", _NS):
-                cells = ["".join(para(p) for p in tc.iterfind("w:p", _NS)) for tc in tr.iterfind("w:tc", _NS)]
-                out.write("\t".join(cells) + LINE)
+        return "".join((t.text or "") if t.tag == w + "t" else ("\t" if t.tag == w + "tab" else "\n")
+                       for t in p.iter() if t.tag in (w + "t", w + "tab", w + "br", w + "cr"))
+
+    def blocks(container, out: io.StringIO) -> None:
+        for el in container if container is not None else []:
+            if el.tag == w + "p":
+                out.write(para(el) + LINE)
+            elif el.tag == w + "tbl":
+                for tr in el.iterfind("w:tr", _NS):
+                    cells = [LINE.join(para(p) for p in tc.iterfind("w:p", _NS)) for tc in tr.iterfind("w:tc", _NS)]
+                    out.write("\t".join(cells) + LINE)
+                out.write(LINE)
+
+    out = io.StringIO()
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = z.namelist()
+        parts = sorted(n for n in names if re.fullmatch(r"word/header\d*\.xml", n))
+        for n in parts:
+            blocks(ET.fromstring(z.read(n)), out)
+        blocks(ET.fromstring(z.read("word/document.xml")).find("w:body", _NS), out)
+        for n in sorted(n for n in names if re.fullmatch(r"word/footer\d*\.xml", n)):
+            blocks(ET.fromstring(z.read(n)), out)
     return out.getvalue()
 
 

@@ -167,3 +167,14 @@ def test_xlsx_date_cells():
                                     f'<c r="B1" s="2"><v>1</v></c><c r="C1" s="0"><v>45296</v></c>'
                                     f'<c r="D1" s="1"><v>60</v></c></row></sheetData></worksheet>'})
     assert xlsx_text(data) == "05-Jan-2024 01-Jan-1900 45296.0 29-Feb-1900 \n"
+
+
+def test_docx_headers_tables_footers():
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    data = _zip({
+        "word/header1.xml": f'<w:hdr {w}><w:p><w:r><w:t>HEAD jo@ybl</w:t></w:r></w:p></w:hdr>',
+        "word/document.xml": f'<w:document {w}><w:body><w:p><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t></w:r></w:p>'
+                             f'<w:tbl><w:tr><w:tc><w:p><w:r><w:t>x</w:t></w:r></w:p></w:tc>'
+                             f'<w:tc><w:p><w:r><w:t>{CARD}</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>',
+        "word/footer1.xml": f'<w:ftr {w}><w:p><w:r><w:t>FOOT</w:t></w:r></w:p></w:ftr>'})
+    assert docx_text(data) == f"HEAD jo@ybl\na\tb\nx\t{CARD}\n\nFOOT\n"
