@@ -7,7 +7,8 @@ or the driver, and one bad file only sets that file's status to ERROR.
 Per extension (case-insensitive):
   txt   strict UTF-8; malformed bytes → ERROR
   csv   UTF-8 with replacement; every cell followed by ' | ', every record
-        by a line break; empty lines skipped; quoted commas and line breaks kept
+        by a line break; empty lines skipped; quoted commas and line breaks kept;
+        malformed quoting → ERROR
   xlsx  all sheets, rows, cells in order; each cell's text and one space,
         a line break per row; numbers in Java's double notation (so a
         16-digit number shows as 4.111111111111111E15), date-formatted
@@ -45,7 +46,9 @@ def txt_text(data: bytes) -> str:
 def csv_text(data: bytes) -> str:
     text = data.decode("utf-8", errors="replace")
     out = io.StringIO()
-    for record in csv.reader(io.StringIO(text, newline="")):
+    # strict: a quote left open or text after a closing quote is an error,
+    # and the file is counted as ERROR
+    for record in csv.reader(io.StringIO(text, newline=""), strict=True):
         if not record:
             continue
         for cell in record:

@@ -178,3 +178,11 @@ def test_docx_headers_tables_footers():
                              f'<w:tc><w:p><w:r><w:t>{CARD}</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>',
         "word/footer1.xml": f'<w:ftr {w}><w:p><w:r><w:t>FOOT</w:t></w:r></w:p></w:ftr>'})
     assert docx_text(data) == f"HEAD jo@ybl\na\tb\nx\t{CARD}\n\nFOOT\n"
+
+
+def test_malformed_csv_is_an_error(spark, tmp_path):
+    (tmp_path / "ok.csv").write_text('a,"b,c"\n')
+    (tmp_path / "open.csv").write_text('a,"b,c\n')
+    (tmp_path / "after.csv").write_text('a,"b"c\n')
+    st = {r.file_name: r.status for r in extract_text(list_files(spark, [str(tmp_path)])).collect()}
+    assert st == {"ok.csv": "SCANNED", "open.csv": "ERROR", "after.csv": "ERROR"}
