@@ -61,11 +61,17 @@ def verhoeff_digits(d: Column) -> Column:
     return F.when(n == AADHAAR_LEN, folded == 0).otherwise(F.lit(False))
 
 
+def _on_digits(value: Column, fold) -> Column:
+    # strip once and hand the digits to the fold as a bound lambda variable;
+    # otherwise every step of the fold would strip the value again
+    return F.transform(F.array(digits_only(value)), fold)[0]
+
+
 def luhn_valid(value: Column) -> Column:
     """Luhn mod-10 over the digits of ``value``; 13 to 19 digits required."""
-    return luhn_digits(digits_only(value))
+    return _on_digits(value, luhn_digits)
 
 
 def verhoeff_valid(value: Column) -> Column:
     """Verhoeff check over exactly 12 digits (the Aadhaar form)."""
-    return verhoeff_digits(digits_only(value))
+    return _on_digits(value, verhoeff_digits)
