@@ -49,3 +49,13 @@ def test_run_scan_rejects_bad_request(spark, share):
         run_scan(spark, [share + "/missing"], on_missing="error")
     assert run_scan(spark, [share], options=ScanOptions(recursive=False),
                     config=ScanConfig()).files.count() == 2
+
+
+def test_command_line(spark, share, tmp_path, capsys):
+    import json
+
+    from piisift.__main__ import main
+    assert main(["scan", share, "--out", str(tmp_path / "o"), "--types", "CARD_NUMBER", "--no-hidden"]) == 0
+    row = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert (row["files_scanned"], row["errors"], row["critical"]) == (2, 1, 1)
+    assert main(["scan", share, "--out", str(tmp_path / "o"), "--types", "NOPE"]) == 2
