@@ -56,7 +56,7 @@ def main(argv=None) -> int:
     opts = ScanOptions(recursive=not a.not_recursive, include_hidden_files=not a.no_hidden,
                        exclude_configured_paths=not a.no_exclusions, follow_symbolic_links=a.follow_links,
                        file_type_filters=a.filter.split(",") if a.filter else None)
-    types = [t for t in (a.types or "").split(",") if t.strip()] or None
+    types = [t.strip() for t in (a.types or "").split(",") if t.strip()] or None
     try:
         run = run_scan(spark, a.paths, types=types, custom_patterns=_pairs(a.pattern), options=opts,
                        on_missing=a.on_missing)

@@ -209,33 +209,30 @@ def resolve_types(types=None, custom_patterns=None, detectors=None,
     """
     registry = list(detectors) if detectors is not None else list(BUILTIN_DETECTORS)
     by_name = {d.name: d for d in registry}
-    errors: list[str] = []
-    if types:
-        wanted = [t.strip().upper() if isinstance(t, str) else t for t in types]
-        unknown = [t for t in wanted if t not in by_name]
+    if types:  # names are exact (case-sensitive), as enum names
+        unknown = [t for t in types if t not in by_name]
         if unknown:
-            errors.append(f"Unknown data type(s): {', '.join(map(str, unknown))}. "
-                          f"Valid types: {', '.join(by_name)}")
-        chosen = [d for d in registry if d.name in set(wanted)]
+            raise ValueError(f"Invalid data type(s): {', '.join(map(str, unknown))}. "
+                             f"Valid options: {', '.join(by_name)}")
+        chosen = [d for d in registry if d.name in set(types)]
     else:
         chosen = registry
+    errors: list[str] = []
     overrides: dict[str, Detector] = {}
-    for key, pat in (custom_patterns or {}).items():
+    for name, pat in (custom_patterns or {}).items():
         if pat is None or not str(pat).strip():
-            continue
-        name = str(key).strip().upper()
+            continue  # a blank pattern keeps the type's own
         if name not in by_name:
-            errors.append(f"Unknown data type for custom pattern: {key}")
+            errors.append(f"Unknown PII type '{name}' in customPatterns")
             continue
         try:
             _syntax_check(pat)
         except Exception as exc:  # noqa: BLE001 - any compile error is the user's
-
             errors.append(f"Invalid regex for {name}: {exc}")
             continue
         overrides[name] = by_name[name].with_pattern(pat, rewrite_boundaries)
     if errors:
-        raise ValueError("; ".join(errors))
+        raise ValueError(" | ".join(errors))
     return [overrides.get(d.name, d) for d in chosen]
 
 

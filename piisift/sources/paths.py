@@ -47,15 +47,9 @@ class ScanConfig:
 
 
 def normalize_filters(filters: Sequence[str] | None) -> list[str]:
-    """'.TXT' → 'txt'; blanks dropped."""
-    out = []
-    for f in filters or ():
-        f = (f or "").strip()
-        if f.startswith("."):
-            f = f[1:]
-        if f:
-            out.append(f.lower())
-    return out
+    """'.TXT' → 'txt': one leading '.' dropped, lower-cased ('' keeps files
+    without an extension)."""
+    return [(f[1:] if f.startswith(".") else f).lower() for f in filters or () if f is not None]
 
 
 def extension_of(name: Column) -> Column:
