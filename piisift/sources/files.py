@@ -116,7 +116,7 @@ def list_files(spark: SparkSession, roots: Sequence[str], options: ScanOptions =
     extension, size_bytes, created, modified.  Overlapping roots give
     duplicate rows, as separate walks would."""
     ensure_checkpoint_dir(spark)
-    live = check_roots([os.path.abspath(r) for r in roots], on_missing)
+    live = [os.path.abspath(r) for r in check_roots(list(roots), on_missing)]
     frontier = spark.createDataFrame([(r, r, 0) for r in live if os.path.isdir(r)],
                                      "root string, dir string, depth int")
     single = [(r, r) for r in live if os.path.isfile(r)]
