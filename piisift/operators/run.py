@@ -73,11 +73,17 @@ class ScanRun:
         spark = self.per_file.sparkSession
         base = out_dir.rstrip("/")
         table = f"{base}/files/run_id={self.run_id}"
-        self.per_file.write.mode("overwrite").parquet(table)
-        stored = spark.read.parquet(table)
-        found = _explode(stored, self.run_id, self.start_time)
-        rep = report.write_report(found, report.report_path(f"{base}/reports", report_format or "csv"),
-                                  report_format)
+        try:
+            self.per_file.write.mode("overwrite").parquet(table)
+            stored = spark.read.parquet(table)
+            found = _explode(stored, self.run_id, self.start_time)
+            rep = report.write_report(found, report.report_path(f"{base}/reports", report_format or "csv"),
+                                      report_format)
+        except Exception:
+            if history_path:  # a failed run is recorded too: FAILED, end time, no report
+                failed = self.summary(self.per_file.limit(0), dt.datetime.now(), "FAILED", None)
+                history.append_history(failed, history_path)
+            raise
         row = self.summary(stored, dt.datetime.now(), "COMPLETED", rep)
         if history_path:
             history.append_history(row, history_path)

@@ -59,3 +59,15 @@ def test_command_line(spark, share, tmp_path, capsys):
     row = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert (row["files_scanned"], row["errors"], row["critical"]) == (2, 1, 1)
     assert main(["scan", share, "--out", str(tmp_path / "o"), "--types", "NOPE"]) == 2
+
+
+def test_failed_run_is_recorded(spark, share, tmp_path):
+    run = run_scan(spark, [share], run_id="run-f")
+    out = tmp_path / "blocked"
+    out.write_text("a file where the output folder should go")
+    hist = str(tmp_path / "history")
+    with pytest.raises(Exception):
+        run.write(str(out), "csv", history_path=hist)
+    back = history.read_history(spark, hist).collect()
+    assert [(r.run_id, r.status, r.report_path) for r in back] == [("run-f", "FAILED", None)]
+    assert back[0].end_time is not None
