@@ -470,3 +470,18 @@ _EXT_COLS = ["run_id", "status", "start_time", "end_time", "scan_path", "files_s
     "run_findings"))
 def external_ingest(spark, sf_dir):
     return history.parse_external(external_payloads(spark, sf_dir)).select(*_EXT_COLS)
+
+
+# ---- Q6 on the history: 10 runs a page, newest first ------------------------------------
+HISTORY_PAGE = 2
+
+
+@register("history_page", run_ctes(
+    "select run_id, status, start_time, scan_path, cast(pos as integer) as pos, pg as page, total from "
+    "(select *, row_number() over (order by start_time desc, run_id desc) as pos, count(*) over () as total "
+    f"from run_summary) x, (select least({HISTORY_PAGE}, greatest(1, cast(ceil(count(*) / "
+    f"{browse.PAGE_SIZE}.0) as integer))) as pg from run_summary) p "
+    f"where pos > (pg - 1) * {browse.PAGE_SIZE} and pos <= pg * {browse.PAGE_SIZE}", "run_summary"))
+def history_page(spark, sf_dir):
+    rows = run_summary_df(spark, sf_dir).select("run_id", "status", "start_time", "scan_path")
+    return browse.page(rows, HISTORY_PAGE, seq=[F.col("start_time"), F.col("run_id")])
