@@ -287,10 +287,3 @@ def extract_content(files: DataFrame, extractors: Mapping[str, Callable[[bytes],
     fn = _extract_fn(ex, {e.lower() for e in supported_extensions}, content_col, ext_col, keep,
                      from_path=False)
     return files.mapInPandas(fn, schema + ", " + EXTRACT_SCHEMA)
-
-
-def bytes_to_text_jvm(content_col, extension_col):
-    """JVM-side text for content already in a column (e.g. ``binaryFile``):
-    txt strictly, csv-like rows are left to ``extract_text``."""
-    from pyspark.sql import functions as F
-    return F.when(F.lower(extension_col) == "txt", F.try_validate_utf8(content_col.cast("string")))

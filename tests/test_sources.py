@@ -186,3 +186,14 @@ def test_malformed_csv_is_an_error(spark, tmp_path):
     (tmp_path / "after.csv").write_text('a,"b"c\n')
     st = {r.file_name: r.status for r in extract_text(list_files(spark, [str(tmp_path)])).collect()}
     assert st == {"ok.csv": "SCANNED", "open.csv": "ERROR", "after.csv": "ERROR"}
+
+
+def test_binary_file_listing_and_content_extraction(spark, tree):
+    from piisift.sources.extract import extract_content
+    from piisift.sources.files import list_files_binary
+    files = list_files_binary(spark, tree)
+    names = {r.file_name for r in files.select("file_name").collect()}
+    assert "a.txt" in names and "b.CSV" in names
+    assert ".h.txt" not in names and "_u.txt" not in names  # Spark's file sources skip these
+    st = {r.file_name: r.status for r in extract_content(files).select("file_name", "status").collect()}
+    assert st["a.txt"] == "SCANNED" and st["bad.txt"] == "ERROR" and st["noext"] == "SKIPPED"
