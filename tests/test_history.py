@@ -131,3 +131,27 @@ def test_history_table_append_and_read(spark, tmp_path):
     assert back.count() == 4
     assert sorted(r.run_id for r in back.collect()) == ["r,3", "r1", "r1", "r2"]
     assert [r.scan_path for r in back.collect() if r.run_id == "r,3"] == ["a,b"]
+
+
+def test_location_and_labels(spark):
+    from piisift.operators import browse
+    rows = [("C:\\data\\a.txt", "a.txt"), ("/d/x/b.csv", "b.csv"), ("/d/x/b.csv", "other"),
+            ("noseparator", "zzz"), (None, "a"), ("", "a")]
+    df = spark.createDataFrame(rows, "p string, n string")
+    got = [r.l for r in df.select(browse.location(F.col("p"), F.col("n")).alias("l")).collect()]
+    assert got == ["C:\\data", "/d/x", "/d/x", "noseparator", "-", "-"]
+    t = spark.createDataFrame([("CARD_NUMBER",), ("X_TYPE",)], "t string")
+    assert [r.l for r in t.select(browse.type_label(F.col("t")).alias("l")).collect()] == ["Card Number", "X_TYPE"]
+
+
+def test_report_formats(spark, tmp_path):
+    t = dt.datetime(2024, 1, 5, 13, 4)
+    f = spark.createDataFrame([("a.txt", "/d/a.txt", "EMAIL", "NORMAL", "j**n@x.org", t, t, t)],
+                              "file_name string, file_path string, data_type string, risk_level string, "
+                              "masked_value string, scan_ts timestamp_ntz, file_created timestamp_ntz, "
+                              "file_modified timestamp_ntz")
+    for fmt in ("parquet", "json", "Excel"):
+        out = report.write_report(f, str(tmp_path / fmt), fmt)
+        assert out is not None and os.listdir(out)
+    back = spark.read.parquet(str(tmp_path / "parquet")).collect()[0]
+    assert back["Masked Value"] == "j**n@x.org" and back["Scan Timestamp"] == "2024-01-05 13:04:00"

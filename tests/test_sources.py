@@ -197,3 +197,11 @@ def test_binary_file_listing_and_content_extraction(spark, tree):
     assert ".h.txt" not in names and "_u.txt" not in names  # Spark's file sources skip these
     st = {r.file_name: r.status for r in extract_content(files).select("file_name", "status").collect()}
     assert st["a.txt"] == "SCANNED" and st["bad.txt"] == "ERROR" and st["noext"] == "SKIPPED"
+
+
+def test_skipped_status_column(spark):
+    df = spark.createDataFrame([("TXT",), ("pdf",), ("md",), ("",)], "extension string")
+    got = [r.s for r in df.select(P.skipped_status(F.col("extension")).alias("s")).collect()]
+    assert got == [None, None, "SKIPPED", "SKIPPED"]
+    got = [r.s for r in df.select(P.skipped_status(F.col("extension"), extractors=["txt"]).alias("s")).collect()]
+    assert got == [None, "SKIPPED", "SKIPPED", "SKIPPED"]  # pdf has no extractor
