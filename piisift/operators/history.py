@@ -53,7 +53,7 @@ def append_history(runs: DataFrame, path: str, fmt: str = "csv") -> None:
     writer = rows.write.mode("append")
     if fmt == "csv":
         (writer.option("header", False).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False)
-         .option("ignoreTrailingWhiteSpace", False).csv(path))
+         .option("ignoreTrailingWhiteSpace", False).option("lineSep", "\r\n").csv(path))
     else:
         writer.format(fmt).save(path)
 

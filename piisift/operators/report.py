@@ -25,10 +25,11 @@ def writer(name: str):
 
 
 def _csv_writer(df: DataFrame):
-    # values are written as they are: no trimming, '"' doubled inside quotes
+    # values are written as they are (no trimming, '"' doubled inside quotes),
+    # records end with CRLF like the reference's report files
     return (df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
             .option("emptyValue", "").option("ignoreLeadingWhiteSpace", False)
-            .option("ignoreTrailingWhiteSpace", False))
+            .option("ignoreTrailingWhiteSpace", False).option("lineSep", "\r\n"))
 
 
 @writer("csv")
@@ -82,5 +83,5 @@ def write_export(findings: DataFrame, path: str, single_file: bool = False) -> s
     """Filtered export (K3): friendly labels, display times, CRLF lines."""
     rows = browse.export_rows(findings)
     rows = rows.coalesce(1) if single_file else rows
-    _csv_writer(rows).option("lineSep", "\r\n").csv(path)
+    _csv_writer(rows).csv(path)
     return path
