@@ -201,7 +201,7 @@ LABEL_BY_TYPE = {d.name: d.label for d in BUILTIN_DETECTORS}
 
 
 def resolve_types(types=None, custom_patterns=None, detectors=None,
-                  rewrite_boundaries: bool = True) -> list[Detector]:
+                  rewrite_boundaries: bool = True, compile_check=None) -> list[Detector]:
     """Pick the detectors of one run (plan-time; no data is touched).
 
     ``types``: None/empty → all.  Unknown names and bad custom patterns are
@@ -226,7 +226,7 @@ def resolve_types(types=None, custom_patterns=None, detectors=None,
             errors.append(f"Unknown PII type '{name}' in customPatterns")
             continue
         try:
-            _syntax_check(pat)
+            (compile_check or _syntax_check)(pat)
         except Exception as exc:  # noqa: BLE001 - any compile error is the user's
             errors.append(f"Invalid regex for {name}: {exc}")
             continue
@@ -236,6 +236,22 @@ def resolve_types(types=None, custom_patterns=None, detectors=None,
     return [overrides.get(d.name, d) for d in chosen]
 
 
+def java_compile_check(spark):
+    """A check that compiles the pattern with Java's engine (the one Spark
+    runs), through a one-row query on a literal; raises with Java's message."""
+    def check(pattern: str) -> None:
+        try:
+            spark.range(1).select(F.regexp_extract_all(F.lit(""), F.lit(pattern), F.lit(0))).collect()
+        except Exception as exc:  # noqa: BLE001
+            try:  # a readable reason, when the Python engine sees one too
+                _syntax_check(pattern)
+            except Exception as detail:  # noqa: BLE001
+                raise ValueError(str(detail)) from None
+            text = str(exc)
+            raise ValueError(text.splitlines()[0] if text else repr(exc)) from None
+    return check
+
+
 def _syntax_check(pattern: str) -> None:
     # The third-party ``regex`` module accepts the Java constructs users write
     # (possessive quantifiers, \p{..} classes, atomic groups); Spark compiles

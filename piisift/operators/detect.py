@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.checks import digits_only
-from ..functions.types import BUILTIN_GUARDS, GUARD_IMPLIES, NORMAL, Detector, resolve_types
+from ..functions.types import (BUILTIN_GUARDS, GUARD_IMPLIES, NORMAL, Detector, java_compile_check,
+                              resolve_types)
 
 CANDIDATE_TYPE = T.ArrayType(T.StructType([
     T.StructField("data_type", T.StringType()),
@@ -218,6 +219,17 @@ def _finding_array(text, detectors, use_guards, guard_cols) -> Column:
     return F.flatten(F.array(*parts)) if parts else F.array().cast(FINDING_TYPE)
 
 
+def _resolve(df: DataFrame, types, custom_patterns, detectors) -> list[Detector]:
+    """Chosen detectors; user patterns are compiled by Java, as Spark will."""
+    check = None
+    if custom_patterns and any(p and str(p).strip() for p in custom_patterns.values()):
+        try:
+            check = java_compile_check(df.sparkSession)
+        except Exception:  # noqa: BLE001 - no session access: fall back to a Python check
+            check = None
+    return resolve_types(types, custom_patterns, detectors, compile_check=check)
+
+
 def _keys(key_cols) -> list[str]:
     if key_cols is None:
         return []
@@ -238,7 +250,7 @@ def candidates(df: DataFrame, text_col: str = "text", key_cols: Iterable[str] |
 
     One row per match; no dedup and no overlap resolution across types.
     """
-    chosen = resolve_types(types, custom_patterns, detectors)
+    chosen = _resolve(df, types, custom_patterns, detectors)
     keys = _keys(key_cols)
     src = _spread(df.select(*keys, F.col(text_col).alias("__text")), num_partitions)
     src, gcols = with_guards(src, "__text", chosen, use_guards)
@@ -264,7 +276,7 @@ def scan(df: DataFrame, text_col: str = "text", key_cols: Iterable[str] | str |
       for inputs that arrive in a few large partitions.  Documents are never
       split, since a match may straddle any cut.
     """
-    chosen = resolve_types(types, custom_patterns, detectors)
+    chosen = _resolve(df, types, custom_patterns, detectors)
     keys = _keys(key_cols)
     if scan_ts is None:
         ts = F.localtimestamp()
@@ -289,7 +301,7 @@ def findings_per_row(df: DataFrame, text_col: str = "text", types: Sequence[str]
     text and no shuffle of single findings.  ``only_if``: rows where it is
     false get an empty array without running any regex.
     """
-    chosen = resolve_types(types, custom_patterns, detectors)
+    chosen = _resolve(df, types, custom_patterns, detectors)
     src, gcols = with_guards(df, text_col, chosen, use_guards)
     arr = finding_array(text_col, chosen, use_guards, gcols)
     if only_if is not None:

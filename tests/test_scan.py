@@ -109,3 +109,13 @@ def test_user_guards_are_not_confused(spark):
     df = spark.createDataFrame([(1, "BBB123 only")], "id long, text string")
     got = [r.data_type for r in scan(df, "text", ["id"], detectors=[a, b]).collect()]
     assert got == ["B_CODE"]
+
+
+def test_java_only_pattern_syntax_is_accepted(spark):
+    df = spark.createDataFrame([(1, "mail abc@example.com")], "id long, text string")
+    rows = scan(df, "text", ["id"], types=["EMAIL"],
+                custom_patterns={"EMAIL": r"\p{javaLowerCase}+@example\.com"}).collect()
+    assert [r.masked_value for r in rows] == ["a*c@example.com"]
+    with pytest.raises(ValueError) as e:
+        scan(df, "text", ["id"], custom_patterns={"EMAIL": "([a-z"})
+    assert str(e.value).startswith("Invalid regex for EMAIL: ")
