@@ -45,7 +45,7 @@ def main(argv=None) -> int:
     from pyspark.sql import SparkSession
 
     from .operators.run import run_scan
-    from .session import ensure_checkpoint_dir
+    from .session import ensure_checkpoint_dir, ship_package
     from .sources.paths import ScanOptions
 
     builder = SparkSession.builder.appName("piisift-scan")
@@ -53,6 +53,7 @@ def main(argv=None) -> int:
         builder = builder.master(a.master)
     spark = builder.getOrCreate()
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     opts = ScanOptions(recursive=not a.not_recursive, include_hidden_files=not a.no_hidden,
                        exclude_configured_paths=not a.no_exclusions, follow_symbolic_links=a.follow_links,
                        file_type_filters=a.filter.split(",") if a.filter else None)

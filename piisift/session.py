@@ -58,3 +58,51 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A folder under the shared checkpoint location (never machine-local on a cluster)."""
     root = ensure_checkpoint_dir(spark)
     return "/".join([root.rstrip("/"), *parts])
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``piisift`` importable in the executors' Python workers.
+
+    Functions run by ``mapInPandas`` refer to this package, so workers must
+    import it.  When it is not installed on the cluster, a zip of the package
+    is handed to ``SparkContext.addPyFile`` (as ``--py-files`` would), once
+    per application.
+    """
+    import hashlib
+    import io
+    import zipfile
+
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # noqa: BLE001 - no SparkContext access (e.g. Spark Connect)
+        return
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, dirs, files in os.walk(pkg):
+            dirs[:] = sorted(d for d in dirs if d != "__pycache__")
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    data = buf.getvalue()
+    name = f"piisift-{hashlib.sha1(data).hexdigest()[:12]}.zip"
+    folder = ensure_checkpoint_dir(spark)
+    if "://" in folder and not folder.startswith("file://"):
+        folder = tempfile.gettempdir()  # the driver's file server distributes it
+    folder = os.path.join(folder.replace("file://", "", 1), "pyfiles")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, name)
+    if not os.path.exists(path):
+        tmp = path + f".{os.getpid()}.part"
+        with open(tmp, "wb") as fh:
+            fh.write(data)
+        os.replace(tmp, path)
+    sc.addPyFile(path)
+    _SHIPPED.add(app)

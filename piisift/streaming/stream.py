@@ -50,16 +50,35 @@ def live_counters(findings: DataFrame, by: Sequence[str] | str) -> DataFrame:
 
 
 def start_counter_sink(counters: DataFrame, out_path: str, checkpoint: str,
-                       available_now: bool = True) -> StreamingQuery:
+                       available_now: bool = True, state_partitions: int | None = None) -> StreamingQuery:
     """Each micro-batch replaces the counter table with the full current
-    state (complete mode; the state is one row per group)."""
+    state (complete mode; the state is one row per group).
+
+    ``state_partitions`` (default: the cluster's cores) sizes the state store;
+    it is fixed in the checkpoint at the first start.  The stream runs on a
+    copy of the session, so the caller's setting is left as it was.
+    """
     def write(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(out_path)
 
     w = (counters.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
          .foreachBatch(write))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="2 seconds")
-    return w.start()
+    return _start_with_partitions(counters.sparkSession, w, state_partitions)
+
+
+def _start_with_partitions(spark: SparkSession, writer, n: int | None) -> StreamingQuery:
+    key = "spark.sql.shuffle.partitions"
+    try:
+        n = n or spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no SparkContext access: keep the session's setting
+        return writer.start()
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, old)
 
 
 def start_recent_sink(findings: DataFrame, table_path: str, checkpoint: str,
