@@ -155,3 +155,23 @@ def test_report_formats(spark, tmp_path):
         assert out is not None and os.listdir(out)
     back = spark.read.parquet(str(tmp_path / "parquet")).collect()[0]
     assert back["Masked Value"] == "j**n@x.org" and back["Scan Timestamp"] == "2024-01-05 13:04:00"
+
+
+def test_excel_report_roundtrip(spark, tmp_path):
+    from piisift.sources.extract import xlsx_text
+    t = dt.datetime(2024, 1, 5, 13, 4)
+    f = spark.createDataFrame([("a<&>.txt", "/d/a.txt", "CARD_NUMBER", "CRITICAL", "**** 1111", t, None, t),
+                               ("b.txt", "/d/b.txt", "EMAIL", "NORMAL", "j**n@x.org", t, None, t)],
+                              "file_name string, file_path string, data_type string, risk_level string, "
+                              "masked_value string, scan_ts timestamp_ntz, file_created timestamp_ntz, "
+                              "file_modified timestamp_ntz").coalesce(1)
+    out = report.write_report(f, str(tmp_path / "xl"), "EXCEL")
+    parts = [p for p in os.listdir(out) if p.endswith(".xlsx")]
+    assert len(parts) == 1
+    text = xlsx_text(open(os.path.join(out, parts[0]), "rb").read())
+    lines = text.splitlines()
+    assert lines[0].startswith("File Name File Path Sensitive Data Type Risk Level Masked Value")
+    assert "a<&>.txt /d/a.txt CARD_NUMBER CRITICAL **** 1111 2024-01-05 13:04:00  2024-01-05 13:04:00 " in lines
+    empty = report.write_report(f.limit(0), str(tmp_path / "xl0"), "excel")
+    only = [p for p in os.listdir(empty) if p.endswith(".xlsx")]
+    assert len(only) == 1 and xlsx_text(open(os.path.join(empty, only[0]), "rb").read()).count("\n") == 1
