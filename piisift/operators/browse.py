@@ -17,16 +17,20 @@ from pyspark.sql import functions as F
 
 from ..functions.types import LABEL_BY_TYPE, TYPE_NAMES
 
+# --------------------------------------------------------------------------
+# Fixed values (must equal the reference): window and page sizes, time
+# formats, the placeholder for a missing time, and the report headers.
+# --------------------------------------------------------------------------
 RECENT_WINDOW = 200   # live findings window
 PAGE_SIZE = 10        # findings and history pages
 DISPLAY_TS = "dd MMM yyyy, h:mm a"
 REPORT_TS = "yyyy-MM-dd HH:mm:ss"
 NO_VALUE = "–"
-
 REPORT_HEADER = ["File Name", "File Path", "Sensitive Data Type", "Risk Level", "Masked Value",
                  "Scan Timestamp", "File Created", "File Modified"]
 EXPORT_HEADER = ["File Name", "File Path", "PII Type", "Risk Level", "Masked Value",
                  "Scan Timestamp", "File Created", "File Modified"]
+# --------------------------------------------------------------------------
 
 
 def type_ordinal(col: Column) -> Column:

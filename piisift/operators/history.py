@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 
 from . import summary
 
+# --------------------------------------------------------------------------
+# Run states, the 12 history fields in file order, the length
+# of the short run id and the ISO local date-time shape the history uses.
+# --------------------------------------------------------------------------
 STATUSES = ("RUNNING", "COMPLETED", "FAILED")
 HISTORY_COLUMNS = ["run_id", "status", "start_time", "end_time", "scan_path", "files_scanned",
                    "files_skipped", "errors", "critical", "medium", "normal", "report_path"]
@@ -24,6 +28,7 @@ _LONG_FIELDS = ("critical", "medium", "normal")
 _ISO_LOCAL = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?$"
 _JAVA_INT = r"^[+-]?[0-9]+$"
 ID_PREFIX_LEN = 8
+# --------------------------------------------------------------------------
 
 
 def iso_local(ts: Column) -> Column:
