@@ -64,3 +64,38 @@ def test_masks(spark):
     out = df.select("v", "kind", "want", *[fns[k](F.col("v")).alias(k) for k in fns]).collect()
     for r in out:
         assert r[r.kind] == r.want, (r.v, r.kind)
+
+
+def py_last4(v):
+    if not v:
+        return ""
+    if len(v) <= 4:
+        return "*" * len(v)
+    return "".join(c if (c in " -" or i >= len(v) - 4) else "*" for i, c in enumerate(v))
+
+
+def py_pan(v):
+    if not v:
+        return ""
+    return "*" + v[5:9] + "*" if len(v) == 10 else "*" * len(v)
+
+
+def py_email(v):
+    if not v:
+        return ""
+    at = v.find("@")
+    if at <= 0:
+        return "*" * len(v)
+    local, domain = v[:at], v[at:]
+    masked = "*" * len(local) if len(local) <= 2 else local[0] + "*" * (len(local) - 2) + local[-1]
+    return masked + domain
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.text(alphabet="ab9 -@.Z", min_size=0, max_size=14), min_size=40, max_size=60))
+def test_masks_match_python(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = df.select("v", mask_last4(F.col("v")).alias("a"), mask_pan(F.col("v")).alias("b"),
+                    mask_email_like(F.col("v")).alias("c")).collect()
+    for r in got:
+        assert (r.a, r.b, r.c) == (py_last4(r.v), py_pan(r.v), py_email(r.v)), r.v
