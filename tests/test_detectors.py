@@ -75,3 +75,32 @@ def test_guards_do_not_change_results(spark):
     a = sorted(map(tuple, candidates(df, "text", ["id"], use_guards=True).collect()))
     b = sorted(map(tuple, candidates(df, "text", ["id"], use_guards=False).collect()))
     assert a == b
+
+
+# ---- brute force: the original patterns under ASCII \b (Python re.ASCII) ----
+import re as _re  # noqa: E402
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+from piisift.functions.types import TYPE_TABLE  # noqa: E402
+
+TOKENS = ["4111", "1111", "4539578763621486", "234123412346", "9876543210", "+91", "91", "ABCPK1234L",
+          "A1234567", "MH12", "2011", "0000001", "ABC1234567", "HDFC0001234", "jo.doe", "@", "ybl", "example",
+          ".", "com", "-", " ", "é", "ß", "_", "x", "é4785380592391139", "mail", "user7", "%", "\n"]
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(TOKENS), min_size=1, max_size=14).map("".join),
+                min_size=30, max_size=40))
+def test_detectors_match_ascii_brute_force(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {}
+    for r in candidates(df, "text", ["id"]).collect():
+        got.setdefault((r.id, r.data_type), []).append((r.match_idx, r.value))
+    for name, _risk, _label, pattern in TYPE_TABLE:
+        rx = _re.compile(pattern, _re.ASCII)
+        for i, t in enumerate(texts):
+            want = [m.group(0) for m in rx.finditer(t)]
+            have = [v for _, v in sorted(got.get((i, name), []))]
+            assert have == want, (name, t)
