@@ -110,6 +110,14 @@ def display_ts(col: Column) -> Column:
     return F.coalesce(F.date_format(col, DISPLAY_TS), F.lit(NO_VALUE))
 
 
+def display_ts_text(col: Column) -> Column:
+    """Q8 for time stamps held as text: formatted when it parses, the text
+    itself when it does not, '–' when empty or null."""
+    blank = col.isNull() | (F.trim(col) == "")
+    shown = F.coalesce(F.date_format(F.try_to_timestamp(col), DISPLAY_TS), col)
+    return F.when(blank, F.lit(NO_VALUE)).otherwise(shown)
+
+
 def location(path_col: Column, name_col: Column) -> Column:
     """Folder of a file: path minus the name and its separator; else up to the
     last separator; null → '-' (Q9)."""

@@ -175,3 +175,11 @@ def test_excel_report_roundtrip(spark, tmp_path):
     empty = report.write_report(f.limit(0), str(tmp_path / "xl0"), "excel")
     only = [p for p in os.listdir(empty) if p.endswith(".xlsx")]
     assert len(only) == 1 and xlsx_text(open(os.path.join(empty, only[0]), "rb").read()).count("\n") == 1
+
+
+def test_display_timestamps(spark):
+    from piisift.operators import browse
+    df = spark.createDataFrame([("2024-01-05T13:04:00",), ("2024-01-05T00:30:00",), ("not a time",), ("",), (None,)],
+                               "s string")
+    got = [r.d for r in df.select(browse.display_ts_text(F.col("s")).alias("d")).collect()]
+    assert got == ["05 Jan 2024, 1:04 PM", "05 Jan 2024, 12:30 AM", "not a time", "–", "–"]
