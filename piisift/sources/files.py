@@ -78,7 +78,7 @@ def _lister(options: ScanOptions, config: ScanConfig):
                 if not options.include_hidden_files and _is_hidden(e.name):
                     continue
                 st = e.stat(follow_symlinks=True)
-                # birth time where the OS has one, else the modified time
+                # birth time where the OS has one, else the modified time (as Java does)
                 created = getattr(st, "st_birthtime", None) or st.st_mtime
                 yield (root, e.path, False, int(st.st_size), None if created is None else float(created),
                        float(st.st_mtime), depth + 1)
@@ -101,6 +101,11 @@ def _lister(options: ScanOptions, config: ScanConfig):
     return run
 
 
+def _created(path: str) -> float:
+    st = os.stat(path)
+    return getattr(st, "st_birthtime", None) or st.st_mtime
+
+
 def check_roots(roots: Sequence[str], on_missing: str = "skip") -> list[str]:
     """Missing roots are skipped (default) or rejected together."""
     missing = [r for r in roots if not os.path.exists(r)]
@@ -135,7 +140,8 @@ def list_files(spark: SparkSession, roots: Sequence[str], options: ScanOptions =
         found = found.unionByName(p)
     if single:  # a root that is a file is handed over as a file
         extra = spark.createDataFrame(
-            [(r, p, False, os.path.getsize(p), None, os.path.getmtime(p), 0) for r, p in single], ENTRY_SCHEMA)
+            [(r, p, False, os.path.getsize(p), _created(p), os.path.getmtime(p), 0) for r, p in single],
+            ENTRY_SCHEMA)
         found = found.unionByName(extra)
     name = F.substring_index(F.col("path"), "/", -1)
     rel = F.when(F.col("path") == F.col("root"), name).otherwise(

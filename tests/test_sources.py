@@ -205,3 +205,12 @@ def test_skipped_status_column(spark):
     assert got == [None, None, "SKIPPED", "SKIPPED"]
     got = [r.s for r in df.select(P.skipped_status(F.col("extension"), extractors=["txt"]).alias("s")).collect()]
     assert got == [None, "SKIPPED", "SKIPPED", "SKIPPED"]  # pdf has no extractor
+
+
+def test_file_root_and_empty_root(spark, tmp_path):
+    f = tmp_path / "one.txt"
+    f.write_text("x")
+    (tmp_path / "empty").mkdir()
+    rows = list_files(spark, [str(f), str(tmp_path / "empty")]).collect()
+    assert [(r.rel_path, r.extension) for r in rows] == [("one.txt", "txt")]
+    assert rows[0].created is not None and rows[0].modified is not None
