@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.types import Detector, resolve_types
 from ..sources.extract import extract_text
-from ..sources.files import list_files
+from ..sources.files import balance, list_files
 from ..sources.paths import ScanConfig, ScanOptions
 from . import history, report, summary
 from .detect import findings_per_row
@@ -106,7 +106,7 @@ def run_scan(spark: SparkSession, roots: Sequence[str], types: Sequence[str] | N
     resolve_types(types, custom_patterns, detectors)  # validate the request up front
     rid = run_id or str(uuid.uuid4())
     start = dt.datetime.now().replace(microsecond=0)
-    listing = list_files(spark, roots, options, config, on_missing)
+    listing = balance(list_files(spark, roots, options, config, on_missing))
     files = extract_text(listing, extractors, config.supported_extensions)
     per_file = findings_per_row(files, "text", types, custom_patterns, detectors,
                                 only_if=F.col("status") == "SCANNED").drop("text")

@@ -167,3 +167,20 @@ def list_files_binary(spark: SparkSession, root: str, glob: str | None = None) -
                      extension_of(name).alias("extension"), F.col("length").alias("size_bytes"),
                      F.lit(None).cast("timestamp_ntz").alias("created"),
                      F.col("modificationTime").cast("timestamp_ntz").alias("modified"), "content")
+
+
+def balance(listing: DataFrame, files_per_task: int = 1000, bytes_per_task: int = 128 << 20) -> DataFrame:
+    """Spread a listing evenly before the files are read.
+
+    Listings come out grouped by folder, so a folder holding most of the files
+    would otherwise be read and scanned by one task.  The listing is small
+    metadata: one count, then a round-robin shuffle of paths (never bytes).
+    """
+    files, size = listing.agg(F.count(F.lit(1)), F.sum("size_bytes")).first()
+    files, size = int(files or 0), int(size or 0)
+    try:
+        cores = listing.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no SparkContext access
+        cores = 1
+    n = max(cores, -(-files // files_per_task), -(-size // bytes_per_task))
+    return listing.repartition(max(1, min(n, max(files, 1))))

@@ -214,3 +214,16 @@ def test_file_root_and_empty_root(spark, tmp_path):
     rows = list_files(spark, [str(f), str(tmp_path / "empty")]).collect()
     assert [(r.rel_path, r.extension) for r in rows] == [("one.txt", "txt")]
     assert rows[0].created is not None and rows[0].modified is not None
+
+
+def test_balance_spreads_one_big_folder(spark, tmp_path):
+    from piisift.sources.files import balance
+    big = tmp_path / "big"
+    big.mkdir()
+    for i in range(40):
+        (big / f"f{i}.txt").write_text("x")
+    listing = list_files(spark, [str(tmp_path)])
+    spread_out = balance(listing, files_per_task=5)
+    sizes = spread_out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(sizes) >= 8 and max(r["count"] for r in sizes) <= 5
+    assert spread_out.count() == 40
