@@ -175,7 +175,8 @@ def report_path(output_directory: str, fmt: str = "csv", now_ms: int | None = No
     <dir>/scan-report-<epoch millis>.<fmt> (a directory of part files)."""
     import time
     ms = int(time.time() * 1000) if now_ms is None else now_ms
-    return f"{output_directory.rstrip('/')}/scan-report-{ms}.{(fmt or 'csv').lower()}"
+    ext = {"excel": "xlsx"}.get((fmt or "csv").lower(), (fmt or "csv").lower())
+    return f"{output_directory.rstrip('/')}/scan-report-{ms}.{ext}"
 
 
 def write_report(findings: DataFrame, path: str, fmt: str | None = "csv",
