@@ -370,8 +370,7 @@ def state_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HIST_CTES = (
     "run_event_rows as (select run_id, 'started' as event, start_time as ev_ts, scan_path, report_path from runs "
     "union all select run_id, 'finished' as event, end_time as ev_ts, scan_path, report_path from runs),\n"
-    "cutoff as (select min(end_time) as t from runs),\n"
-    "ev as (select e.* from run_event_rows e, cutoff c where e.ev_ts <= c.t),\n"
+    "ev as (select e.* from run_event_rows e where e.ev_ts <= (select min(end_time) from runs)),\n"
     "folded as (select run_id, min(ev_ts) filter (where event = 'started') as start_time, "
     "max(ev_ts) filter (where event = 'finished') as end_time, any_value(scan_path) as scan_path, "
     "case when bool_or(event = 'finished') then 'COMPLETED' else 'RUNNING' end as status, "
