@@ -212,11 +212,12 @@ PAGE_NO = 3
 
 
 @register("findings_page", run_ctes(
-    f"select {_FIND_COLS}, cast(pos as integer) as pos, pg as page, total from (select *, "
-    f"row_number() over (order by {_SEQ_DESC}) as pos, count(*) over () as total from run_findings) x, "
-    f"(select least({PAGE_NO}, greatest(1, cast(ceil(count(*) / {browse.PAGE_SIZE}.0) as integer))) as pg "
-    f"from run_findings) p where pos > (pg - 1) * {browse.PAGE_SIZE} and pos <= pg * {browse.PAGE_SIZE}",
-    "run_findings"))
+    f"select {_FIND_COLS}, cast(pos as integer) as pos, (select pg from page_no) as page, total from (select *, "
+    f"row_number() over (order by {_SEQ_DESC}) as pos, count(*) over () as total from run_findings) x "
+    f"where pos > ((select pg from page_no) - 1) * {browse.PAGE_SIZE} "
+    f"and pos <= (select pg from page_no) * {browse.PAGE_SIZE}", "run_findings").replace(
+    "\nselect " + _FIND_COLS, ",\npage_no as (select least(" + str(PAGE_NO) + ", greatest(1, cast(ceil(count(*) / "
+    + str(browse.PAGE_SIZE) + ".0) as integer))) as pg from run_findings)\nselect " + _FIND_COLS, 1))
 def findings_page(spark, sf_dir):
     return browse.page(run_findings(spark, sf_dir), PAGE_NO)
 
@@ -476,11 +477,14 @@ HISTORY_PAGE = 2
 
 
 @register("history_page", run_ctes(
-    "select run_id, status, start_time, scan_path, cast(pos as integer) as pos, pg as page, total from "
-    "(select *, row_number() over (order by start_time desc, run_id desc) as pos, count(*) over () as total "
-    f"from run_summary) x, (select least({HISTORY_PAGE}, greatest(1, cast(ceil(count(*) / "
-    f"{browse.PAGE_SIZE}.0) as integer))) as pg from run_summary) p "
-    f"where pos > (pg - 1) * {browse.PAGE_SIZE} and pos <= pg * {browse.PAGE_SIZE}", "run_summary"))
+    "select run_id, status, start_time, scan_path, cast(pos as integer) as pos, (select pg from page_no) as page, "
+    "total from (select *, row_number() over (order by start_time desc, run_id desc) as pos, "
+    "count(*) over () as total from run_summary) x "
+    f"where pos > ((select pg from page_no) - 1) * {browse.PAGE_SIZE} "
+    f"and pos <= (select pg from page_no) * {browse.PAGE_SIZE}", "run_summary").replace(
+    "\nselect run_id, status, start_time", ",\npage_no as (select least(" + str(HISTORY_PAGE)
+    + ", greatest(1, cast(ceil(count(*) / " + str(browse.PAGE_SIZE) + ".0) as integer))) as pg from run_summary)"
+    "\nselect run_id, status, start_time", 1))
 def history_page(spark, sf_dir):
     rows = run_summary_df(spark, sf_dir).select("run_id", "status", "start_time", "scan_path")
     return browse.page(rows, HISTORY_PAGE, seq=[F.col("start_time"), F.col("run_id")])
