@@ -131,9 +131,9 @@ def list_files(spark: SparkSession, roots: Sequence[str], options: ScanOptions =
         listed = frontier.mapInPandas(fn, ENTRY_SCHEMA).checkpoint()
         parts.append(listed.filter(~F.col("is_dir")))
         frontier = listed.filter(F.col("is_dir")).select("root", F.col("path").alias("dir"), "depth")
-        if not options.recursive or frontier.isEmpty():
+        n_dirs = frontier.count() if options.recursive else 0  # one number per level to the driver
+        if n_dirs == 0:
             break
-        n_dirs = frontier.count()
         frontier = frontier.repartition(max(1, -(-n_dirs // dirs_per_task)))
     found = parts[0]
     for p in parts[1:]:
