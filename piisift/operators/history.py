@@ -82,13 +82,13 @@ def restore_history(lines: DataFrame, col: str = "value") -> DataFrame:
         "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}).alias("r")).select("r.*")
     enough = F.col("_corrupt_record").isNull() | F.col("c11").isNotNull()
     c = [F.col(f"c{i}") for i in range(12)]
-    ok = (enough & c[0].isNotNull() & c[1].isin(*STATUSES)
+    ok = (enough & c[1].isin(*STATUSES)
           & c[2].rlike(_ISO_LOCAL) & c[3].rlike(_ISO_LOCAL)
           & F.try_to_timestamp(c[2]).isNotNull() & F.try_to_timestamp(c[3]).isNotNull())
     for i in range(5, 11):
         ok = ok & c[i].rlike(_JAVA_INT)
     typed = parsed.select(
-        c[0].alias("run_id"), c[1].alias("status"),
+        F.coalesce(c[0], F.lit("")).alias("run_id"), c[1].alias("status"),  # an empty id is still an id
         c[2].cast("timestamp_ntz").alias("start_time"), c[3].cast("timestamp_ntz").alias("end_time"),
         F.when(F.trim(F.coalesce(c[4], F.lit(""))) == "", F.lit(None)).otherwise(c[4]).alias("scan_path"),
         *[c[5 + k].try_cast("int").alias(n) for k, n in enumerate(_INT_FIELDS)],

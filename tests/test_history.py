@@ -183,3 +183,9 @@ def test_display_timestamps(spark):
                                "s string")
     got = [r.d for r in df.select(browse.display_ts_text(F.col("s")).alias("d")).collect()]
     assert got == ["05 Jan 2024, 1:04 PM", "05 Jan 2024, 12:30 AM", "not a time", "–", "–"]
+
+
+def test_restore_keeps_an_empty_run_id(spark):
+    lines = [",COMPLETED,2024-01-01T10:00,2024-01-01T10:05,/data,1,0,0,0,0,0,", ""]
+    got = history.restore_history(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert [(r.run_id, r.status) for r in got] == [("", "COMPLETED")]
