@@ -1,0 +1 @@
+"""Sources: path selection predicates, the distributed file lister, text extraction."""

@@ -1,0 +1 @@
+"""Structured Streaming forms of the scan, counters and recent-findings sink."""
