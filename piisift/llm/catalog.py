@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .token_files import op3_token_files
+from . import packing, quality, secrets, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_token_files": op3_token_files,
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op3_token_files": token_files.op3_token_files,
+    "op8_secret_scan": secrets.op8_secret_scan,
+    "op9_host_quality": quality.op9_host_quality,
+}
+ORACLES: dict[str, str] = {
+    "op9_host_quality": quality.OP9_SQL,
 }
-ORACLES: dict[str, str] = {}

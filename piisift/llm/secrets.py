@@ -1,0 +1,274 @@
+"""Secret scans with structural confirmation.
+
+Three base kinds are found by pattern alone: ``assign`` (a named value), ``access`` (an access-key id)
+and ``hex`` (a long run of hex digits).  The method adds spans that only a parse can confirm: candidates
+in base64 or hex are decoded, and reported when the bytes have the structure of a secret:
+
+* ``pem``: a block between BEGIN/END lines of a private key whose body decodes to a key encoding, or
+  which carries the header lines of an encrypted key;
+* ``der``: base64 or hex text that decodes to a DER private key: nested lengths all fit, and the
+  sequence has the integer and octet-string layout of PKCS#1, PKCS#8 or SEC 1;
+* ``openssh``: a decoded OpenSSH private-key body, whose length-prefixed fields nest exactly;
+* ``token``: a signed token: a JSON header that names an algorithm, a JSON payload and a signature.
+
+Offsets are code points, end exclusive.  Defined cases: null text is empty and has no span; the order of
+spans is by start, then by kind as listed in ``KINDS``, then by end; repeated rows are scanned alike;
+other columns of the input are ignored.
+"""
+
+from __future__ import annotations
+
+import base64
+import binascii
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import slices, table, text_of
+
+KINDS = ("assign", "access", "hex", "pem", "der", "openssh", "token")
+
+# Fixed patterns of the base kinds.
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+                    re.IGNORECASE | re.ASCII)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so this drops the short ones of [0-9a-f]+
+
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(.*?)-----END \1-----", re.DOTALL)
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+HEX_TEXT = re.compile(r"(?:[0-9A-Fa-f]{2}){32,}")
+TOKEN = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+OPENSSH_MAGIC = b"openssh-key-v1\0"
+
+
+def b64(text: str) -> bytes | None:
+    """Base64 in either alphabet, padding optional; None when it is not base64."""
+    text = text.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(text) % 4 == 1:
+        return None
+    try:
+        return base64.b64decode(text + "=" * (-len(text) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return None
+
+
+def _der_item(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+    """(tag, start, end) of the DER value at ``at``; None unless its length fits and is minimal."""
+    if at + 2 > end:
+        return None
+    tag, n = data[at], data[at + 1]
+    at += 2
+    if n >= 0x80:
+        k = n & 0x7F
+        if not 1 <= k <= 4 or at + k > end or data[at] == 0:
+            return None
+        n = int.from_bytes(data[at:at + k], "big")
+        if n < 0x80:
+            return None
+        at += k
+    return (tag, at, at + n) if at + n <= end else None
+
+
+def _der_children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The values that fill a constructed value exactly."""
+    out = []
+    while at < end:
+        item = _der_item(data, at, end)
+        if item is None:
+            return None
+        out.append(item)
+        at = item[2]
+    return out
+
+
+def _nested(data: bytes, items: list[tuple[int, int, int]], depth: int = 0) -> bool:
+    """Whether every constructed value below is filled exactly by its parts."""
+    for tag, at, end in items:
+        if tag & 0x20:
+            inner = _der_children(data, at, end) if depth < 16 else None
+            if inner is None or not _nested(data, inner, depth + 1):
+                return False
+    return True
+
+
+def is_private_der(data: bytes) -> bool:
+    """PKCS#1, PKCS#8 (plain or encrypted) or SEC 1 private key, with all nested lengths exact."""
+    top = _der_item(data, 0, len(data))
+    if top is None or top[0] != 0x30 or top[2] != len(data):
+        return False
+    parts = _der_children(data, top[1], top[2])
+    if not parts or not _nested(data, parts):
+        return False
+    tags = [t for t, _, _ in parts]
+    version = data[parts[0][1]:parts[0][2]] if tags[0] == 0x02 else None
+    if version in (b"\0", b"\1"):
+        if len(tags) >= 9 and all(t == 0x02 for t in tags[:9]):
+            return True  # PKCS#1: version and eight integers
+        if tags[1:3] == [0x30, 0x04]:
+            return True  # PKCS#8: version, algorithm, key octets
+        if version == b"\1" and len(tags) >= 2 and tags[1] == 0x04 and parts[1][2] - parts[1][1] >= 16:
+            return True  # SEC 1: version, key octets
+    if tags == [0x30, 0x04]:  # encrypted PKCS#8: algorithm with an object identifier, then octets
+        inner = _der_children(data, parts[0][1], parts[0][2])
+        return bool(inner) and inner[0][0] == 0x06 and parts[1][2] - parts[1][1] >= 32
+    return False
+
+
+def is_openssh(data: bytes) -> bool:
+    """OpenSSH private-key body: cipher, kdf, options, key count, public keys, private part."""
+    if not data.startswith(OPENSSH_MAGIC):
+        return False
+    at = len(OPENSSH_MAGIC)
+
+    def field() -> bytes | None:
+        nonlocal at
+        if at + 4 > len(data):
+            return None
+        n = int.from_bytes(data[at:at + 4], "big")
+        if at + 4 + n > len(data):
+            return None
+        at += 4 + n
+        return data[at - n:at]
+
+    if any(field() is None for _ in range(3)) or at + 4 > len(data):
+        return False
+    keys = int.from_bytes(data[at:at + 4], "big")
+    at += 4
+    return 1 <= keys <= 16 and all(field() is not None for _ in range(keys)) and field() is not None and at == len(data)
+
+
+def is_signed_token(text: str) -> bool:
+    """Three parts: a JSON header naming an algorithm, a JSON payload, a signature (empty for ``none``)."""
+    head, body, sign = text.split(".")[:3]
+    try:
+        header, payload = (json.loads(b64(x) or b"") for x in (head, body))
+    except (ValueError, RecursionError):
+        return False
+    if not isinstance(header, dict) or not isinstance(header.get("alg"), str) or not isinstance(payload, dict):
+        return False
+    return header["alg"].lower() == "none" or bool(sign and b64(sign))
+
+
+def _pem_confirmed(body: str) -> bool:
+    if re.search(r"Proc-Type: *4, *ENCRYPTED", body):
+        return True
+    data = b64(re.sub(r"\\n|\\r|\s", "", body))
+    return data is not None and (is_private_der(data) or is_openssh(data))
+
+
+def base_spans(text: str) -> list[tuple[int, int, str]]:
+    out = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    if "AKIA" in text:
+        out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 20]
+    return out + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
+
+
+def added_spans(text: str) -> list[tuple[int, int, str]]:
+    """Spans confirmed by decoding and parsing.
+
+    DER and OpenSSH keys may sit inside a longer run of base64 letters, so a decode is also tried where
+    their first bytes can begin; every start is a fixed prefix, which keeps the work linear.
+    """
+    out: list[tuple[int, int, str]] = []
+    if "PRIVATE KEY-----" in text:
+        out += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if _pem_confirmed(m[2])]
+    if "." in text and "ey" in text:
+        out += [(m.start(), m.end(), "token") for m in TOKEN.finditer(text)
+                if m[0].startswith("ey") and is_signed_token(m[0])]
+    covered = [(a, b) for a, b, _ in out]
+    for m in BASE64.finditer(text):
+        if any(a <= m.start() < b for a, b in covered):
+            continue
+        data = b64(m[0]) if m[0][0] in "Mb" else None  # 0x30 and "o" begin with M and b
+        if data and data[:1] == b"\x30" and is_private_der(data):
+            out.append((m.start(), m.end(), "der"))
+        elif data and is_openssh(data):
+            out.append((m.start(), m.end(), "openssh"))
+    for m in HEX_TEXT.finditer(text):
+        if m[0].startswith("30") and is_private_der(bytes.fromhex(m[0])):
+            out.append((m.start(), m.end(), "der"))
+        elif m[0].startswith("6f70") and is_openssh(bytes.fromhex(m[0])):
+            out.append((m.start(), m.end(), "openssh"))
+    return out
+
+
+_RANK = {k: i for i, k in enumerate(KINDS)}
+
+
+def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """(base spans, all spans), each as (start, end, kind) by start, then kind, then end."""
+    def order(spans):
+        return sorted(set(spans), key=lambda s: (s[0], _RANK[s[2]], s[1]))
+    base = base_spans(text)
+    return order(base), order(base + added_spans(text))
+
+
+def joined(spans: list[tuple[int, int, str]]) -> str:
+    return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
+
+
+def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with each run of overlapping spans replaced by ``[SECRET]``."""
+    out, at = [], 0
+    for a, b, _ in spans:
+        if a >= at:
+            out += [text[at:a], "[SECRET]"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: key, ``spans`` (array of start, end, kind, base), in one narrow pass."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()),
+                                   ("base", pa.bool_())]))
+        for b in slices(batches):
+            rows = []
+            for t in b.column(1).to_pylist():
+                base, spans = find(t)
+                own = set(base)
+                rows.append([{"start": a, "end": e, "kind": k, "base": (a, e, k) in own} for a, e, k in spans])
+            yield pa.record_batch([b.column(0), pa.array(rows, kind)], ["key", "spans"])
+
+    key_type = docs.schema[key].dataType.simpleString()
+    return (docs.select(F.col(key).alias("key"), text_of(text).alias("t"))
+            .mapInArrow(scan, f"key {key_type}, spans array<struct<start:bigint,end:bigint,kind:string,base:boolean>>")
+            .withColumnRenamed("key", key))
+
+
+def _joined(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts of the base kinds, digest of base spans, all spans."""
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    n = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")
+         for k in KINDS[:3]]
+    return found.select("doc_id", *n, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+def redact(docs: DataFrame, text: str = "text", length: str | None = None) -> DataFrame:
+    """The same rows and columns, each secret's characters replaced; ``length`` names a code-point count to renew.
+
+    Null texts and texts without a secret stay as they are.
+    """
+    at = docs.columns.index(text)
+    schema = docs.schema
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            new = [t if t is None else masked(t, find(t)[1]) for t in b.column(at).to_pylist()]
+            cols = list(b.columns)
+            cols[at] = pa.array(new, pa.string())
+            yield pa.record_batch(cols, b.schema.names)
+
+    out = docs.mapInArrow(rewrite, schema)
+    if length:
+        out = out.withColumn(length, F.coalesce(F.char_length(text).cast(schema[length].dataType), F.col(length)))
+    return out
