@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, secrets, token_files
+from . import bpe_duck, exact, lattice_lm, licences, packing, quality, secret_scan, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op3_token_files": token_files.op3_token_files,
-    "op8_secret_scan": secrets.op8_secret_scan,
+    "op5_exact_dedup": exact.op5_exact_dedup,
+    "op6_bpe_duckdb": bpe_duck.op6_bpe_duckdb,
+    "op7_lattice_lm": lattice_lm.op7_lattice_lm,
+    "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_host_quality": quality.op9_host_quality,
+    "op10_licence_scan": licences.op10_licence_scan,
 }
 ORACLES: dict[str, str] = {
+    "op5_exact_dedup": exact.OP5_SQL,
     "op9_host_quality": quality.OP9_SQL,
 }
