@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_duck, exact, lattice_lm, licences, packing, quality, secret_scan, token_files
+from . import bpe_duck, exact, lattice_lm, licences, near, packing, quality, secret_scan, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_order_minhash": near.op2_order_minhash,
     "op3_token_files": token_files.op3_token_files,
     "op5_exact_dedup": exact.op5_exact_dedup,
     "op6_bpe_duckdb": bpe_duck.op6_bpe_duckdb,
