@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_duck, exact, lattice_lm, licences, near, packing, quality, secret_scan, token_files
+from . import bpe_duck, exact, html_text, lattice_lm, licences, near, packing, quality, secret_scan, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_order_minhash": near.op2_order_minhash,
     "op3_token_files": token_files.op3_token_files,
+    "op4_template_text": html_text.op4_template_text,
     "op5_exact_dedup": exact.op5_exact_dedup,
     "op6_bpe_duckdb": bpe_duck.op6_bpe_duckdb,
     "op7_lattice_lm": lattice_lm.op7_lattice_lm,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licence_scan": licences.op10_licence_scan,
 }
 ORACLES: dict[str, str] = {
+    "op4_template_text": html_text.op4_template_text,
     "op5_exact_dedup": exact.OP5_SQL,
     "op9_host_quality": quality.OP9_SQL,
 }

@@ -95,6 +95,16 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", capac
                       F.col("key").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    """The rows that stay, with their columns: one of each group of equal texts."""
+    stay = (exact_groups(docs, key, text, capacity).filter("kept")
+            .select(F.col(key).alias("__key"), F.col("text_sha256").alias("__sha")).distinct())
+    # rows repeated with their key collapse map-side, before the join
+    rows = docs.withColumn("__text_sha", F.sha2(normalised(text), 256)).dropDuplicates([key, "__text_sha"])
+    same = rows[key].eqNullSafe(stay["__key"]) & (rows["__text_sha"] == stay["__sha"])
+    return rows.join(stay, same, "left_semi").select(*docs.columns)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal normalised texts over all documents."""
     return exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -118,7 +118,7 @@ def beta_prior(hosts: DataFrame):
     return m.select((F.col("m") * weight).alias("alpha"), ((1 - F.col("m")) * weight).alias("beta"))
 
 
-def judge(measured: DataFrame, key: str = "doc_id") -> DataFrame:
+def judge(measured: DataFrame) -> DataFrame:
     """Verdicts: the measures plus base_failed, strict_failed, host_rate, host_failed, kept.
 
     ``measured`` is read twice, so hand in a written table.
@@ -135,7 +135,25 @@ def judge(measured: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def host_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """Measures and verdict of every document (see :func:`judge`)."""
-    return judge(written(measure_documents(docs, key, text, host), "quality"), key)
+    return judge(written(measure_documents(docs, key, text, host), "quality"))
+
+
+def keep_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """The rows that stay, with their columns."""
+    at, host_at = docs.columns.index(text), docs.columns.index(host)
+    names = [m.split()[0] for m in MEASURES.split(", ")]
+    own = [f"__{i}" for i in range(len(docs.columns))]  # so that no column of the input clashes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            rows = [measure(t or "") for t in b.column(at).to_pylist()]
+            hosts = ["" if h is None else str(h) for h in b.column(host_at).to_pylist()]
+            yield pa.record_batch([*b.columns, pa.array(hosts, pa.string()),
+                                   *(pa.array(c, pa.int64()) for c in zip(*rows))], [*own, "host", *names])
+
+    fields = ", ".join(f"{o} {f.dataType.simpleString()}" for o, f in zip(own, docs.schema.fields))
+    measured = written(docs.mapInArrow(run, f"{fields}, host string, {MEASURES}"), "quality-rows")
+    return judge(measured).filter("kept").select(*(F.col(o).alias(c) for o, c in zip(own, docs.columns)))
 
 
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -257,21 +257,23 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = None) -> DataFrame:
-    """The same rows and columns, each secret's characters replaced; ``length`` names a code-point count to renew.
+    """The same rows and columns, the characters of each secret replaced by ``[SECRET]``.
 
-    Null texts and texts without a secret stay as they are.
+    ``length`` names a code-point count that follows the text.  Rows without a secret stay as they are,
+    null texts among them.
     """
     at = docs.columns.index(text)
-    schema = docs.schema
+    size_at = docs.columns.index(length) if length else None
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            new = [t if t is None else masked(t, find(t)[1]) for t in b.column(at).to_pylist()]
+            old = b.column(at).to_pylist()
+            new = [t if t is None else masked(t, find(t)[1]) for t in old]
             cols = list(b.columns)
-            cols[at] = pa.array(new, pa.string())
+            cols[at] = pa.array(new, cols[at].type)
+            if size_at is not None:
+                sizes = [n if t == u else len(u) for n, t, u in zip(cols[size_at].to_pylist(), old, new)]
+                cols[size_at] = pa.array(sizes, cols[size_at].type)
             yield pa.record_batch(cols, b.schema.names)
 
-    out = docs.mapInArrow(rewrite, schema)
-    if length:
-        out = out.withColumn(length, F.coalesce(F.char_length(text).cast(schema[length].dataType), F.col(length)))
-    return out
+    return docs.mapInArrow(rewrite, docs.schema)
