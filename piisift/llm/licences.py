@@ -125,7 +125,7 @@ def directory_of(path: Column) -> Column:
 
 def headers(docs: DataFrame, text: str = "t") -> DataFrame:
     """row, block, header of every run of licence lines; ``docs`` has a row number ``row``."""
-    lines = (docs.filter(F.col(text).rlike(TERMS)).select("row", F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    lines = (docs.select("row", F.posexplode(F.split(text, "\n")).alias("at", "line"))
              .withColumn("hit", F.col("line").rlike(TERMS)))
     by_row = W.partitionBy("row").orderBy("at")
     last = F.last(F.when(F.col("hit"), F.col("at")), True).over(by_row)
@@ -171,15 +171,16 @@ def best_templates(blocks: DataFrame) -> DataFrame:
 
 def scan_licences(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per file: key, path, licence, similarity, via (header, file, directory or null), licence_dir."""
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"),
-                           F.col(path).alias("path"), text_of(text).alias("t"))
-    size = F.expr(f"size(regexp_extract_all(lower(t), '{WORD}', 0))")
-    found = written(best_templates(headers(numbered)), "licence-headers")
+    # one pass over the texts: only those with a licence term can hold a header, and only they are kept
+    numbered = written(docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(path).alias("path"),
+        F.when(text_of(text).rlike(TERMS), text_of(text)).alias("t")), "licence-texts")
+    found = written(best_templates(headers(numbered.filter("t is not null"))), "licence-headers")
     per_row = found.groupBy("row").agg(
         F.min_by(F.struct("licence", "similarity"), F.struct((-F.col("similarity")).alias("s"), F.col("licence"))).alias("own"),
         F.sum("n_words").alias("licence_words"))
-    # only rows with a licence term can have a header, so only their words are counted
-    files = numbered.select("row", "key", "path", F.when(F.col("t").rlike(TERMS), size).alias("n_words"))
+    size = F.expr(f"size(regexp_extract_all(lower(t), '{WORD}', 0))")
+    files = numbered.select("row", "key", "path", F.when(F.col("t").isNotNull(), size).alias("n_words"))
     held = written(files.join(per_row, "row", "left").select(
         "key", "path", directory_of(F.col("path")).alias("dir"), "own.licence", "own.similarity",
         F.coalesce(100 * F.col("licence_words") >= FILE_PERCENT * F.col("n_words"), F.lit(False)).alias("is_file")),

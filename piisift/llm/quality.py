@@ -167,8 +167,8 @@ def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WS = r"[\x20\x09-\x0D]+"
 OP9_SQL = rf"""
 with d as (select doc_id, coalesce(source, '') as host, coalesce(text, '') as t from documents),
-w as (select doc_id, host, t, list_filter(regexp_split_to_array(t, '{_WS}'), x -> x <> '') as ws,
-             list_filter(string_split(t, chr(10)), x -> regexp_replace(x, '{_WS}', '', 'g') <> '') as ls from d),
+w as (select doc_id, host, t, list_filter(regexp_split_to_array(t, '{_WS}'), lambda x: x <> '') as ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, '{_WS}', '', 'g') <> '') as ls from d),
 g as (select doc_id, i, list_aggregate(list_slice(ws, i, i + {WINDOW - 1}), 'string_agg', ' ') as win
       from (select doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) as i from w where len(ws) >= {WINDOW})),
 tw as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, win) as c from g) where c > 1),

@@ -1,0 +1,26 @@
+"""Registered queries: names, oracles at sf0.001."""
+
+import pytest
+
+import __spark_entry__ as entry
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_all_operators_are_registered():
+    names = entry.queries()
+    for n in range(1, 11):
+        assert sum(q.startswith(f"op{n}_") for q in names) == 1
+    assert "pipeline" in names
+
+
+@pytest.mark.parametrize("name", ["op5_exact_dedup", "op9_host_quality"])
+def test_oracle(spark, name):
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    want = con.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    expected = sorted(map(repr, want.fetchall()))
+    got = entry.queries()[name](spark, SF).select(*names).collect()
+    assert sorted(repr(tuple(r)) for r in got) == expected and expected
