@@ -103,8 +103,8 @@ def strict_failed():
             | (F.col("word_chars") < low * words) | (F.col("word_chars") > high * words))
 
 
-def beta_prior(hosts: DataFrame):
-    """Columns alpha and beta of the prior, by the moments of the hosts' rates: one row.
+def beta_prior(hosts: DataFrame) -> tuple[float, float]:
+    """Alpha and beta of the prior, by the moments of the hosts' rates.
 
     The prior's mean is the mean rate of hosts, its weight the one that explains their spread beyond
     what chance gives; between 1 and 1,000 documents' worth.
@@ -115,20 +115,20 @@ def beta_prior(hosts: DataFrame):
     spread = F.col("m") * (1 - F.col("m"))
     between = F.greatest(F.col("v") - spread * F.col("inv"), F.lit(0.0))
     weight = F.least(F.greatest(spread / F.greatest(between, F.lit(1e-9)) - 1, F.lit(1.0)), F.lit(1000.0))
-    return m.select((F.col("m") * weight).alias("alpha"), ((1 - F.col("m")) * weight).alias("beta"))
+    row = m.select((F.col("m") * weight).alias("alpha"), ((1 - F.col("m")) * weight).alias("beta")).first()
+    return row["alpha"] or 0.0, row["beta"] or 0.0  # two numbers; no host: no prior needed
 
 
 def judge(measured: DataFrame) -> DataFrame:
     """Verdicts: the measures plus base_failed, strict_failed, host_rate, host_failed, kept.
 
-    ``measured`` is read twice, so hand in a written table.
+    ``measured`` is read more than once, so hand in a written table.
     """
     rows = measured.withColumn("base_failed", base_failed()).withColumn("strict_failed", strict_failed())
     # summed per task before the shuffle: a host of a third of all rows sends one row per task
     hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("strict_failed").cast("long")).alias("failed"))
-    prior = beta_prior(hosts)
-    rates = hosts.join(F.broadcast(prior)).select(  # the prior is one row
-        "host", ((F.col("failed") + F.col("alpha")) / (F.col("n") + F.col("alpha") + F.col("beta"))).alias("host_rate"))
+    alpha, beta = beta_prior(hosts)
+    rates = hosts.select("host", ((F.col("failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))).alias("host_rate"))
     out = rows.join(rates, "host", "left").withColumn("host_failed", F.col("host_rate") > HOST_LIMIT)
     return out.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_failed") & F.col("strict_failed")))
 
