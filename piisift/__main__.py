@@ -27,7 +27,11 @@ def main(argv=None) -> int:
     ap = argparse.ArgumentParser(prog="piisift")
     sub = ap.add_subparsers(dest="cmd", required=True)
     sc = sub.add_parser("scan", help="scan folders for personal data")
-    sc.add_argument("paths", nargs="+")
+    sc.add_argument("paths", nargs="*", help="folders (default: those given by --root)")
+    sc.add_argument("--root", action="append", help="configured folder, scanned when no path is given")
+    sc.add_argument("--extensions", help="comma-separated supported extensions (default: the built-in list)")
+    sc.add_argument("--exclude-path", action="append", help="folder left out with everything below it")
+    sc.add_argument("--exclude-folder", action="append", help="folder name left out anywhere (replaces the built-in list)")
     sc.add_argument("--out", required=True, help="folder for the findings table and reports")
     sc.add_argument("--types", help="comma-separated type names (default: all)")
     sc.add_argument("--pattern", action="append", help="TYPE=REGEX, replaces that type's pattern")
@@ -46,7 +50,7 @@ def main(argv=None) -> int:
 
     from .operators.run import run_scan
     from .session import ensure_checkpoint_dir, ship_package
-    from .sources.paths import ScanOptions
+    from .sources.paths import ScanConfig, ScanOptions
 
     builder = SparkSession.builder.appName("piisift-scan")
     if a.master:
@@ -57,10 +61,13 @@ def main(argv=None) -> int:
     opts = ScanOptions(recursive=not a.not_recursive, include_hidden_files=not a.no_hidden,
                        exclude_configured_paths=not a.no_exclusions, follow_symbolic_links=a.follow_links,
                        file_type_filters=a.filter.split(",") if a.filter else None)
+    given = {"supported_extensions": a.extensions and tuple(e.strip().lower() for e in a.extensions.split(",")),
+             "excluded_paths": a.exclude_path, "excluded_folder_names": a.exclude_folder, "roots": a.root}
+    config = ScanConfig(**{k: tuple(v) for k, v in given.items() if v})
     types = [t.strip() for t in (a.types or "").split(",") if t.strip()] or None
     try:
-        run = run_scan(spark, a.paths, types=types, custom_patterns=_pairs(a.pattern), options=opts,
-                       on_missing=a.on_missing)
+        run = run_scan(spark, a.paths or None, types=types, custom_patterns=_pairs(a.pattern), options=opts,
+                       config=config, on_missing=a.on_missing)
     except (ValueError, FileNotFoundError) as exc:
         print(json.dumps({"error": str(exc)}), file=sys.stderr)
         return 2

@@ -9,6 +9,7 @@ plus one small merge (TakeOrderedAndProject), never a full sort.
 
 from __future__ import annotations
 
+import uuid
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.types import LABEL_BY_TYPE, TYPE_NAMES
+from ..session import shared_dir
 
 # --------------------------------------------------------------------------
 # Fixed values (must equal the reference): window and page sizes, time
@@ -80,23 +82,59 @@ def newest_first(findings: DataFrame, seq: Sequence[Column] | None = None) -> Da
     return findings.orderBy(*[c.desc() for c in seq])
 
 
+def stored(df: DataFrame, label: str = "view") -> DataFrame:
+    """The rows written once to the shared folder: later steps read them and
+    do not scan the texts again."""
+    path = shared_dir(df.sparkSession, "views", f"{label}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def positioned(df: DataFrame, seq: Sequence[Column] | None = None, descending: bool = True) -> DataFrame:
+    """Adds ``pos``, the 1-based position of each row in the whole ordered list.
+
+    The rows are dealt to ranges of the sort key and ranked inside each range;
+    a running sum over the ranges' sizes (one number each) makes the ranks
+    global.  No task sees more than its range.  The input is stored first:
+    the ranges are sampled and counted from it.
+    """
+    seq = list(seq or default_seq(df))
+    ordered = [c.desc() for c in seq] if descending else list(seq)
+    ranged = stored(stored(df, "rows").repartitionByRange(*ordered).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("__part").count()
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
+    ranks = ranged.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*ordered)))
+    return (ranks.join(bases, "__part")
+            .withColumn("pos", (F.col("__base") + F.col("__rank")).cast("int")).drop("__part", "__rank", "__base"))
+
+
+#: Rows up to which a page is taken as a top-N; deeper pages go by position.
+TOP_ROWS = 10_000
+
+
 def page(df: DataFrame, page_no: int, size: int = PAGE_SIZE, seq: Sequence[Column] | None = None,
          descending: bool = True) -> DataFrame:
     """One page of ``size`` rows, page clamped to [1, max(1, ceil(n/size))] (Q6).
 
     Adds ``pos`` (1-based position in the whole ordered list) and ``total``.
-    The total is one distributed count; the page itself is a top-N.
+    The rows are stored once, then counted; the first pages are a top-N, deep
+    ones are picked by their position, which no single task has to sort.
     """
     seq = list(seq or default_seq(df))
-    total = df.count()
+    rows = stored(df, "page")
+    total = rows.count()
     last = max(1, -(-total // size))
     p = min(max(1, int(page_no)), last)
-    ordered = [c.desc() for c in seq] if descending else list(seq)
-    rows = df.orderBy(*ordered).offset((p - 1) * size).limit(size)
-    # position inside the page: a window over at most ``size`` rows
-    w = Window.orderBy(*ordered)
-    return (rows.withColumn("pos", F.row_number().over(w) + F.lit((p - 1) * size))
-            .withColumn("page", F.lit(p)).withColumn("total", F.lit(total).cast("long")))
+    if p * size > TOP_ROWS:
+        found = positioned(rows, seq, descending).filter(
+            (F.col("pos") > (p - 1) * size) & (F.col("pos") <= p * size))
+    else:
+        ordered = [c.desc() for c in seq] if descending else list(seq)
+        # position inside the page: a window over at most ``size`` rows
+        found = (rows.orderBy(*ordered).offset((p - 1) * size).limit(size)
+                 .withColumn("pos", F.row_number().over(Window.orderBy(*ordered)) + F.lit((p - 1) * size)))
+    return found.withColumn("page", F.lit(p)).withColumn("total", F.lit(total).cast("long"))
 
 
 def type_label(col: Column) -> Column:

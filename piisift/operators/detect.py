@@ -116,7 +116,11 @@ def _cached(kind: str, text, detectors, use_guards, guard_cols, extra, build) ->
     if not isinstance(text, str):
         return build()
     from pyspark.sql import SparkSession
-    key = (kind, id(SparkSession.getActiveSession()), text, tuple(detectors), use_guards,
+    session = SparkSession.getActiveSession()
+    if session is None:
+        return build()
+    # expressions live in the application's JVM: an id of a later one never meets them
+    key = (kind, session.sparkContext.applicationId, text, tuple(detectors), use_guards,
            tuple(sorted((guard_cols or {}).items())), extra)
     try:
         hit = _EXPR_CACHE.get(key)

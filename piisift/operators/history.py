@@ -8,6 +8,8 @@ appears very often is still combined map-side).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,11 @@ _LONG_FIELDS = ("critical", "medium", "normal")
 _ISO_LOCAL = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?$"
 _JAVA_INT = r"^[+-]?[0-9]+$"
 ID_PREFIX_LEN = 8
+# Answers to a refused external run; callers read them, so they are fixed too.
+REJECT_BODY = "Request body is required."
+REJECT_TIMES = "startTime and endTime are required."
+REJECT_NO_STATUS = "status is required (COMPLETED or FAILED)."
+REJECT_STATUS = "Invalid status '%s'. Expected COMPLETED or FAILED."
 # --------------------------------------------------------------------------
 
 
@@ -52,13 +59,18 @@ def history_rows(runs: DataFrame) -> DataFrame:
         F.coalesce(F.col("report_path"), F.lit("")).alias("report_path"))
 
 
+# Fields hold anything: quotes are doubled, as in standard CSV; a backslash is a letter.
+_CSV = {"quote": '"', "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false"}
+_LINE_SCHEMA = ", ".join(f"c{i} string" for i in range(12)) + ", _corrupt_record string"
+
+
 def append_history(runs: DataFrame, path: str, fmt: str = "csv") -> None:
     """Append finished runs to the history table (H1): headerless CSV or Parquet."""
     rows = history_rows(runs)
     writer = rows.write.mode("append")
     if fmt == "csv":
-        (writer.option("header", False).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False)
-         .option("ignoreTrailingWhiteSpace", False).option("lineSep", "\r\n").csv(path))
+        writer.options(header="false", lineSep="\r\n", **_CSV).csv(path)
     else:
         writer.format(fmt).save(path)
 
@@ -66,7 +78,7 @@ def append_history(runs: DataFrame, path: str, fmt: str = "csv") -> None:
 def history_lines(runs: DataFrame) -> DataFrame:
     """History rows as CSV text lines (column ``value``)."""
     rows = history_rows(runs)
-    return rows.select(F.to_csv(F.struct(*rows.columns), {"emptyValue": ""}).alias("value"))
+    return rows.select(F.to_csv(F.struct(*rows.columns), _CSV).alias("value"))
 
 
 def restore_history(lines: DataFrame, col: str = "value") -> DataFrame:
@@ -76,10 +88,13 @@ def restore_history(lines: DataFrame, col: str = "value") -> DataFrame:
     field that does not parse skips the whole row.  Blank path/report → null.
     Adds ``seq`` = position-free ingestion key (the line's own start time).
     """
-    schema = ", ".join(f"c{i} string" for i in range(12)) + ", _corrupt_record string"
-    parsed = lines.select(F.from_csv(F.col(col), schema, {
-        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record",
-        "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}).alias("r")).select("r.*")
+    parsed = lines.select(F.from_csv(F.col(col), _LINE_SCHEMA, {
+        **_CSV, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("r.*")
+    return _checked(parsed)
+
+
+def _checked(parsed: DataFrame) -> DataFrame:
+    """Typed rows of those parsed records that hold twelve valid fields."""
     enough = F.col("_corrupt_record").isNull() | F.col("c11").isNotNull()
     c = [F.col(f"c{i}") for i in range(12)]
     ok = (enough & c[1].isin(*STATUSES)
@@ -103,7 +118,9 @@ def restore_history(lines: DataFrame, col: str = "value") -> DataFrame:
 
 
 def read_history(spark, path: str) -> DataFrame:
-    return restore_history(spark.read.text(path))
+    """Restore a history from its CSV files; a quoted value may span lines."""
+    return _checked(spark.read.schema(_LINE_SCHEMA).options(
+        header="false", multiLine="true", mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", **_CSV).csv(path))
 
 
 def latest_per_run(runs: DataFrame, seq: str = "seq") -> DataFrame:
@@ -180,20 +197,19 @@ def parse_external(payloads: DataFrame, col: str = "payload") -> DataFrame:
     """JSON run payloads → checked runs (H8).
 
     Adds ``reject_reason`` (null when accepted) and the effective fields:
-    status upper-cased and checked (RUNNING is rejected, decision X10), blank
-    id → a new UUID, risk counts from the supplied findings' levels.
+    status upper-cased and checked (a run state; RUNNING is stored as
+    COMPLETED, a rejected payload has none), blank id → an id made from the
+    payload itself, so every reading agrees, risk counts from the supplied
+    findings' levels.
     """
     r = payloads.select("*", F.from_json(F.col(col), EXTERNAL_RUN).alias("__r"))
     status = F.upper(F.col("__r.status"))  # no trim: ' completed' is invalid
     start = F.try_to_timestamp(F.col("__r.startTime"))
     end = F.try_to_timestamp(F.col("__r.endTime"))
-    reason = (F.when(F.col("__r").isNull(), "Request body is required.")
-              .when(start.isNull() | end.isNull(), "startTime and endTime are required.")
-              .when(F.coalesce(F.trim(F.col("__r.status")), F.lit("")) == "",
-                    "status is required (COMPLETED or FAILED).")
-              .when(~status.isin("COMPLETED", "FAILED"),
-                    F.concat(F.lit("Invalid status '"), F.col("__r.status"),
-                             F.lit("'. Expected COMPLETED or FAILED."))))
+    reason = (F.when(F.col("__r").isNull(), REJECT_BODY)
+              .when(start.isNull() | end.isNull(), REJECT_TIMES)
+              .when(F.coalesce(F.trim(F.col("__r.status")), F.lit("")) == "", REJECT_NO_STATUS)
+              .when(~status.isin(*STATUSES), F.format_string(REJECT_STATUS, F.col("__r.status"))))
     fnd = F.coalesce(F.col("__r.findings"), F.array().cast(T.ArrayType(EXTERNAL_FINDING)))
 
     def n_level(level):
@@ -202,8 +218,9 @@ def parse_external(payloads: DataFrame, col: str = "payload") -> DataFrame:
     blank_id = F.coalesce(F.trim(F.col("__r.runId")), F.lit("")) == ""
     return r.select(
         *[c for c in payloads.columns if c != col],
-        F.when(blank_id, F.expr("uuid()")).otherwise(F.col("__r.runId")).alias("run_id"),
-        F.when(status == "FAILED", "FAILED").otherwise("COMPLETED").alias("status"),
+        F.when(blank_id, F.regexp_replace(F.md5(F.col(col).cast("binary")), _UUID_CUTS, "$1-$2-$3-$4-$5"))
+        .otherwise(F.col("__r.runId")).alias("run_id"),
+        F.when(reason.isNull(), F.when(status == "FAILED", "FAILED").otherwise("COMPLETED")).alias("status"),
         start.cast("timestamp_ntz").alias("start_time"), end.cast("timestamp_ntz").alias("end_time"),
         F.col("__r.scanPath").alias("scan_path"),
         F.coalesce(F.col("__r.filesScanned"), F.lit(0)).alias("files_scanned"),
@@ -215,6 +232,23 @@ def parse_external(payloads: DataFrame, col: str = "payload") -> DataFrame:
         F.col("__r.findings").alias("findings"), reason.alias("reject_reason"))
 
 
+_UUID_CUTS = "^(.{8})(.{4})(.{4})(.{4})(.{12})$"
+
+
+def store_external(payloads: DataFrame, base: str, history_path: str | None = None, col: str = "payload") -> DataFrame:
+    """Record external runs (H8): the parsed payloads are stored once under
+    ``base``/external, and accepted runs appended to the history.  Returns the
+    stored table; ``external_findings`` of it are the runs' findings."""
+    spark, place = payloads.sparkSession, f"{base.rstrip('/')}/external"
+    parsed = parse_external(payloads, col)
+    batch = f"{place}/batch={uuid.uuid4().hex}"
+    parsed.write.parquet(batch)
+    stored = spark.read.schema(parsed.schema).parquet(batch)
+    if history_path:
+        append_history(stored.filter(F.col("reject_reason").isNull()), history_path)
+    return stored
+
+
 def external_findings(parsed: DataFrame) -> DataFrame:
     """Accepted runs' findings, one row each (nulls list → no rows)."""
     ok = parsed.filter(F.col("reject_reason").isNull())

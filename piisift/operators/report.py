@@ -51,9 +51,9 @@ def _json(df: DataFrame, path: str) -> None:
 
 @writer("excel")
 def _excel(df: DataFrame, path: str) -> None:
-    """One .xlsx workbook per partition, written by its task (bold header,
-    a new sheet every million rows).  Needs a folder mounted on the
-    executors; elsewhere use csv or parquet."""
+    """Workbooks of one sheet, written by the tasks: a task starts a new one
+    every ``XLSX_FILE_ROWS`` rows, which bounds its memory.  Needs a folder
+    mounted on the executors; elsewhere use csv or parquet."""
     if "://" in path and not path.startswith("file://"):
         raise ValueError(f"excel reports need a mounted folder, not {path}")
     folder = path.replace("file://", "", 1)
@@ -66,7 +66,7 @@ def _excel(df: DataFrame, path: str) -> None:
         _write_workbook(folder, header, [])
 
 
-XLSX_SHEET_ROWS = 1_000_000   # Excel's limit is 1,048,576 rows a sheet
+SHEET_NAME = "Scan Results"   # fixed: the sheet's name
 XLSX_FILE_ROWS = 100_000      # rows held in a task before its workbook is written
 
 
@@ -124,17 +124,14 @@ def xlsx_bytes(header: list[str], rows: list[list[str]]) -> bytes:
     """A minimal workbook of inline-string cells; the header row is bold."""
     import io
     import zipfile
-    chunks = [rows[i:i + XLSX_SHEET_ROWS] for i in range(0, len(rows), XLSX_SHEET_ROWS)] or [[]]
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     pkg = "http://schemas.openxmlformats.org/package/2006/relationships"
-    sheets = "".join(f'<sheet name="Findings{"" if k == 0 else k + 1}" sheetId="{k + 1}" r:id="rId{k + 1}"/>'
-                     for k in range(len(chunks)))
-    wb_rels = "".join(f'<Relationship Id="rId{k + 1}" Type="{rel}/worksheet" Target="worksheets/sheet{k + 1}.xml"/>'
-                      for k in range(len(chunks)))
-    wb_rels += f'<Relationship Id="rId{len(chunks) + 1}" Type="{rel}/styles" Target="styles.xml"/>'
-    overrides = "".join(f'<Override PartName="/xl/worksheets/sheet{k + 1}.xml" ContentType="application/'
-                        f'vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for k in range(len(chunks)))
+    sheets = f'<sheet name="{SHEET_NAME}" sheetId="1" r:id="rId1"/>'
+    wb_rels = (f'<Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/>'
+               f'<Relationship Id="rId2" Type="{rel}/styles" Target="styles.xml"/>')
+    overrides = ('<Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/'
+                 'vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>')
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml",
@@ -159,8 +156,7 @@ def xlsx_bytes(header: list[str], rows: list[list[str]]) -> bytes:
                    '<fill><patternFill patternType="gray125"/></fill></fills>'
                    '<borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs>'
                    '<cellXfs count="2"><xf fontId="0"/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>')
-        for k, chunk in enumerate(chunks):
-            z.writestr(f"xl/worksheets/sheet{k + 1}.xml", _sheet_xml(header, chunk))
+        z.writestr("xl/worksheets/sheet1.xml", _sheet_xml(header, rows))
     return buf.getvalue()
 
 

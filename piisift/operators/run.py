@@ -5,28 +5,34 @@
     run.files         # every listed file with status SCANNED / SKIPPED / ERROR
     run.summary       # the one 12-column run row (A6)
 
-Listing, extraction and detection are lazy DataFrames; nothing is computed
-until a result is written or read.  ``write`` materialises one per-file table
-(status and findings array) once, then derives findings, report, summary and
-history row from it, so every file is read and scanned a single time.
+The request is checked at once; folders are listed when a view or ``write``
+first needs them.  ``write`` records the start of the run, materialises one
+per-file table (status and findings array), then derives findings, report,
+summary and history row from it, so every file is read and scanned a single
+time.  Start and end are rows of an event table: ``run_states`` folds them,
+and a run that has not ended (or whose driver died) shows as RUNNING.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import uuid
+import warnings
+import zoneinfo
 from dataclasses import dataclass
-from typing import Mapping, Sequence
+from typing import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.types import Detector, resolve_types
+from ..functions.types import Detector, java_compile_check, resolve_types
 from ..sources.extract import extract_text
-from ..sources.files import balance, list_files
+from ..sources.files import balance, check_roots, list_files
 from ..sources.paths import ScanConfig, ScanOptions
 from . import history, report, summary
-from .detect import findings_per_row
+from .detect import FINDING_TYPE, findings_per_row
 
 FINDING_COLUMNS = ["run_id", "file_name", "file_path", "data_type", "risk_level", "match_idx",
                    "masked_value", "scan_ts", "file_created", "file_modified"]
@@ -37,7 +43,13 @@ class ScanRun:
     run_id: str
     scan_path: str
     start_time: dt.datetime
-    per_file: DataFrame          # one row per listed file: status, error, findings array
+    spark: SparkSession
+    plan: Callable[[], DataFrame]    # lists the folders, plans extraction and detection
+
+    @functools.cached_property
+    def per_file(self) -> DataFrame:
+        """One row per listed file: status, error, findings array."""
+        return self.plan()
 
     @property
     def files(self) -> DataFrame:
@@ -70,9 +82,12 @@ class ScanRun:
         """One pass over the files: the per-file table (status + findings) is
         written once under ``out_dir``; findings, report, summary and history
         row are derived from it.  Returns the summary row."""
-        spark = self.per_file.sparkSession
+        spark = self.spark
         base = out_dir.rstrip("/")
         table = f"{base}/files/run_id={self.run_id}"
+        events = history_path.rstrip("/") + "-events" if history_path else f"{base}/events"
+        stored = None
+        self._event(events, "started", 0, self.start_time)
         try:
             self.per_file.write.mode("overwrite").parquet(table)
             stored = spark.read.parquet(table)
@@ -80,15 +95,50 @@ class ScanRun:
             rep = report.write_report(found, report.report_path(f"{base}/reports", report_format or "csv"),
                                       report_format)
         except Exception:
-            if history_path:  # a failed run is recorded too: FAILED, end time, no report
-                failed = self.summary(self.per_file.limit(0), dt.datetime.now(), "FAILED", None)
-                history.append_history(failed, history_path)
+            end = session_now(spark)
+            if history_path:  # a failed run is recorded too, with the counts it reached
+                reached = _no_files(spark) if stored is None else stored
+                history.append_history(self.summary(reached, end, "FAILED", None), history_path)
+            self._event(events, "failed", 1, end)
             raise
-        row = self.summary(stored, dt.datetime.now(), "COMPLETED", rep)
+        end = session_now(spark)
+        row = self.summary(stored, end, "COMPLETED", rep)
         if history_path:
             history.append_history(row, history_path)
+        self._event(events, "finished", 1, end, rep)
         return row
 
+    def _event(self, path: str, event: str, seq: int, at: dt.datetime, report_path: str | None = None) -> None:
+        row = [(self.run_id, seq, event, at, self.scan_path or None, report_path)]
+        try:
+            self.spark.createDataFrame(row, EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        except Exception:  # noqa: BLE001 - an unwritable event table must not hide the run's own outcome
+            if event == "started":
+                warnings.warn(f"run events cannot be written to {path}", stacklevel=3)
+
+
+EVENT_SCHEMA = ("run_id string, seq long, event string, at timestamp_ntz, scan_path string, report_path string")
+
+
+def run_states(spark: SparkSession, events_path: str) -> DataFrame:
+    """The state of every recorded run: RUNNING until its end is recorded (H4, H7)."""
+    return history.fold_events(spark.read.schema(EVENT_SCHEMA).parquet(events_path))
+
+
+def session_now(spark: SparkSession) -> dt.datetime:
+    """The clock of the session's time zone, in which file times are shown too."""
+    zone = spark.conf.get("spark.sql.session.timeZone", "UTC")
+    try:
+        now = dt.datetime.now(zoneinfo.ZoneInfo(zone))
+    except (zoneinfo.ZoneInfoNotFoundError, ValueError):  # an offset such as +02:00: let Spark tell
+        now = spark.sql("select localtimestamp()").first()[0]
+    return now.replace(tzinfo=None, microsecond=0)
+
+
+def _no_files(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], T.StructType([T.StructField("status", T.StringType()),
+                                                   T.StructField("findings", FINDING_TYPE)]))
+
 
 def _explode(per_file: DataFrame, run_id: str, start: dt.datetime) -> DataFrame:
     return per_file.select(
@@ -97,17 +147,21 @@ def _explode(per_file: DataFrame, run_id: str, start: dt.datetime) -> DataFrame:
         F.col("created").alias("file_created"), F.col("modified").alias("file_modified")).select(*FINDING_COLUMNS)
 
 
-def run_scan(spark: SparkSession, roots: Sequence[str], types: Sequence[str] | None = None,
+def run_scan(spark: SparkSession, roots: Sequence[str] | None = None, types: Sequence[str] | None = None,
              custom_patterns: Mapping[str, str] | None = None, options: ScanOptions = ScanOptions(),
              config: ScanConfig = ScanConfig(), detectors: Sequence[Detector] | None = None,
              extractors=None, run_id: str | None = None, on_missing: str = "skip") -> ScanRun:
-    """Plan one scan run.  Request errors (unknown types, bad patterns,
-    missing roots with ``on_missing='error'``) are raised before any job."""
-    resolve_types(types, custom_patterns, detectors)  # validate the request up front
+    """Plan one scan run over ``roots`` (None: the configured roots).  Request
+    errors (unknown types, patterns that Java refuses, missing roots with
+    ``on_missing='error'``) are raised at once."""
+    roots = list(config.roots if roots is None else roots)
+    resolve_types(types, custom_patterns, detectors, compile_check=java_compile_check(spark))
+    check_roots(roots, on_missing)
     rid = run_id or str(uuid.uuid4())
-    start = dt.datetime.now().replace(microsecond=0)
-    listing = balance(list_files(spark, roots, options, config, on_missing))
-    files = extract_text(listing, extractors, config.supported_extensions)
-    per_file = findings_per_row(files, "text", types, custom_patterns, detectors,
+
+    def plan() -> DataFrame:
+        listing = balance(list_files(spark, roots, options, config, on_missing))
+        files = extract_text(listing, extractors, config.supported_extensions)
+        return findings_per_row(files, "text", types, custom_patterns, detectors,
                                 only_if=F.col("status") == "SCANNED").drop("text")
-    return ScanRun(rid, ", ".join(roots), start, per_file)
+    return ScanRun(rid, ", ".join(roots), session_now(spark), spark, plan)

@@ -75,13 +75,25 @@ def file_counters(files: DataFrame, by="run_id", status_col: str = "status") ->
         F.count_if(s == "ERROR").cast("int").alias("errors"))
 
 
-def card_notice(findings: DataFrame, by="run_id", runs: DataFrame | None = None) -> DataFrame:
-    """has_card and the fixed Luhn caveat when a group has any card finding (A5)."""
-    keys = _by(by)
-    agg = findings.groupBy(*keys).agg(F.bool_or(F.col("data_type") == "CARD_NUMBER").alias("has_card"))
-    if runs is not None:
-        agg = runs.select(*keys).join(agg, keys, "left").fillna(False, subset=["has_card"])
-    return agg.withColumn("notice", F.when(F.col("has_card"), F.lit(CARD_NOTICE)))
+def card_notice(stats: DataFrame) -> DataFrame:
+    """Adds the fixed Luhn caveat where a group of ``run_stats`` has a card (A5)."""
+    return stats.withColumn("notice", F.when(F.col("has_card"), F.lit(CARD_NOTICE)))
+
+
+def run_stats(per_file: DataFrame, by, *more: Column) -> DataFrame:
+    """Everything per run from one pass over its files (A1–A3, A5, A6): file
+    outcomes, findings by risk, the card flag, and the aggregates in ``more``.
+
+    ``per_file`` has a ``findings`` array per file: each is counted in its own
+    row, so one small partial aggregate per task is shuffled, however large a
+    run is.
+    """
+    s = F.col("status")
+    rows = per_file.select("*", *row_risk_counts(F.col("findings"))).drop("findings")
+    return rows.groupBy(*_by(by)).agg(
+        *more, F.count_if(s == "SCANNED").cast("int").alias("files_scanned"),
+        F.count_if(s == "SKIPPED").cast("int").alias("files_skipped"),
+        F.count_if(s == "ERROR").cast("int").alias("errors"), *group_risk_counts())
 
 
 def duration_ms(start: Column, end: Column) -> Column:
@@ -96,19 +108,6 @@ def duration_text(ms: Column) -> Column:
                            secs % 60, safe % 1000)
 
 
-def run_summary(runs: DataFrame, files: DataFrame, findings: DataFrame, by: str = "run_id") -> DataFrame:
-    """The 12-column run row (A6): counts from files and findings, zeros if none.
-
-    ``runs`` carries run_id, status, start_time, end_time, scan_path, report_path.
-    """
-    counters = file_counters(files, by)
-    risks = risk_counts(findings, by)
-    out = (runs.join(counters, by, "left").join(risks, by, "left")
-           .fillna(0, subset=["files_scanned", "files_skipped", "errors", "critical", "medium", "normal"]))
-    return out.select(by, "status", "start_time", "end_time", "scan_path", "files_scanned",
-                      "files_skipped", "errors", "critical", "medium", "normal", "report_path")
-
-
 def extension_profile(files: DataFrame, ext_col: str = "extension") -> DataFrame:
     """Files and bytes per lower-case extension, with their outcomes."""
     return files.groupBy(F.lower(F.col(ext_col)).alias("extension")).agg(

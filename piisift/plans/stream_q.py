@@ -13,7 +13,7 @@ from ..session import shared_dir
 from ..streaming import stream as S
 from . import duck
 from .registry import register
-from .tables import read_table, with_ctes
+from .tables import _path, read_table, with_ctes
 
 KEYS = ["source", "doc_id"]
 COLS = ["source", "doc_id", "data_type", "risk_level", "match_idx", "masked_value"]
@@ -25,7 +25,12 @@ def _fresh(spark: SparkSession, name: str) -> tuple[str, str]:
 
 
 def _doc_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a table is a file or a folder of files; the stream reads either
+    path = _path(sf_dir, "documents")
     schema = read_table(spark, sf_dir, "documents").schema
+    fs, place = S._hadoop(spark, path)
+    if fs.getFileStatus(place).isDirectory():
+        return S.read_texts(spark, path, schema)
     return S.read_texts(spark, sf_dir.rstrip("/"), schema, glob="documents.parquet")
 
 
@@ -49,7 +54,7 @@ def stream_risk_counts(spark, sf_dir):
     out, cp = _fresh(spark, "counters")
     found = S.findings_stream(_doc_stream(spark, sf_dir), "text", KEYS)
     S.start_counter_sink(S.live_counters(found, "source"), out, cp).awaitTermination()
-    return spark.read.parquet(out)
+    return S.read_counters(spark, out)
 
 
 @register("stream_recent", (
@@ -66,15 +71,15 @@ def stream_recent(spark, sf_dir):
 
 @register("stream_files", with_ctes(
     "select scan_path || '/' || file_name as rel_path, data_type, risk_level, match_idx, masked_value "
-    "from (" + duck.findings(rel="(select * from doc_files where file_name like '%.txt') s",
+    "from (" + duck.findings(rel="(select * from doc_files where status = 'SCANNED') s",
                              keys=("scan_path", "file_name")) + ") f", "doc_files"))
 def stream_files(spark, sf_dir):
-    """T1 over files: new .txt files under the folder are scanned as they land."""
+    """T1 over files: new files of every supported extension are scanned as they land."""
+    from ..sources.extract import extract_content
     from .sources_q import materialized_root
     out, cp = _fresh(spark, "files")
-    files = S.read_text_files(spark, materialized_root(spark, sf_dir), glob="*.txt")
-    files = files.withColumn("rel_path", F.regexp_extract("path", r"([^/]+/[^/]+)$", 1))
-    found = S.findings_stream(files, "text", ["rel_path"])
+    files = extract_content(S.read_files(spark, materialized_root(spark, sf_dir)))
+    found = S.findings_stream(files.filter(F.col("status") == "SCANNED"), "text", ["rel_path"])
     S.start_findings_sink(found, out, cp).awaitTermination()
     return spark.read.parquet(out).select("rel_path", "data_type", "risk_level", "match_idx", "masked_value")
 
@@ -96,4 +101,4 @@ def stream_file_status(spark, sf_dir):
     files = files.withColumn("folder", F.substring_index("rel_path", "/", 1))
     rows = findings_per_row(files, "text", only_if=F.col("status") == "SCANNED")
     S.start_counter_sink(S.live_file_counters(rows, "folder"), out, cp).awaitTermination()
-    return spark.read.parquet(out).select("folder", "files_scanned", "files_skipped", "errors")
+    return S.read_counters(spark, out).select("folder", "files_scanned", "files_skipped", "errors")

@@ -26,54 +26,36 @@ REC_TEXT = (
     " ' mail u', cast(c_custkey as {s}), '@mail.example.com')"
 )
 
-# documents as files: folder = source, extension chosen by language so that
-# the run holds scanned (txt, csv, upper-case TXT) and skipped (md) files.
-FILE_EXT = "case lang when 'en' then 'txt' when 'de' then 'csv' when 'fr' then 'TXT' else 'md' end"
+# documents as files: folder = source, extension by language; the shortest
+# texts are notes (md: skipped), the next ones damaged files (ERROR), so that
+# every outcome occurs and every other text is scanned.
+FILE_EXT = ("case when n_chars < 60 then 'md' when lang = 'en' then 'txt' when lang = 'de' then 'csv' "
+            "when lang = 'fr' then 'TXT' else 'Csv' end")
+DAMAGED = "n_chars between 60 and 90"
 SUPPORTED_EXTENSIONS = ("pdf", "docx", "xlsx", "txt", "csv")  # fixed default list
 BASE_TS = "2024-01-01 00:00:00"
 
 
-_SCHEMAS: dict[tuple[int, str], object] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet table by name.  The schema is inferred once per session and
-    path and then handed to the reader, which skips the inference job."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    if key in _SCHEMAS:
-        return spark.read.schema(_SCHEMAS[key]).parquet(path)
-    df = spark.read.parquet(path)
-    _SCHEMAS[key] = df.schema
-    return df
-
+    """Parquet table by name (a file or a folder of files)."""
+    return spark.read.parquet(_path(sf_dir, name))
 
-_SPLITS: dict[tuple[int, str], int] = {}
 
-
-def spread(df: DataFrame, per_core: int = 2, table_key: str | None = None) -> DataFrame:
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """Round-robin spread of a plain scan that arrives in fewer splits than
     there are cores (e.g. one large row group), to ``per_core`` × cores.
 
-    Only looks at the scan's own split count (planning, no job), remembered
-    per session and table.  An input that already gives every core a split
-    is left alone, so large tables are never reshuffled; for small ones the
-    shuffle is cheap next to the regex work it spreads.
+    Only looks at the plan's own split count (planning, no job).  An input
+    that already gives every core a split is left alone, so large tables are
+    never reshuffled; for small ones (one row group cannot be split by a
+    reader) the shuffle is cheap next to the regex work it spreads.
     """
-    spark = df.sparkSession
-    key = (id(spark), table_key) if table_key else None
     try:
-        cores = spark.sparkContext.defaultParallelism
-        target = cores * per_core
-        if key is not None and key in _SPLITS:
-            have = _SPLITS[key]
-        else:
-            have = df.rdd.getNumPartitions()
-            if key is not None:
-                _SPLITS[key] = have
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no RDD access (e.g. Spark Connect): keep as is
         return df
-    return df if have >= cores else df.repartition(target)
+    return df if have >= cores else df.repartition(cores * per_core)
 
 
 def _path(sf_dir: str, name: str) -> str:
@@ -86,17 +68,16 @@ def rec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str, balance: bool = True) -> DataFrame:
-    """src, doc_id, text — documents ∪ pages ∪ REC."""
+    """src, doc_id, text — documents ∪ pages ∪ conversations ∪ REC."""
     docs = read_table(spark, sf_dir, "documents").select(
         F.lit("documents").alias("src"), "doc_id", "text")
     pages = read_table(spark, sf_dir, "pages").select(
         F.lit("pages").alias("src"), F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    said = read_table(spark, sf_dir, "conversations").select(
+        F.lit("conversations").alias("src"), (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
     recs = rec(spark, sf_dir).select(F.lit("rec").alias("src"), F.col("rec_id").alias("doc_id"), "text")
-    if balance:
-        docs = spread(docs, table_key=_path(sf_dir, "documents"))
-        pages = spread(pages, table_key=_path(sf_dir, "pages"))
-        recs = spread(recs, table_key=_path(sf_dir, "customer"))
-    return docs.unionByName(pages).unionByName(recs)
+    every = docs.unionByName(pages).unionByName(said).unionByName(recs)
+    return spread(every) if balance else every
 
 
 def doc_files(spark: SparkSession, sf_dir: str, balance: bool = True) -> DataFrame:
@@ -104,7 +85,7 @@ def doc_files(spark: SparkSession, sf_dir: str, balance: bool = True) -> DataFra
     created, modified (TIMESTAMP_NTZ), lang, text, extension, status."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     if balance:
-        docs = spread(docs, table_key=_path(sf_dir, "documents"))
+        docs = spread(docs)
     ext = F.expr(FILE_EXT)
     name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit("."), ext)
     created = F.expr(f"timestamp_ntz'{BASE_TS}' + make_dt_interval(0, 0, doc_id, 0)")  # + doc_id minutes
@@ -116,11 +97,11 @@ def doc_files(spark: SparkSession, sf_dir: str, balance: bool = True) -> DataFra
         created.alias("created"),
         # modified: n_chars seconds later, so run metadata never reads the text
         (created + F.expr("make_dt_interval(0, 0, 0, n_chars)")).alias("modified"),
-        "lang", "text")
+        "lang", "text", F.expr(DAMAGED).alias("damaged"))
     supported = F.lower("ext_raw").isin(*SUPPORTED_EXTENSIONS)
     return (out.withColumn("extension", F.lower("ext_raw"))
             .withColumn("status", F.when(~supported, "SKIPPED")
-                        .when(F.col("text").isNull(), "ERROR").otherwise("SCANNED"))
+                        .when(F.col("text").isNull() | F.col("damaged"), "ERROR").otherwise("SCANNED"))
             .drop("ext_raw"))
 
 
@@ -132,6 +113,7 @@ def run_id_of(scan_path):
 REC_SQL = f"select c_custkey as rec_id, {REC_TEXT.format(s='varchar')} as text from customer"
 CORPUS_SQL = ("select 'documents' as src, doc_id, text from documents "
               "union all select 'pages' as src, page_id as doc_id, html as text from pages "
+              "union all select 'conversations' as src, conv_id * 1000 + turn as doc_id, text from conversations "
               "union all select 'rec' as src, rec_id as doc_id, text from rec")
 DOC_FILES_SQL = f"""
 select source as scan_path, doc_id,
@@ -142,8 +124,8 @@ select source as scan_path, doc_id,
        timestamp '{BASE_TS}' + to_minutes(doc_id) as created,
        timestamp '{BASE_TS}' + to_minutes(doc_id) + to_seconds(n_chars) as modified,
        case when lower({FILE_EXT}) not in ({', '.join(repr(e) for e in SUPPORTED_EXTENSIONS)}) then 'SKIPPED'
-            when text is null then 'ERROR' else 'SCANNED' end as status,
-       text
+            when text is null or {DAMAGED} then 'ERROR' else 'SCANNED' end as status,
+       text, {DAMAGED} as damaged
 from documents"""
 
 

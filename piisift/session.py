@@ -46,12 +46,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc = None
     if not cp and sc is not None:
         cp = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not cp:  # nothing configured: a scratch folder, as in tests
+    master = "" if sc is None else sc.master
+    if not cp and sc is not None and not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not cp:  # nothing configured on one machine: a scratch folder, as in tests
         cp = tempfile.mkdtemp(prefix="piisift-cp-")
         spark.conf.set("spark.checkpoint.dir", cp)
     if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(cp)
-    return cp.replace("file:", "", 1) if cp.startswith("file:") else cp
+    return cp
 
 
 def shared_dir(spark: SparkSession, *parts: str) -> str:
@@ -98,7 +101,7 @@ def ship_package(spark: SparkSession) -> None:
     folder = ensure_checkpoint_dir(spark)
     if "://" in folder and not folder.startswith("file://"):
         folder = tempfile.gettempdir()  # the driver's file server distributes it
-    folder = os.path.join(folder.replace("file://", "", 1), "pyfiles")
+    folder = os.path.join(folder.replace("file://", "", 1).replace("file:", "", 1), "pyfiles")
     os.makedirs(folder, exist_ok=True)
     path = os.path.join(folder, name)
     if not os.path.exists(path):

@@ -26,6 +26,7 @@ import datetime as dt
 import io
 import math
 import re
+import sys
 import zipfile
 from decimal import Decimal
 from typing import Callable, Iterable, Iterator, Mapping
@@ -44,6 +45,7 @@ def txt_text(data: bytes) -> str:
 
 
 def csv_text(data: bytes) -> str:
+    csv.field_size_limit(sys.maxsize)  # cells of any length
     text = data.decode("utf-8", errors="replace")
     out = io.StringIO()
     # strict: a quote left open or text after a closing quote is an error,
@@ -228,7 +230,9 @@ def _read_path(path: str) -> bytes:
 
 def _extract_fn(extractors: Mapping[str, Callable[[bytes], str]], supported: set[str],
                 source_col: str, ext_col: str, keep: list[str], from_path: bool = True):
-    def one(source, ext):
+    def one(source, ext, problem=None):
+        if problem:  # the listing could not read it
+            return "ERROR", None, problem
         e = (ext or "").lower()
         fn = extractors.get(e)
         if e not in supported or fn is None:
@@ -237,13 +241,14 @@ def _extract_fn(extractors: Mapping[str, Callable[[bytes], str]], supported: set
             data = _read_path(source) if from_path else bytes(source)
             return "SCANNED", fn(data), None
         except Exception as exc:  # noqa: BLE001 - one bad file never fails the job
-            return "ERROR", None, f"{type(exc).__name__}: {exc}"[:500]
+            return "ERROR", None, f"{type(exc).__name__}: {exc}"
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             start, size, out = 0, 0, []
-            for k, (source, ext) in enumerate(zip(pdf[source_col], pdf[ext_col])):
-                res = one(source, ext)
+            problems = pdf["problem"] if "problem" in pdf else [None] * len(pdf)
+            for k, (source, ext, problem) in enumerate(zip(pdf[source_col], pdf[ext_col], problems)):
+                res = one(source, ext, problem)
                 out.append(res)
                 size += len(res[1] or "")
                 if size >= OUT_BATCH_BYTES or len(out) >= OUT_BATCH_ROWS:

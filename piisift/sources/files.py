@@ -27,8 +27,8 @@ from ..session import ensure_checkpoint_dir
 from .paths import ScanConfig, ScanOptions, extension_of, normalize_filters
 
 ENTRY_SCHEMA = ("root string, path string, is_dir boolean, size_bytes long, "
-                "created_s double, modified_s double, depth int")
-FILES_COLUMNS = ["root", "path", "rel_path", "file_name", "extension", "size_bytes", "created", "modified"]
+                "created_s double, modified_s double, depth int, problem string")
+FILES_COLUMNS = ["root", "path", "rel_path", "file_name", "extension", "size_bytes", "created", "modified", "problem"]
 
 
 def _is_hidden(name: str) -> bool:
@@ -50,8 +50,9 @@ def _lister(options: ScanOptions, config: ScanConfig):
     def entries(root: str, d: str, depth: int) -> Iterator[tuple]:
         try:
             it = os.scandir(d)
-        except OSError:
-            return  # unreadable directory: skipped, as a failed visit
+        except OSError as exc:  # an unreadable directory is a row of the listing
+            yield (root, d, False, None, None, None, depth, f"{type(exc).__name__}: {exc.strerror or exc}")
+            return
         with it:
             yield from _walk_entries(root, d, depth, it)
 
@@ -73,7 +74,7 @@ def _lister(options: ScanOptions, config: ScanConfig):
                         real, here = os.path.realpath(e.path), os.path.realpath(d)
                         if here == real or here.startswith(real.rstrip("/") + "/"):
                             continue
-                    yield (root, e.path, True, None, None, None, depth + 1)
+                    yield (root, e.path, True, None, None, None, depth + 1, None)
                     continue
                 if not options.include_hidden_files and _is_hidden(e.name):
                     continue
@@ -81,12 +82,12 @@ def _lister(options: ScanOptions, config: ScanConfig):
                 # birth time where the OS has one, else the modified time (as Java does)
                 created = getattr(st, "st_birthtime", None) or st.st_mtime
                 yield (root, e.path, False, int(st.st_size), None if created is None else float(created),
-                       float(st.st_mtime), depth + 1)
-            except OSError:
-                continue
+                       float(st.st_mtime), depth + 1, None)
+            except OSError as exc:
+                yield (root, e.path, False, None, None, None, depth + 1, f"{type(exc).__name__}: {exc.strerror or exc}")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = ["root", "path", "is_dir", "size_bytes", "created_s", "modified_s", "depth"]
+        cols = ["root", "path", "is_dir", "size_bytes", "created_s", "modified_s", "depth", "problem"]
         for pdf in batches:
             rows: list[tuple] = []
             for root, d, depth in zip(pdf["root"], pdf["dir"], pdf["depth"]):
@@ -110,7 +111,7 @@ def check_roots(roots: Sequence[str], on_missing: str = "skip") -> list[str]:
     """Missing roots are skipped (default) or rejected together."""
     missing = [r for r in roots if not os.path.exists(r)]
     if missing and on_missing == "error":
-        raise FileNotFoundError("Path(s) do not exist: " + ", ".join(missing))
+        raise FileNotFoundError("no such folder: " + ", ".join(missing))
     return [r for r in roots if r not in missing]
 
 
@@ -140,7 +141,7 @@ def list_files(spark: SparkSession, roots: Sequence[str], options: ScanOptions =
         found = found.unionByName(p)
     if single:  # a root that is a file is handed over as a file
         extra = spark.createDataFrame(
-            [(r, p, False, os.path.getsize(p), _created(p), os.path.getmtime(p), 0) for r, p in single],
+            [(r, p, False, os.path.getsize(p), _created(p), os.path.getmtime(p), 0, None) for r, p in single],
             ENTRY_SCHEMA)
         found = found.unionByName(extra)
     name = F.substring_index(F.col("path"), "/", -1)
@@ -150,7 +151,7 @@ def list_files(spark: SparkSession, roots: Sequence[str], options: ScanOptions =
         "root", "path", rel.alias("rel_path"), name.alias("file_name"), extension_of(name).alias("extension"),
         "size_bytes",
         F.timestamp_seconds("created_s").cast("timestamp_ntz").alias("created"),
-        F.timestamp_seconds("modified_s").cast("timestamp_ntz").alias("modified"))
+        F.timestamp_seconds("modified_s").cast("timestamp_ntz").alias("modified"), "problem")
     filters = normalize_filters(options.file_type_filters)
     return out.filter(F.col("extension").isin(*filters)) if filters else out
 

@@ -44,6 +44,7 @@ class ScanConfig:
     excluded_paths: Sequence[str] = ()
     excluded_folder_names: Sequence[str] = EXCLUDED_FOLDER_NAMES
     report_format: str = "csv"
+    roots: Sequence[str] = ()  # scanned when a request names no paths
 
 
 def normalize_filters(filters: Sequence[str] | None) -> list[str]:

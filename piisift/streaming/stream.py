@@ -49,17 +49,48 @@ def live_counters(findings: DataFrame, by: Sequence[str] | str) -> DataFrame:
     return summary.risk_counts(findings, by)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def _versions(spark: SparkSession, out_path: str) -> list[int]:
+    """Whole versions of a counter table: those whose write was committed."""
+    fs, place = _hadoop(spark, out_path)
+    if not fs.exists(place):
+        return []
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    names = [f.getPath().getName() for f in fs.listStatus(place)]
+    return sorted(int(n.split("=")[1]) for n in names
+                  if n.startswith("version=") and fs.exists(jvm_path(f"{out_path}/{n}/_SUCCESS")))
+
+
+def read_counters(spark: SparkSession, out_path: str) -> DataFrame:
+    """The newest whole version of a counter table."""
+    versions = _versions(spark, out_path)
+    if not versions:
+        raise FileNotFoundError(f"no counters yet under {out_path}")
+    return spark.read.parquet(f"{out_path}/version={versions[-1]}")
+
+
 def start_counter_sink(counters: DataFrame, out_path: str, checkpoint: str,
-                       available_now: bool = True, state_partitions: int | None = None) -> StreamingQuery:
-    """Each micro-batch replaces the counter table with the full current
-    state (complete mode; the state is one row per group).
+                       available_now: bool = True, state_partitions: int | None = None,
+                       keep: int = 3) -> StreamingQuery:
+    """Each micro-batch writes the full current state (complete mode; one row
+    per group) as a new version; readers take the newest whole one with
+    ``read_counters``, so they never meet a table that is being rewritten.  A
+    replayed batch writes its own version again.  ``keep`` versions stay.
 
     ``state_partitions`` (default: the cluster's cores) sizes the state store;
     it is fixed in the checkpoint at the first start.  The stream runs on a
     copy of the session, so the caller's setting is left as it was.
     """
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/version={epoch}")
+        spark = batch.sparkSession
+        for old in _versions(spark, out_path)[:-keep]:
+            fs, place = _hadoop(spark, f"{out_path}/version={old}")
+            fs.delete(place, True)
 
     w = (counters.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
          .foreachBatch(write))
@@ -83,17 +114,18 @@ def _start_with_partitions(spark: SparkSession, writer, n: int | None) -> Stream
 
 def start_recent_sink(findings: DataFrame, table_path: str, checkpoint: str,
                       available_now: bool = True) -> StreamingQuery:
-    """Append each micro-batch to the findings table; readers take the
-    recent slice with ``browse.recent`` over the table."""
+    """Each micro-batch is a folder ``epoch=<n>`` of the findings table, so
+    a batch that is run again replaces itself; readers take the recent slice
+    with ``browse.recent`` over the table (``epoch`` is its partition column)."""
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(table_path)
+        batch.write.mode("overwrite").parquet(f"{table_path}/epoch={epoch}")
 
     w = findings.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="2 seconds")
     return w.start()
 
 
-def read_text_files(spark: SparkSession, root: str, glob: str | None = "*.txt",
+def read_text_files(spark: SparkSession, root: str, glob: str | None = "*.[tT][xX][tT]",
                     max_files_per_trigger: int | None = None) -> DataFrame:
     """A stream of whole text files landing anywhere under ``root``: one row
     per file (path, text), each new file read once."""
