@@ -70,51 +70,61 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
             .withColumnRenamed("key", key))
 
 
-class _Gaps:
-    """Availability of lengths, with look-ups of single, pair and triple sums."""
-
-    def __init__(self, counts: np.ndarray):
-        self.c = counts
-
-    def single(self, gap: int, c: np.ndarray) -> list[int] | None:
-        return [gap] if c[gap] > 0 else None
-
-    def pair(self, gap: int, c: np.ndarray) -> list[int] | None:
-        a = np.arange(1, gap // 2 + 1)
-        ok = (c[a] > 0) & (c[gap - a] > 0)
-        if gap % 2 == 0 and len(a):
-            ok[-1] = c[gap // 2] > 1
-        hit = np.flatnonzero(ok)  # the smallest first part: long pieces are placed early
-        return [gap - int(a[hit[0]]), int(a[hit[0]])] if len(hit) else None
-
-    def triple(self, gap: int, c: np.ndarray) -> list[int] | None:
-        for x in np.flatnonzero(c[:gap - 1])[::-1].tolist():  # the longest part first
-            if x < 1 or 3 * x < gap:
-                break
-            c[x] -= 1
-            two = self.pair(gap - x, c) if gap - x >= 2 else None
-            c[x] += 1
-            if two:
-                return [x, *two]
+def _pair(gap: int, c: np.ndarray, even: bool) -> list[int] | None:
+    """Two available lengths that sum to the gap: the most even or the most uneven pair."""
+    a = np.arange(1, gap // 2 + 1)
+    ok = (c[a] > 0) & (c[gap - a] > 0)
+    if gap % 2 == 0 and len(a):
+        ok[-1] = c[gap // 2] > 1
+    hit = np.flatnonzero(ok)
+    if not len(hit):
         return None
+    small = int(a[hit[-1 if even else 0]])
+    return [gap - small, small]
 
-    def exact(self, gap: int, c: np.ndarray) -> list[int] | None:
-        return self.single(gap, c) or self.pair(gap, c) or self.triple(gap, c)
+
+def _triple(gap: int, c: np.ndarray, even: bool) -> list[int] | None:
+    """Three available lengths that sum to the gap, the longest part as long as can be."""
+    for x in np.flatnonzero(c[:max(0, gap - 1)])[::-1].tolist():
+        if 3 * x < gap:
+            break
+        c[x] -= 1
+        two = _pair(gap - x, c, even)
+        c[x] += 1
+        if two:
+            return [x, *two]
+    return None
+
+
+def exact_fill(gap: int, c: np.ndarray, parts: int, even: bool) -> list[int] | None:
+    """Available lengths that fill the gap exactly: a single, else a pair, else a triple (up to ``parts``)."""
+    if c[gap] > 0:
+        return [gap]
+    return (parts > 1 and _pair(gap, c, even)) or (parts > 2 and _triple(gap, c, even)) or None
+
+
+#: Orders of look-up that are planned: most parts of a combination, and whether pairs are even.  Which one
+#: leaves the least room depends on the lengths; planning costs little, so all are and the best is taken.
+ORDERS = ((3, False), (3, True), (2, True), (1, True))
 
 
 def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[list[int], int]]:
-    """[(lengths of a sequence, how many such sequences)], for all pieces of the histogram."""
+    """[(lengths of a sequence, how many such sequences)] for all pieces of the histogram, fewest of ``ORDERS``."""
+    return min((_plan(histogram, size, *order) for order in ORDERS), key=lambda p: sum(times for _, times in p))
+
+
+def _plan(histogram: dict[int, int], size: int, parts: int, even: bool) -> list[tuple[list[int], int]]:
     counts = np.zeros(size + 1, dtype=np.int64)
     for length, n in histogram.items():
         counts[length] += n
-    gaps, out = _Gaps(counts), []
+    out = []
     for first in range(size, 0, -1):
         while counts[first] > 0:
             pattern, c = [first], counts.copy()
             c[first] -= 1
             gap = size - first
             while gap:
-                combo = gaps.exact(gap, c)
+                combo = exact_fill(gap, c, parts, even)
                 if combo is None:
                     fit = np.flatnonzero(c[:gap + 1])
                     if not len(fit):
