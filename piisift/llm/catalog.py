@@ -24,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op4_template_text": html_text.op4_template_text,
     "op5_exact_dedup": exact.OP5_SQL,
     "op9_host_quality": quality.OP9_SQL,
+    "op10_licence_scan": licences.OP10_SQL,
 }

@@ -212,3 +212,54 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of all documents, their own or inherited."""
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "text", f"{DOCUMENT_PATH} as path")
     return scan_licences(docs, "path")
+
+
+def _sql(rows: list[tuple]) -> str:
+    def lit(x):
+        return repr(x) if not isinstance(x, float) else f"cast({x!r} as double)"
+    return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
+
+
+_VECTORS, _OTHER = template_rows()
+_LAST = "over (partition by rid order by pos rows between unbounded preceding and current row)"
+_NEXT = "over (partition by rid order by pos rows between current row and unbounded following)"
+OP10_SQL = rf"""
+with f as (select row_number() over () as rid, doc_id, coalesce(text, '') as t,
+                  '/' || coalesce(source, '') || '/' || coalesce(lang, '') || '/' || cast(doc_id // 100 as varchar)
+                  || '/' || cast(doc_id as varchar) || '.txt' as path from documents),
+g as (select *, regexp_replace(path, '/?[^/]*$', '') as dir from f),
+lines as (select rid, unnest(string_split(t, chr(10))) as line, unnest(range(len(string_split(t, chr(10))))) as pos
+          from g where regexp_matches(t, '{TERMS}')),
+hits as (select *, regexp_matches(line, '{TERMS}') as hit from lines),
+near as (select *, max(case when hit then pos end) {_LAST} as before_at, min(case when hit then pos end) {_NEXT} as after_at
+         from hits),
+inside as (select *, case when pos - lag(pos) over (partition by rid order by pos) <= 1 then 0 else 1 end as fresh
+           from near where hit or after_at - before_at <= {GAP_LINES + 1}),
+blocks as (select *, sum(fresh) {_LAST} as block from inside),
+headers as (select rid, block, string_agg(line, ' ' order by pos) as header from blocks group by all),
+tokens as (select rid, block, word, count(*) as n from
+           (select rid, block, unnest(regexp_extract_all(lower(header), '{WORD}')) as word from headers) group by all),
+vectors(template, licence, word, weight) as (values {_sql(_VECTORS)}),
+idf(word, idf) as (values {_sql(idf_rows())}),
+w as (select rid, block, tokens.word, n, n * coalesce(idf.idf, {_OTHER!r}) as w from tokens left join idf on tokens.word = idf.word),
+norms as (select rid, block, sqrt(sum(w * w)) as norm, sum(n) as n_words from w group by all),
+dots as (select rid, block, template, licence, sum(w * weight) as dot from w join vectors on w.word = vectors.word group by all),
+scored as (select d.*, n_words, round(dot / norm, 6) as similarity from dots d join norms n on d.rid = n.rid and d.block = n.block),
+best as (select * from scored where similarity >= {THRESHOLD}
+         qualify row_number() over (partition by rid, block order by similarity desc, licence, template) = 1),
+own as (select *, sum(n_words) over (partition by rid) as licence_words from best
+        qualify row_number() over (partition by rid order by similarity desc, licence) = 1),
+held as (select doc_id, path, dir, licence, similarity,
+                coalesce(100 * licence_words >= {FILE_PERCENT} * len(regexp_extract_all(lower(t), '{WORD}')), false) as is_file
+         from g left join own on g.rid = own.rid),
+governing as (select dir as up, licence, similarity from held where is_file and dir is not null
+              qualify row_number() over (partition by dir order by similarity desc, licence) = 1),
+nearest as (select d.dir, up, licence, similarity from (select distinct dir from held where dir is not null) d
+            join governing on up = '' or d.dir = up or starts_with(d.dir, up || '/')
+            qualify row_number() over (partition by d.dir order by length(up) desc) = 1)
+select doc_id, path, case when h.licence is not null then h.licence else x.licence end as licence,
+       case when h.licence is not null then h.similarity else x.similarity end as similarity,
+       case when is_file then 'file' when h.licence is not null then 'header' when x.dir is not null then 'directory' end as via,
+       case when h.licence is not null then h.dir else x.up end as licence_dir
+from held h left join nearest x on h.dir = x.dir
+"""

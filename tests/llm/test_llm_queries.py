@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from piisift.llm import catalog as llm_catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,7 +15,7 @@ def test_all_operators_are_registered():
     assert "pipeline" in names
 
 
-@pytest.mark.parametrize("name", ["op5_exact_dedup", "op9_host_quality"])
+@pytest.mark.parametrize("name", sorted(llm_catalog.ORACLES))
 def test_oracle(spark, name):
     import duckdb
     con = duckdb.connect()
