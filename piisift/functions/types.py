@@ -200,6 +200,15 @@ RISK_BY_TYPE = {d.name: d.risk for d in BUILTIN_DETECTORS}
 LABEL_BY_TYPE = {d.name: d.label for d in BUILTIN_DETECTORS}
 
 
+# --------------------------------------------------------------------------
+# Answers to a bad request, which callers show and parse.
+# --------------------------------------------------------------------------
+BAD_TYPES = "Invalid data type(s): {}. Valid options: {}"
+BAD_PATTERN_TYPE = "Unknown PII type '{}' in customPatterns"
+BAD_PATTERN = "Invalid regex for {}: {}"
+# --------------------------------------------------------------------------
+
+
 def resolve_types(types=None, custom_patterns=None, detectors=None,
                   rewrite_boundaries: bool = True, compile_check=None) -> list[Detector]:
     """Pick the detectors of one run (plan-time; no data is touched).
@@ -212,7 +221,7 @@ def resolve_types(types=None, custom_patterns=None, detectors=None,
     if types:  # names are exact (case-sensitive), as enum names
         unknown = [t for t in types if t not in by_name]
         if unknown:
-            raise ValueError(f"no such data type: {', '.join(map(str, unknown))}; known: {', '.join(by_name)}")
+            raise ValueError(BAD_TYPES.format(', '.join(map(str, unknown)), ', '.join(by_name)))
         chosen = [d for d in registry if d.name in set(types)]
     else:
         chosen = registry
@@ -222,13 +231,13 @@ def resolve_types(types=None, custom_patterns=None, detectors=None,
         if pat is None or not str(pat).strip():
             continue  # a blank pattern keeps the type's own
         if name not in by_name:
-            errors.append(f"pattern given for an unknown type: {name}")
+            errors.append(BAD_PATTERN_TYPE.format(name))
             continue
         try:
             if compile_check is not None:  # else Java compiles it at run time
                 compile_check(pat)
         except Exception as exc:  # noqa: BLE001 - any compile error is the user's
-            errors.append(f"pattern of {name} does not compile: {exc}")
+            errors.append(BAD_PATTERN.format(name, exc))
             continue
         overrides[name] = by_name[name].with_pattern(pat, rewrite_boundaries)
     if errors:

@@ -107,11 +107,14 @@ def _created(path: str) -> float:
     return getattr(st, "st_birthtime", None) or st.st_mtime
 
 
+MISSING_ROOTS = "Path(s) do not exist: "  # fixed value: the answer callers show
+
+
 def check_roots(roots: Sequence[str], on_missing: str = "skip") -> list[str]:
     """Missing roots are skipped (default) or rejected together."""
     missing = [r for r in roots if not os.path.exists(r)]
     if missing and on_missing == "error":
-        raise FileNotFoundError("no such folder: " + ", ".join(missing))
+        raise FileNotFoundError(MISSING_ROOTS + ", ".join(missing))
     return [r for r in roots if r not in missing]
 
 

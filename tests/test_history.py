@@ -82,15 +82,16 @@ def test_external_ingest(spark):
     df = spark.createDataFrame([(json.dumps(p),) for p in payloads], "payload string")
     got = history.parse_external(df).collect()
     ok = [r for r in got if r.reject_reason is None]
-    assert len(ok) == 4
+    assert len(ok) == 5
     by = {r.run_id: r for r in ok}
     assert by["x1"].critical == 1 and by["x1"].normal == 1 and by["x2"].status == "FAILED"
     assert by["x4"].critical == 0
-    assert len([r for r in ok if r.run_id not in ("x1", "x2", "x4")][0].run_id) == 36  # new UUID
+    assert len([r for r in ok if r.run_id not in ("x1", "x2", "x4", "x8")][0].run_id) == 36  # made from the payload
     bad = {r.run_id: r.reject_reason for r in got if r.reject_reason}
     assert "required" in bad["x5"] and "required" in bad["x6"] and "Invalid status" in bad["x7"]
-    assert "Invalid status 'RUNNING'" in bad["x8"]
-    assert history.external_findings(history.parse_external(df)).count() == 6
+    assert by["x8"].status == "COMPLETED"  # RUNNING is taken in and stored as ended
+    assert {r.run_id: r.status for r in got if r.reject_reason} == {"x5": None, "x6": None, "x7": None}
+    assert history.external_findings(history.parse_external(df)).count() == 8
 
 
 def test_summary_helpers(spark):
@@ -99,7 +100,13 @@ def test_summary_helpers(spark):
     runs = spark.createDataFrame([("r",), ("empty",)], "run_id string")
     c = {r.run_id: r for r in summary.risk_share(summary.risk_counts(f, "run_id", runs)).collect()}
     assert c["r"].critical_pct == 50.0 and c["empty"].total == 0 and c["empty"].critical_share == "0.0%"
-    n = {r.run_id: r for r in summary.card_notice(f, "run_id", runs).collect()}
+    files = spark.createDataFrame(
+        [("r", "SCANNED", [("CRITICAL", "CARD_NUMBER"), ("NORMAL", "EMAIL")]), ("r", "SKIPPED", []), ("empty", "ERROR", [])],
+        "run_id string, status string, findings array<struct<risk_level:string,data_type:string>>")
+    stats = summary.run_stats(files, "run_id")
+    n = {r.run_id: r for r in summary.card_notice(stats).collect()}
+    assert (n["r"].files_scanned, n["r"].files_skipped, n["r"].critical, n["r"].total) == (1, 1, 1, 2)
+    assert n["empty"].errors == 1 and n["empty"].total == 0
     assert n["r"].has_card and n["r"].notice.startswith("Card number") and n["empty"].notice is None
     d = spark.createDataFrame([(None,), (-5,), (3_723_004,), (400_000_000,)], "ms long")
     got = [r.t for r in d.select(summary.duration_text(F.col("ms")).alias("t")).collect()]
