@@ -386,8 +386,12 @@ def history_view(spark, sf_dir):
 # Events of every run (started at start_time, finished at end_time).  The
 # state "as of" the first finish has that run COMPLETED and every run not
 # finished by then still RUNNING.  The cut-off is a scalar subquery.
-def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = runs(spark, sf_dir)
+def stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run table, written once: the views below read it several times."""
+    return browse.stored(runs(spark, sf_dir), "runs")
+
+
+def run_events(r: DataFrame) -> DataFrame:
     ev = F.explode(F.array(
         F.struct(F.lit("started").alias("event"), F.col("start_time").alias("at"),
                  (F.unix_micros(F.col("start_time").cast("timestamp")) * 2).alias("seq")),
@@ -397,14 +401,14 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "run_id", "e.seq", "e.event", "e.at", "scan_path", "report_path")
 
 
-def events_as_of_first_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = run_events(spark, sf_dir)
-    cutoff = runs(spark, sf_dir).agg(F.min("end_time")).scalar()  # a one-value subquery
+def events_as_of_first_end(r: DataFrame) -> DataFrame:
+    ev = run_events(r)
+    cutoff = r.agg(F.min("end_time")).scalar()  # a one-value subquery
     return ev.filter(F.col("at") <= cutoff)
 
 
-def state_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded = history.fold_events(events_as_of_first_end(spark, sf_dir))
+def state_as_of(r: DataFrame) -> DataFrame:
+    folded = history.fold_events(events_as_of_first_end(r))
     return folded.withColumn("seq", F.unix_micros(F.col("start_time").cast("timestamp")))
 
 
@@ -427,14 +431,14 @@ _FOLD_COLS = "run_id, start_time, end_time, scan_path, status, report_path"
 
 @register("history_fold", hist_sql(f"select {_FOLD_COLS} from folded"))
 def history_fold(spark, sf_dir):
-    return history.fold_events(events_as_of_first_end(spark, sf_dir)).select(*_FOLD_COLS.split(", "))
+    return history.fold_events(events_as_of_first_end(stored_runs(spark, sf_dir))).select(*_FOLD_COLS.split(", "))
 
 
 @register("history_current", hist_sql(
     f"select {_FOLD_COLS}, true as any_running from folded where status = 'RUNNING' "
     "order by start_time desc limit 1"))
 def history_current(spark, sf_dir):
-    cur = history.current_run(state_as_of(spark, sf_dir), seq="seq")
+    cur = history.current_run(state_as_of(stored_runs(spark, sf_dir)), seq="seq")
     return cur.select(*_FOLD_COLS.split(", "), "any_running")
 
 
@@ -443,8 +447,9 @@ def history_current(spark, sf_dir):
 def history_list(spark, sf_dir):
     # the history holds the as-of snapshot rows and, written later, the
     # final rows; the last write of each run wins
-    snap = state_as_of(spark, sf_dir).withColumn("write_seq", F.lit(0))
-    final = (runs(spark, sf_dir).select(*_FOLD_COLS.split(", "))
+    r = stored_runs(spark, sf_dir)
+    snap = state_as_of(r).withColumn("write_seq", F.lit(0))
+    final = (r.select(*_FOLD_COLS.split(", "))
              .withColumn("seq", F.unix_micros(F.col("start_time").cast("timestamp")))
              .withColumn("write_seq", F.lit(1)))
     table = snap.unionByName(final)
@@ -461,7 +466,7 @@ def history_latest(spark, sf_dir):
 @register("history_latest_completed", hist_sql(
     f"select {_FOLD_COLS} from folded where status = 'COMPLETED' order by start_time desc, run_id desc limit 1"))
 def history_latest_completed(spark, sf_dir):
-    return history.latest_completed(state_as_of(spark, sf_dir)).select(*_FOLD_COLS.split(", "))
+    return history.latest_completed(state_as_of(stored_runs(spark, sf_dir))).select(*_FOLD_COLS.split(", "))
 
 
 # ---- H8: external runs, one payload per scanned file ----------------------------------
