@@ -68,63 +68,93 @@ class Pieces:
         start = np.append(1.0 / (order + 10.0), 1.0 / (self.n + 10.0))  # Zipf's law over the file's order
         self.start = np.log(start / start.sum())
 
-    def edges(self, word: str) -> list[list[tuple[int, tuple[int, ...]]]]:
-        """For each end, the (start, pieces) of arcs that end there; a character without a piece is its bytes."""
+    def arcs(self, word: str) -> tuple[int, list[tuple[int, int, int | tuple[int, ...]]]]:
+        """(places, arcs by start): each arc is (start, end, piece); a character without a piece is its bytes."""
         text = SPACE + word
-        n = len(text)
-        into: list[list[tuple[int, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-        index, heads, longest = self.index, self.heads, self.longest
+        n, out = len(text), []
+        get, heads, longest = self.index.get, self.heads, self.longest
         for a in range(n):
             known = False
             for b in range(a + 1, min(n, a + longest) + 1):
                 part = text[a:b]
-                i = index.get(part)
+                i = get(part)
                 if i is not None:
-                    into[b].append((a, (i,)))
+                    out.append((a, b, i))
                     known = known or b == a + 1
                 if part not in heads:
                     break
             if not known:
-                into[a + 1].append((a, tuple(self.byte[x] for x in text[a].encode("utf-8", "surrogatepass"))))
-        return into
+                out.append((a, a + 1, tuple(self.byte[x] for x in text[a].encode("utf-8", "surrogatepass"))))
+        return n, out
 
 
 def _log_sum(values: list[float]) -> float:
+    if len(values) == 1:
+        return values[0]
     top = max(values)
-    return top + math.log(sum(math.exp(v - top) for v in values)) if len(values) > 1 else top
+    return top + math.log(sum([math.exp(v - top) for v in values]))
 
 
-def forward(into: list[list[tuple[int, tuple[int, ...]]]], logp: list[float]) -> list[float]:
+def forward(n: int, arcs: list, logp: list[float]) -> list[float]:
     """Log probability of all spellings of each prefix."""
-    alpha = [0.0]
-    for b in range(1, len(into)):
-        alpha.append(_log_sum([alpha[a] + (logp[ids[0]] if len(ids) == 1 else sum(logp[i] for i in ids))
-                               for a, ids in into[b]]))
+    into: list[list[float]] = [[] for _ in range(n + 1)]
+    alpha, at = [0.0] * (n + 1), 0
+    for a, b, i in arcs:
+        if a != at:  # every arc into ``a`` starts before it
+            alpha[a] = _log_sum(into[a])
+            at = a
+        into[b].append(alpha[a] + (logp[i] if i.__class__ is int else sum([logp[k] for k in i])))
+    alpha[n] = _log_sum(into[n])
     return alpha
 
 
 def word_score(pieces: Pieces, logp: list[float], word: str) -> float:
     """Natural log of the word's marginal probability."""
-    return forward(pieces.edges(word), logp)[-1]
-
-
-def add_expected(pieces: Pieces, logp: list[float], word: str, count: float, out: list[float]) -> None:
-    """Add the expected uses of each piece in ``count`` occurrences of the word."""
-    into = pieces.edges(word)
-    alpha = forward(into, logp)
-    n, total = len(into) - 1, alpha[-1]
-    beta: list[list[float]] = [[] for _ in range(n + 1)]
-    beta[n] = [0.0]
-    for b in range(n, 0, -1):
-        tail = _log_sum(beta[b]) if beta[b] else None
-        if tail is None:
-            continue
-        for a, ids in into[b]:
-            p = logp[ids[0]] if len(ids) == 1 else sum(logp[i] for i in ids)
-            weight = count * math.exp(alpha[a] + p + tail - total)
-            for i in ids:
-                out[i] += weight
-            beta[a].append(p + tail)
+    return forward(*pieces.arcs(word), logp)[-1]
+
+
+#: Below this probability of a word, expectations are taken in log space.
+TINY = 1e-200
+
+
+def add_expected(pieces: Pieces, logp: list[float], prob: list[float], word: str, count: float, out: list[float]) -> None:
+    """Add the expected uses of each piece in ``count`` occurrences of the word; ``prob`` is exp of ``logp``."""
+    n, arcs = pieces.arcs(word)
+    weights, alpha = [], [0.0] * (n + 1)
+    alpha[0] = 1.0
+    for a, b, i in arcs:
+        q = prob[i] if i.__class__ is int else math.prod([prob[k] for k in i])
+        weights.append(q)
+        alpha[b] += alpha[a] * q
+    if alpha[n] < TINY:
+        return _add_expected_log(n, arcs, logp, count, out)
+    beta = [0.0] * (n + 1)
+    beta[n] = count / alpha[n]
+    for (a, b, i), q in zip(reversed(arcs), reversed(weights)):
+        x = beta[b] * q
+        beta[a] += x
+        x *= alpha[a]
+        if i.__class__ is int:
+            out[i] += x
+        else:
+            for k in i:
+                out[k] += x
+
+
+def _add_expected_log(n: int, arcs: list, logp: list[float], count: float, out: list[float]) -> None:
+    """The same for long words, whose probability a float cannot hold."""
+    alpha = forward(n, arcs, logp)
+    tails: list[list[float]] = [[] for _ in range(n + 1)]
+    beta: list[float | None] = [None] * (n + 1)
+    beta[n] = 0.0
+    for a, b, i in reversed(arcs):
+        if beta[b] is None:  # every arc out of ``b`` has been seen
+            beta[b] = _log_sum(tails[b])
+        p = logp[i] if i.__class__ is int else sum([logp[k] for k in i])
+        weight = count * math.exp(alpha[a] + p + beta[b] - alpha[n])
+        for k in (i,) if i.__class__ is int else i:
+            out[k] += weight
+        tails[a].append(p + beta[b])
 
 
 _PIECES: dict[str, Pieces] = {}
@@ -178,11 +208,11 @@ def fit(words: DataFrame, ends: int, path: str, passes: int = PASSES) -> np.ndar
         now = logp.tolist()
 
         def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            own = pieces_of(path)
+            own, prob = pieces_of(path), [math.exp(x) for x in now]
             out = [0.0] * (own.n + 1)
             for b in batches:
                 for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    add_expected(own, now, w, c, out)
+                    add_expected(own, now, prob, w, c, out)
             used = [i for i, x in enumerate(out) if x]
             yield pa.record_batch([pa.array(used, pa.int32()), pa.array([out[i] for i in used], pa.float64())],
                                   ["piece", "uses"])

@@ -269,15 +269,28 @@ def test_lattice_sums_all_segmentations():
         assert lattice_lm.word_score(pieces, logp, word) == pytest.approx(_spell(pieces, logp, word))
 
 
-def test_expected_uses_sum_to_the_letters():
+@pytest.mark.parametrize("tiny", [lattice_lm.TINY, 2.0])  # in probabilities, and in log space
+def test_expected_uses_sum_to_the_letters(monkeypatch, tiny):
+    import math
+    monkeypatch.setattr(lattice_lm, "TINY", tiny)
     pieces = lattice_lm.pieces_of(P.path("piece_bpe_32k.model"))
     logp = pieces.start.tolist()
     out = [0.0] * (pieces.n + 1)
-    lattice_lm.add_expected(pieces, logp, "thedonor", 3.0, out)
+    lattice_lm.add_expected(pieces, logp, [math.exp(x) for x in logp], "thedonor", 3.0, out)
     names = {i: p for p, i in pieces.index.items()}
     assert sum(x * len(names[i]) for i, x in enumerate(out) if x) == pytest.approx(3.0 * len("thedonor" + lattice_lm.SPACE))
 
 
+def test_very_long_words_have_finite_scores_and_expectations():
+    import math
+    pieces = lattice_lm.pieces_of(P.path("piece_bpe_32k.model"))
+    logp = pieces.start.tolist()
+    out = [0.0] * (pieces.n + 1)
+    word = "xqzjé☃" * 500
+    lattice_lm.add_expected(pieces, logp, [math.exp(x) for x in logp], word, 1.0, out)
+    assert math.isfinite(lattice_lm.word_score(pieces, logp, word)) and 0 < sum(out) < math.inf
+
+
 PAGE = ("<html><head><title>t</title></head><body><header>Site</header><nav><a href='/'>Home</a></nav>"
         "<div class='ad'>Buy</div><article><h1>T &amp; x</h1><p>One\n two<br>three<p><b>four</b></p>"
         "<script>var a='</p>';</script><div class='comments'>me too</div></article><aside>side</aside><footer>f</footer></body></html>")
@@ -290,5 +303,14 @@ def test_page_text_by_names():
     assert html_text.extract("<!-- never closed <article>x", html_text.Template([])) == ""
 
 
+def test_page_text_prefers_the_article_and_keeps_its_own_header():
+    page = ("<body><header class='site-header'>S</header><main><div class='breadcrumbs'>a &gt; b</div><article class='post'>"
+            "<header><h1>T</h1></header><p>x&nbsp;y<form>f<input></form><p>z</article><section class='related'>"
+            "<article>other</article></section></main><div id='cookie-notice'>c</div><aside><article>q</article></aside></body>")
+    assert html_text.extract(page, html_text.Template([])) == "T\nx y\nz"
+    assert html_text.extract("<main><p>only main</p><nav>n</nav></main><p>out", html_text.Template([])) == "only main"
+    assert html_text.extract("<body><ul><li>a<li>b</ul>plain", html_text.Template([])) == "a\nb\nplain"
+
+
 def test_digest_helpers_agree():
     assert hashlib.md5(b" ".join(near.words_of(" a\tb \n"))).hexdigest() == hashlib.md5(b"a b").hexdigest()
