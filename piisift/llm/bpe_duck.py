@@ -26,27 +26,27 @@ from pyspark.sql import functions as F
 from .common import slices, table, text_of
 
 #: Documents gathered at once, words known at most, merge steps of one query, bytes of new words at once.
-ROWS, KNOWN_WORDS, STEPS, NEW_BYTES = 512, 600_000, 24, 2_000_000
+ROWS, KNOWN_WORDS, STEPS, NEW_BYTES = 512, 1_000_000, 24, 2_000_000
 MEMORY = "400MB"
 
+#: Token rows are keyed by word and position in one number, ``k``: the word in the high half.
 MERGE_SQL = """
-with recursive st(step, wid, pos, tok) as (
-    select 0, wid, pos, tok from pending
+with recursive st(step, k, tok) as (
+    select 0, k, tok from pending
     union all
-    select step + 1, wid, pos, case when best % 4294967296 = pos then cast(best // 4294967296 as integer) else tok end
-    from (
-        select *, min(pair) over (partition by wid) as best
-        from (
-            select s.*, cast(m.rank as bigint) * 4294967296 + s.pos as pair
-            from (
-                select step, wid, pos, tok, lead(tok) over w as nxt, lag(pos) over w as before
-                from st where step < $steps window w as (partition by wid order by pos)
-            ) s left join merges m on m.l = s.tok and m.r = s.nxt
-        )
-    )
-    where best is not null and (before is null or before <> best % 4294967296)
+    (with pairs as (
+        select s.*, cast(m.rank as bigint) * 4294967296 + (s.k & 4294967295) as pair
+        from (select step, k, tok, lead(tok) over w as right_tok, lead(k) over w as right_k, lag(k) over w as left_k
+              from st where step < $steps window w as (order by k)) s
+        left join merges m on m.l = s.tok and m.r = s.right_tok and (s.right_k >> 32) = (s.k >> 32)),
+     best as (select k >> 32 as wid, min(pair) as pair from pairs where pair is not null group by 1)
+     select step + 1, k,
+            case when (best.pair & 4294967295) = (k & 4294967295) then cast(best.pair >> 32 as integer) else tok end
+     from pairs join best on best.wid = k >> 32
+     where left_k is null or left_k <> ((best.wid << 32) | (best.pair & 4294967295)))
 )
-select wid, pos, tok, step from st qualify step = max(step) over (partition by wid)
+select k >> 32 as wid, k & 4294967295 as pos, k, tok, step
+from st join (select k >> 32 as w, max(step) as last_step from st group by 1) f on f.w = k >> 32 and f.last_step = step
 """
 
 #: Ids and decoded bytes of each new word, as hex, in token order.
@@ -138,12 +138,12 @@ class DuckBpe:
         n = np.array([len(r) for r in raws], dtype=np.int64)
         data = np.frombuffer(b"".join(raws), dtype=np.uint8)
         pos = np.arange(len(data), dtype=np.int64) - np.repeat(np.cumsum(n) - n, n)
-        self._table("pending", wid=pa.array(np.repeat(np.array(wids, dtype=np.int32), n)),
-                    pos=pa.array(pos.astype(np.int32)), tok=pa.array(self.byte_id[data]))
+        self._table("pending", k=pa.array((np.repeat(np.array(wids, dtype=np.int64), n) << 32) | pos),
+                    tok=pa.array(self.byte_id[data]))
         while True:
             self._do(f"create or replace table merged as {MERGE_SQL.replace('$steps', str(STEPS))}")
             self._do(WORD_SQL.format(rows="merged", ended=f"step < {STEPS}"))
-            self._do("create or replace table pending as select wid, pos, tok from merged where step = ?", [STEPS])
+            self._do("create or replace table pending as select k, tok from merged where step = ?", [STEPS])
             if not self._do("select count(*) from pending")[0][0]:
                 return
 
