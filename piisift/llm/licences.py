@@ -6,6 +6,10 @@ cosine counts if it reaches the threshold.  A file whose licence headers hold at
 is a licence file: it governs its directory.  Files without a header of their own take the licence of
 the nearest ancestor directory that has a licence file, found by joins on directory paths.
 
+A header is compared as a whole, and so are its parts: runs of its lines and sentences without the copyright
+lines, the names it states a licence by, and its SPDX tag, whose expression counts as it stands.  A file is
+compared as a whole with full licence texts.  A whole file comes before parts, then the highest cosine.
+
 All of it is DataFrame code.  The templates are a fixed list; only they are broadcast.
 
 Defined cases: null and empty texts have no header and may inherit; ties of cosine go to the
@@ -18,6 +22,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -30,8 +36,17 @@ THRESHOLD = 0.7
 GAP_LINES = 2
 #: Share of a file's words in licence headers, in percent, from which it is a licence file.
 FILE_PERCENT = 50
+#: Lines without a licence term that may stand inside a region, whose parts are compared.
+REGION_LINES = 8
+#: Numbers of neighbouring pieces (lines or sentences) compared at once; runs of a size start a quarter of it apart.
+RUNS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
+#: Cosine to a full text from which a whole file is that licence; two different full texts below stay under it,
+#: but for versions of one licence, of which the nearest counts.
+FULL_THRESHOLD = 0.9
 
 TERMS = r"(?i)licen[cs]|copyright|\(c\) ?\d{4}|spdx|warrant|redistribut|public domain|permission"
+#: Terms of the regions whose parts are compared: these and names of licences without one.
+REGION_TERMS = TERMS + r"|\b[al]?gpl|creative commons|\bcc[ -](?:by|0)|under the terms of|unencumbered"
 WORD = r"[a-z0-9]+(?:[.][0-9]+)*"
 
 # Usual notices of public licences, (name, notice).
@@ -89,10 +104,115 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 
-def template_rows() -> tuple[list[tuple[int, str, str, float]], float]:
+def _gnu(program: str, licence: str, version: str, semicolon: str = ";") -> str:
+    """The usual notice of a GNU licence, all three paragraphs."""
+    return (f"This {program} is free software{semicolon} you can redistribute it and/or modify it under the terms of the "
+            f"GNU {licence} as published by the Free Software Foundation; either version {version} of the License, or (at "
+            f"your option) any later version. This {program} is distributed in the hope that it will be useful, but "
+            f"WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+            f"PURPOSE. See the GNU {licence} for more details. You should have received a copy of the GNU {licence} along "
+            f"with this {program}. If not, see <https://www.gnu.org/licenses/>.")
+
+
+_AS_IS = ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO "
+          "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+          "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+          "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+          "DEALINGS IN THE SOFTWARE.")
+_BSD_AS_IS = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+              "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+              "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+              "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+              "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+              "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+              "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH "
+              "DAMAGE.")
+_BSD_2 = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+          "following conditions are met: Redistributions of source code must retain the above copyright notice, this list "
+          "of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright "
+          "notice, this list of conditions and the following disclaimer in the documentation and/or other materials "
+          "provided with the distribution.")
+_NOTICE = {name: notice for name, notice in reversed(TEMPLATES)}  # the first, long one of each name
+
+# More notices, among them whole texts of the short licences.
+NOTICES: tuple[tuple[str, str], ...] = TEMPLATES + (
+    ("AGPL-3.0", _gnu("program", "Affero General Public License", "3", ":")),
+    ("BSD-2-Clause", _BSD_2),
+    ("BSD-2-Clause", f"{_BSD_2} {_BSD_AS_IS}"),
+    ("BSD-3-Clause", f"{_NOTICE['BSD-3-Clause']} {_BSD_AS_IS}"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at "
+                "http://www.boost.org/LICENSE_1_0.txt)"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+                "2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    *((f"GFDL-{v}", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free "
+                    f"Documentation License, Version {v} or any later version published by the Free Software Foundation; with "
+                    "no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts.") for v in ("1.2", "1.3")),
+    ("GPL-1.0", _gnu("program", "General Public License", "1")),
+    ("GPL-2.0", _gnu("program", "General Public License", "2")),
+    ("GPL-3.0", _gnu("program", "General Public License", "3", ":")),
+    ("ISC", f"{_NOTICE['ISC']} THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS "
+            "SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE "
+            "FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, "
+            "DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+            "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("LGPL-2.0", _gnu("library", "Library General Public License", "2")),
+    ("LGPL-2.1", _gnu("library", "Lesser General Public License", "2.1")),
+    ("LGPL-2.1", _gnu("library", "Lesser General Public License", "2.1").split(" This library is dist")[0]),
+    ("LGPL-3.0", _gnu("library", "Lesser General Public License", "3")),
+    ("MIT", f"{_NOTICE['MIT']} {_AS_IS}"),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not "
+                "use this file except in compliance with the License. You may obtain a copy of the License at "
+                "http://www.mozilla.org/MPL/"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+             "liable for any damages arising from the use of this software. Permission is granted to anyone to use this "
+             "software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject "
+             "to the following restrictions"),
+)
+# Names by which a header states its licence, in words as ``WORD`` cuts them.
+NAMES: tuple[tuple[str, str], ...] = (
+    ("AGPL-3.0", "(?:gnu )?(?:affero general public license|agpl)(?: version| v)? ?v?3(?:[.]0)?"),
+    ("Apache-2.0", "apache(?: software)?(?: license)?(?: version| v)? ?v?2(?:[.]0)?"),
+    ("BSD-2-Clause", "(?:bsd 2 clause|2 clause bsd|simplified bsd)"),
+    ("BSD-3-Clause", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)"),
+    ("BSL-1.0", "boost software license(?: version)? 1[.]0"),
+    ("CC-BY-4.0", "(?:cc by|creative commons attribution) 4[.]0"),
+    ("CC-BY-NC-4.0", "(?:cc by nc|creative commons attribution noncommercial) 4[.]0"),
+    ("CC-BY-SA-4.0", "(?:cc by sa|creative commons attribution sharealike) 4[.]0"),
+    ("EPL-2.0", "eclipse public license(?: version| v)? ?v?2[.]0"),
+    ("GPL-2.0", "(?:gnu )?(?:general public license|gpl)(?: version| v)? ?v?2(?:[.]0)?"),
+    ("GPL-3.0", "(?:gnu )?(?:general public license|gpl)(?: version| v)? ?v?3(?:[.]0)?"),
+    ("ISC", "isc license"),
+    ("LGPL-2.1", "(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?v?2[.]1"),
+    ("LGPL-3.0", "(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?v?3(?:[.]0)?"),
+    ("MIT", "(?:mit|expat)(?: x11)?(?: license| licence)"),
+    ("MPL-1.1", "mozilla public license(?: version| v)? ?v?1[.]1"),
+    ("MPL-2.0", "(?:mozilla public license|mpl)(?: version| v)? ?v?2(?:[.]0)?"),
+    ("Unlicense", "unlicense"),
+    ("Zlib", "zlib license"),
+)
+STATED = (r"(?:^| )(?<!not )(?:licen[cs]ed|released|distributed|available|published|provided|covered|governed)(?: [a-z]+){0,3}? "
+          r"(?:under|by)(?: the)?(?: terms(?: and conditions)? of)?(?: the| an?)?(?: gnu)? (?:NAME)(?: |$)")
+_SPDX_ID = r"\(*[A-Za-z0-9](?:[A-Za-z0-9.:-]*[A-Za-z0-9])?\+?\)*"
+SPDX = rf"SPDX-License-Identifier:[ \t]*({_SPDX_ID}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_SPDX_ID})*)"
+COPYRIGHT = r"(?i)copyright|\(c\) ?\d{4}|all rights reserved"
+OTHER_TERMS = r"(?i)licen[cs]|spdx|warrant|redistribut|public domain|permission|copyright notice"
+
+
+@cache
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """(name, text) of the whole texts at hand; the AGPL is the GPL under its own name."""
+    texts = {f.stem: f.read_text("utf-8", "replace") for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+    texts["AGPL-3.0"] = (texts["GPL-3.0"].replace("GNU General Public", "GNU Affero General Public")
+                         .replace("GNU GENERAL PUBLIC", "GNU AFFERO GENERAL PUBLIC"))
+    long = tuple((name, t) for name, t in NOTICES[len(TEMPLATES):] if name in ("BSD-2-Clause", "BSD-3-Clause", "ISC", "MIT")
+                 and "AS IS" in t)
+    return tuple(sorted(texts.items())) + long
+
+
+def template_rows(notices: tuple[tuple[str, str], ...] = TEMPLATES) -> tuple[list[tuple[int, str, str, float]], float]:
     """([(template, name, word, weight of unit-length vector)], idf of words in no template)."""
     bags = []
-    for _, notice in TEMPLATES:
+    for _, notice in notices:
         bag: dict[str, int] = {}
         for w in re.findall(WORD, notice.lower()):
             bag[w] = bag.get(w, 0) + 1
@@ -106,13 +226,13 @@ def template_rows() -> tuple[list[tuple[int, str, str, float]], float]:
     for i, bag in enumerate(bags):
         weight = {w: c * math.log(1 + n / df[w]) for w, c in bag.items()}
         norm = math.sqrt(sum(x * x for x in weight.values()))
-        rows += [(i, TEMPLATES[i][0], w, x / norm) for w, x in sorted(weight.items())]
+        rows += [(i, notices[i][0], w, x / norm) for w, x in sorted(weight.items())]
     return rows, math.log(1 + n)
 
 
-def idf_rows() -> list[tuple[str, float]]:
-    n, df = len(TEMPLATES), {}
-    for _, notice in TEMPLATES:
+def idf_rows(notices: tuple[tuple[str, str], ...] = TEMPLATES) -> list[tuple[str, float]]:
+    n, df = len(notices), {}
+    for _, notice in notices:
         for w in set(re.findall(WORD, notice.lower())):
             df[w] = df.get(w, 0) + 1
     return [(w, math.log(1 + n / c)) for w, c in sorted(df.items())]
@@ -123,21 +243,58 @@ def directory_of(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
-def headers(docs: DataFrame, text: str = "t") -> DataFrame:
+def headers(docs: DataFrame, text: str = "t", gap: int = GAP_LINES, joint: str = " ", terms: str = TERMS) -> DataFrame:
     """row, block, header of every run of licence lines; ``docs`` has a row number ``row``."""
     lines = (docs.select("row", F.posexplode(F.split(text, "\n")).alias("at", "line"))
-             .withColumn("hit", F.col("line").rlike(TERMS)))
+             .withColumn("hit", F.col("line").rlike(terms)))
     by_row = W.partitionBy("row").orderBy("at")
     last = F.last(F.when(F.col("hit"), F.col("at")), True).over(by_row)
     after = F.first(F.when(F.col("hit"), F.col("at")), True).over(by_row.rowsBetween(0, W.unboundedFollowing))
     inside = (lines.withColumn("last", last).withColumn("after", after)
-              .filter("hit or after - last <= " + str(GAP_LINES + 1)))
+              .filter("hit or after - last <= " + str(gap + 1)))
     starts = inside.withColumn("new", F.coalesce(
         (F.col("at") - F.lag("at").over(by_row) > 1).cast("int"), F.lit(1)))
     blocks = starts.withColumn("block", F.sum("new").over(by_row))
     ordered = F.array_sort(F.collect_list(F.struct("at", "line")))
     return blocks.groupBy("row", "block").agg(
-        F.array_join(F.transform(ordered, lambda x: x["line"]), " ").alias("header"))
+        F.array_join(F.transform(ordered, lambda x: x["line"]), joint).alias("header"))
+
+
+def windows(regions: DataFrame) -> DataFrame:
+    """row, block, part, header, extra of the parts of each region; ``extra`` counts the words of its copyright lines."""
+    pieces = F.filter(F.split("header", r"\n|(?<=[.!?])[ \t]+(?=[A-Z\"'(])"), lambda x: x.rlike(r"[A-Za-z0-9]"))
+    cut = regions.select("row", "block", pieces.alias("all")).select(
+        "row", "block", "all", F.filter("all", lambda x: ~x.rlike(COPYRIGHT) | x.rlike(OTHER_TERMS)).alias("p"))
+    sized = cut.withColumn("n", F.size("p")).withColumn("extra", F.size(F.expr(
+        f"regexp_extract_all(lower(array_join(array_except(all, p), ' ')), '{WORD}', 0)")))
+    runs = F.expr("flatten(transform(filter(array(" + ", ".join(map(str, RUNS)) + "), s -> s <= n), s -> transform("
+                  "array_union(sequence(0, n - s, greatest(1, s div 4)), array(n - s)), i -> struct(i, s))))")
+    parts = sized.select("row", "block", "extra", "p", F.posexplode(runs).alias("part", "run"))
+    joined = F.array_join(F.slice("p", F.col("run.i") + 1, F.col("run.s")), " ")
+    return parts.select("row", "block", "part", "extra", joined.alias("header")).filter(F.col("header").rlike(REGION_TERMS))
+
+
+def stated(regions: DataFrame) -> DataFrame:
+    """row, block, licence, similarity, n_words of the licences that regions state by name or by SPDX tag."""
+    bare = F.array_join(F.expr(f"regexp_extract_all(lower(header), '{WORD}', 0)"), " ")
+
+    def found(licence: Column, said: Column) -> Column:
+        return F.struct(licence.alias("licence"), F.lit(1.0).alias("similarity"),
+                        F.size(F.split(F.trim(said), "[^A-Za-z0-9.]+")).cast("long").alias("n_words"))
+
+    names = F.array_compact(F.array(*(
+        F.when(bare.rlike(p), found(F.lit(name), F.regexp_extract(bare, p, 0)))
+        for name, p in ((n, STATED.replace("NAME", x)) for n, x in NAMES))))
+    tags = F.transform(F.expr(f"regexp_extract_all(header, r'{SPDX}', 1)"),
+                       lambda x: found(_spdx_name(x), F.concat(F.lit("SPDX-License-Identifier: "), x)))
+    return regions.select("row", "block", F.explode(F.concat(names, tags)).alias("x")).select("row", "block", "x.*")
+
+
+def _spdx_name(tag: Column) -> Column:
+    """A tag's expression; a single name as the templates spell it."""
+    tidy = F.regexp_replace(F.regexp_replace(F.trim(tag), r"[ \t]+", " "), r"(?i)^(\S*GPL-\S+|GFDL-\S+?)(?:-only|-or-later|[+])$", "$1")
+    known = {n.lower(): n for n, _ in (*NOTICES, *NAMES, *full_texts())}
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in sorted(known.items()) for x in kv))[F.lower(tidy)], tidy)
 
 
 def _fixed(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
@@ -148,25 +305,49 @@ def _fixed(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
     return spark.sql(f"select * from values {values} as t({columns})")
 
 
-def best_templates(blocks: DataFrame) -> DataFrame:
-    """row, block, n_words, licence, similarity of the nearest template of each header that reaches the threshold."""
+def _packed(spark: SparkSession, rows: list[tuple[int, str, str, float]]) -> DataFrame:
+    """The template vectors, one SQL value each."""
+    texts: dict[tuple[int, str], list[str]] = {}
+    for template, licence, word, weight in rows:
+        texts.setdefault((template, licence), []).append(f"{word} {weight!r}")
+    packed = _fixed(spark, [(*k, ";".join(v)) for k, v in texts.items()], "template, licence, packed")
+    pair = (packed.select("template", "licence", F.explode(F.split("packed", ";")).alias("pair"))
+            .select("template", "licence", F.split("pair", " ").alias("p")))
+    return pair.select("template", "licence", F.col("p")[0].alias("word"), F.col("p")[1].cast("double").alias("weight"))
+
+
+def best_templates(blocks: DataFrame, keys: tuple[str, ...] = ("row", "block"), notices: tuple[tuple[str, str], ...] = NOTICES,
+                   threshold: float = THRESHOLD) -> DataFrame:
+    """keys, licence, similarity, n_words of the nearest template of each header that reaches the threshold."""
     spark = blocks.sparkSession
-    rows, other = template_rows()
-    vectors = F.broadcast(_fixed(spark, rows, "template, licence, word, weight"))
-    idf = F.broadcast(_fixed(spark, idf_rows(), "word, idf"))
-    words = (blocks.select("row", "block", F.explode(F.expr(f"regexp_extract_all(lower(header), '{WORD}', 0)")).alias("word"))
-             .groupBy("row", "block", "word").count()
+    rows, other = template_rows(notices)
+    vectors = F.broadcast(_packed(spark, rows))
+    idf = F.broadcast(_packed(spark, [(0, "", *r) for r in idf_rows(notices)]).select("word", F.col("weight").alias("idf")))
+    words = (blocks.select(*keys, F.explode(F.expr(f"regexp_extract_all(lower(header), '{WORD}', 0)")).alias("word"))
+             .groupBy(*keys, "word").count()
              .join(idf, "word", "left")
              .withColumn("w", F.col("count") * F.coalesce("idf", F.lit(other))))
-    norms = words.groupBy("row", "block").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-                                              F.sum("count").alias("n_words"))
-    dots = words.join(vectors, "word").groupBy("row", "block", "template", "licence").agg(
+    norms = words.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
+                                     F.sum("count").alias("n_words"))
+    dots = words.join(vectors, "word").groupBy(*keys, "template", "licence").agg(
         F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, ["row", "block"]).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6))
+    scored = dots.join(norms, list(keys)).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6))
     first = F.min_by(F.struct("licence", "similarity", "n_words"),
                      F.struct((-F.col("similarity")).alias("s"), F.col("licence"), F.col("template")))
-    return (scored.filter(F.col("similarity") >= THRESHOLD).groupBy("row", "block").agg(first.alias("best"))
-            .select("row", "block", "best.*"))
+    return (scored.filter(F.col("similarity") >= threshold).groupBy(*keys).agg(first.alias("best"))
+            .select(*keys, "best.*"))
+
+
+def best_parts(regions: DataFrame) -> DataFrame:
+    """row, licence, similarity, n_words of the best part or statement of each region."""
+    parts = windows(regions)
+    extra = parts.groupBy("row", "block").agg(F.max("extra").alias("extra"))
+    near = (best_templates(parts, ("row", "block", "part")).join(extra, ["row", "block"])
+            .select("row", "block", "licence", "similarity", (F.col("n_words") + F.col("extra")).alias("n_words")))
+    best = F.min_by(F.struct("licence", "similarity"), F.struct((-F.col("similarity")).alias("s"), F.col("licence")))
+    words = F.max_by("n_words", F.struct("similarity", "n_words"))
+    return (near.unionByName(stated(regions)).groupBy("row", "block").agg(best.alias("best"), words.alias("n_words"))
+            .select("row", "best.*", "n_words"))
 
 
 def scan_licences(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -174,11 +355,20 @@ def scan_licences(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     # one pass over the texts: only those with a licence term can hold a header, and only they are kept
     numbered = written(docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(path).alias("path"),
-        F.when(text_of(text).rlike(TERMS), text_of(text)).alias("t")), "licence-texts")
-    found = written(best_templates(headers(numbered.filter("t is not null"))), "licence-headers")
+        F.when(text_of(text).rlike(REGION_TERMS), text_of(text)).alias("t")), "licence-texts")
+    held_texts = numbered.filter("t is not null")
+    regions = written(headers(held_texts, gap=REGION_LINES, joint="\n", terms=REGION_TERMS), "licence-regions")
+    shape = ("row", "licence", "similarity", "n_words")
+    found = written(
+        best_templates(headers(held_texts)).select(*shape, F.lit(1).alias("by"))
+        .unionByName(best_parts(regions).select(*shape, F.lit(2).alias("by")))
+        .unionByName(best_templates(held_texts.select("row", F.col("t").alias("header")), ("row",), full_texts(), FULL_THRESHOLD)
+                     .select(*shape, F.lit(0).alias("by"))), "licence-headers")
+    by_words = [F.sum(F.when(F.col("by") == k, F.col("n_words"))) for k in range(3)]  # the same words may be found by each
     per_row = found.groupBy("row").agg(
-        F.min_by(F.struct("licence", "similarity"), F.struct((-F.col("similarity")).alias("s"), F.col("licence"))).alias("own"),
-        F.sum("n_words").alias("licence_words"))
+        F.min_by(F.struct("licence", "similarity"), F.struct((F.col("by") > 0).alias("part"), (-F.col("similarity")).alias("s"),
+                                                             F.col("licence"))).alias("own"),
+        F.greatest(*by_words).alias("licence_words"))
     size = F.expr(f"size(regexp_extract_all(lower(t), '{WORD}', 0))")
     files = numbered.select("row", "key", "path", F.when(F.col("t").isNotNull(), size).alias("n_words"))
     held = written(files.join(per_row, "row", "left").select(

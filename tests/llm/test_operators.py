@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -320,6 +321,41 @@ def test_licence_inheritance_takes_the_nearest_directory(spark):
     assert by[6]["licence"] is None and by[7]["licence"] == "Apache-2.0" and by[8]["licence"] == "Apache-2.0"
 
 
+def test_licences_of_parts_names_and_whole_files(spark):
+    def wrapped(text, width=70):
+        return "\n".join("# " + line for line in textwrap.wrap(text, width))
+
+    notice = dict(licences.NOTICES)
+    full = dict(reversed(licences.full_texts()))
+    prose = "This library parses tables quickly. Released under the MIT License. Bug reports are welcome at any time of day."
+    headers = {  # path: (text, licence)
+        "a": ("Copyright (c) 2021 Acme Corporation\nReleased under the MIT License.", "MIT"),
+        "b": ("# Copyright 2020 The Authors. All rights reserved.\n# Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        "c": ("# SPDX-License-Identifier: Apache-2.0\n" + "x = 1\n" * 90, "Apache-2.0"),
+        "d": ("/* SPDX-License-Identifier: MIT */\n" + "int x;\n" * 90, "MIT"),
+        "e": ("# SPDX-License-Identifier: GPL-2.0-or-later\n" + "x = 1\n" * 90, "GPL-2.0"),
+        "f": ("# SPDX-License-Identifier: MIT OR Zlib and more\n" + "x = 1\n" * 90, "MIT OR Zlib"),
+        "g": (prose, "MIT"),
+        "h": ("This package is distributed under the terms of the GNU GPL version 3 and hosted by us", "GPL-3.0"),
+        "i": ("# Copyright (c) 2019 J. Doe, Example Street 5\n" + wrapped(notice["MIT"]) + "\n" + "x = 1\n" * 90, "MIT"),
+        "j": (wrapped(notice["LGPL-2.1"]) + "\n" + "x = 1\n" * 90, "LGPL-2.1"),
+        "k": ("This is not licensed under the MIT license at all, ask the authors of this fine program before use", None),
+        "l": ("# SPDX-License-Identifier: Foo-9\n" + "x = 1\n" * 90, "Foo-9"),
+    }
+    rows = [(i, f"/{k}/x.py", text) for i, (k, (text, _)) in enumerate(headers.items())]
+    wholes = {f"/full{i}": name for i, name in enumerate(full)}
+    rows += [(100 + i, f"/full{i}/COPYING", "Copyright (c) 2020 Some One\n\n" + text) for i, text in enumerate(full.values())]
+    rows += [(200 + i, f"/full{i}/src/y.py", "y = 2") for i in range(len(full))]
+    frame = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    by = {r["path"]: r for r in licences.scan_licences(frame, "path").collect()}
+    assert {k: by[f"/{k}/x.py"]["licence"] for k in headers} == {k: want for k, (_, want) in headers.items()}
+    assert {d: (by[d + "/COPYING"]["licence"], by[d + "/COPYING"]["via"]) for d in wholes} == {
+        d: (name, "file") for d, name in wholes.items()}
+    assert {d: (by[d + "/src/y.py"]["licence"], by[d + "/src/y.py"]["licence_dir"]) for d in wholes} == {
+        d: (name, d) for d, name in wholes.items()}
+    assert by["/a/x.py"]["via"] == "file" and by["/c/x.py"]["via"] == "header" and by["/g/x.py"]["via"] == "header"
+
+
 def _page(i, body, extra=""):
     return (f"<html><head><title>x</title></head><body><nav><a href='/'>Home {i}</a></nav><div class='ad'>Buy {i}</div>"
             f"{body}<footer>&copy; {i}</footer>{extra}</body></html>")
