@@ -7,10 +7,13 @@ in base64 or hex are decoded, and reported when the bytes have the structure of
 * ``pem``: a block between BEGIN/END lines of a private key whose body decodes to a key encoding, or
   which carries the header lines of an encrypted key;
 * ``der``: base64 or hex text that decodes to a DER private key: nested lengths all fit, and the
-  sequence has the integer and octet-string layout of PKCS#1, PKCS#8 or SEC 1;
+  sequence has the integer and octet-string layout of PKCS#1, PKCS#8, SEC 1 or DSA;
 * ``openssh``: a decoded OpenSSH private-key body, whose length-prefixed fields nest exactly;
 * ``token``: a signed token: a JSON header that names an algorithm, a JSON payload and a signature.
 
+DER and OpenSSH keys are looked for at every place where their first bytes can stand, within a longer run of
+letters too, and over line ends (real ones or ``\\n``); the lengths in their first bytes say where they end.
+
 Offsets are code points, end exclusive.  Defined cases: null text is empty and has no span; the order of
 spans is by start, then by kind as listed in ``KINDS``, then by end; repeated rows are scanned alike;
 other columns of the input are ignored.
@@ -22,7 +25,8 @@ import base64
 import binascii
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,10 +42,20 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so this drops the short ones of [0-9a-f]+
 
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(.*?)-----END \1-----", re.DOTALL)
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_TEXT = re.compile(r"(?:[0-9A-Fa-f]{2}){32,}")
-TOKEN = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:(?!-----BEGIN ).)*?)-----END \1-----", re.DOTALL)
+#: Line ends within a wrapped key, with the indent of the next line.
+_JOINT = r"(?:\r?\n|(?:\\r)?\\n)[ \t]*"
+#: Places where DER can begin (0x30 and a length), and the first bytes of an OpenSSH key.
+BASE64_START = re.compile(r"M[A-T](?=[A-Za-z0-9+/_-])|b3BlbnNz")
+HEX_START = re.compile(r"30(?=[0-9A-Fa-f])|6[Ff]70656[Ee]")
+_BASE64_PIECE = re.compile(rf"({_JOINT})?((?:[A-Za-z0-9+/_]|-(?!----))+)")  # an END line is no part of a key
+_HEX_PIECE = re.compile(rf"({_JOINT})?([0-9A-Fa-f]+)")
+#: Least length of a key that is text in base64 and of one in hex.
+LEAST_BASE64, LEAST_HEX = 40, 64
+#: Words joined by dots; a signed token is three neighbours of them.
+DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_.-]*+")
+TOKEN_START = re.compile(r"e[yw]")
+_TOKEN_HEAD = re.compile(r'\{\s*"(?:[^"\\]|\\.)*"\s*:')
 OPENSSH_MAGIC = b"openssh-key-v1\0"
 
 
@@ -96,7 +110,7 @@ def _nested(data: bytes, items: list[tuple[int, int, int]], depth: int = 0) -> b
 
 
 def is_private_der(data: bytes) -> bool:
-    """PKCS#1, PKCS#8 (plain or encrypted) or SEC 1 private key, with all nested lengths exact."""
+    """PKCS#1, PKCS#8 (plain or encrypted), SEC 1 or DSA private key, with all nested lengths exact."""
     top = _der_item(data, 0, len(data))
     if top is None or top[0] != 0x30 or top[2] != len(data):
         return False
@@ -110,6 +124,8 @@ def is_private_der(data: bytes) -> bool:
             return True  # PKCS#1: version and eight integers
         if tags[1:3] == [0x30, 0x04]:
             return True  # PKCS#8: version, algorithm, key octets
+        if version == b"\0" and tags == [0x02] * 6 and parts[1][2] - parts[1][1] >= 64 and parts[2][2] - parts[2][1] >= 20:
+            return True  # DSA: version, p, q, g and both keys
         if version == b"\1" and len(tags) >= 2 and tags[1] == 0x04 and parts[1][2] - parts[1][1] >= 16:
             return True  # SEC 1: version, key octets
     if tags == [0x30, 0x04]:  # encrypted PKCS#8: algorithm with an object identifier, then octets
@@ -120,25 +136,159 @@ def is_private_der(data: bytes) -> bool:
 
 def is_openssh(data: bytes) -> bool:
     """OpenSSH private-key body: cipher, kdf, options, key count, public keys, private part."""
-    if not data.startswith(OPENSSH_MAGIC):
-        return False
+    return _openssh_size(lambda a, b: data[a:b]) == len(data)
+
+
+def _openssh_size(read: Callable[[int, int], bytes | None]) -> int | None:
+    """Bytes of the OpenSSH private-key body that ``read(from, to)`` gives; None when it is none."""
     at = len(OPENSSH_MAGIC)
+    if read(0, at) != OPENSSH_MAGIC:
+        return None
 
-    def field() -> bytes | None:
+    def number() -> int | None:
         nonlocal at
-        if at + 4 > len(data):
-            return None
-        n = int.from_bytes(data[at:at + 4], "big")
-        if at + 4 + n > len(data):
+        four = read(at, at + 4)
+        at += 4
+        return int.from_bytes(four, "big") if four is not None and len(four) == 4 else None
+
+    def skip() -> bool:
+        nonlocal at
+        n = number()
+        if n is None or n and not read(at + n - 1, at + n):
+            return False
+        at += n
+        return True
+
+    if not all(skip() for _ in range(3)):
+        return None
+    keys = number()
+    return at if keys is not None and 1 <= keys <= 16 and all(skip() for _ in range(keys + 1)) else None
+
+
+def _der_size(read: Callable[[int, int], bytes | None]) -> int | None:
+    """Bytes of the DER sequence that ``read`` gives, when a number or a sequence comes first in it."""
+    for first in (7, 6, 5, 4, 3):  # tag, length of up to five bytes, tag
+        head = read(0, first)
+        if head is not None and len(head) == first:
+            break
+    else:
+        return None
+    if head[0] != 0x30:
+        return None
+    n, at = head[1], 2
+    if n >= 0x80:
+        k = n & 0x7F
+        if not 1 <= k <= 4 or 2 + k >= len(head) or head[2] == 0:
             return None
-        at += 4 + n
-        return data[at - n:at]
+        n, at = int.from_bytes(head[2:2 + k], "big"), 2 + k
+    return at + n if at < len(head) and head[at] in (0x02, 0x30) else None
 
-    if any(field() is None for _ in range(3)) or at + 4 > len(data):
-        return False
-    keys = int.from_bytes(data[at:at + 4], "big")
-    at += 4
-    return 1 <= keys <= 16 and all(field() is not None for _ in range(keys)) and field() is not None and at == len(data)
+
+class Letters:
+    """The letters of a wrapped text from a place on, read no further than they are asked for."""
+
+    def __init__(self, text: str, at: int, piece: re.Pattern[str]):
+        self.text, self.at, self.piece = text, at, piece
+        self.parts: list[tuple[int, int, int]] = []  # first letter, its place, letters
+        self.size, self.next = 0, at
+
+    def upto(self, n: int) -> bool:
+        """Whether there are ``n`` letters."""
+        if n > len(self.text) - self.at:
+            return False
+        while self.size < n:
+            m = self.piece.match(self.text, self.next, min(len(self.text), self.next + n - self.size + 64))
+            if m is None or m[1] and not self.parts:
+                return False
+            self.parts.append((self.size, m.start(2), len(m[2])))
+            self.size, self.next = self.size + len(m[2]), m.end()
+        return True
+
+    def span(self, a: int, b: int) -> str:
+        i = bisect_right(self.parts, a, key=lambda p: p[0]) - 1
+        out = []
+        for first, at, n in self.parts[i:]:
+            if first >= b:
+                break
+            out.append(self.text[at + max(a - first, 0):at + min(b - first, n)])
+        return "".join(out)
+
+    def place(self, n: int) -> int:
+        """The place after the first ``n`` letters."""
+        first, at, _ = self.parts[bisect_right(self.parts, n - 1, key=lambda p: p[0]) - 1]
+        return at + n - first
+
+
+def _key_at(text: str, at: int, piece: re.Pattern[str]) -> tuple[int, str] | None:
+    """(end, kind) of the DER or OpenSSH key that begins at a place of the text."""
+    letters, in_hex = Letters(text, at, piece), piece is _HEX_PIECE
+
+    def read(a: int, b: int) -> bytes | None:
+        if in_hex:
+            return bytes.fromhex(letters.span(2 * a, 2 * b)) if letters.upto(2 * b) else None
+        first, last = a // 3 * 4, -(-8 * b // 6)
+        data = b64(letters.span(first, last)) if letters.upto(last) else None
+        return None if data is None else data[a - a // 3 * 3:][:b - a]
+
+    kind = "openssh" if text[at] in "b6" else "der"
+    n = (_der_size if kind == "der" else _openssh_size)(read)
+    if n is None:
+        return None
+    size = 2 * n if in_hex else -(-8 * n // 6)
+    if size < (LEAST_HEX if in_hex else LEAST_BASE64):
+        return None
+    if kind == "der" and not is_private_der(read(0, n) or b""):
+        return None
+    end = letters.place(size)
+    if not in_hex:
+        end += len(text[end:end + 2]) - len(text[end:end + 2].lstrip("="))
+    return end, kind
+
+
+def _keys(text: str, start: re.Pattern[str], piece: re.Pattern[str], covered: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """Keys that begin where ``start`` matches, outside the covered ranges and outside each other."""
+    out: list[tuple[int, int, str]] = []
+    m = start.search(text)
+    while m is not None:
+        at = m.start()
+        found = None if any(a <= at < b for a, b in covered) else _key_at(text, at, piece)
+        if found is not None:
+            out.append((at, *found))
+        m = start.search(text, at + 1 if found is None else found[0])
+    return out
+
+
+def _json(part: str) -> object:
+    try:
+        return json.loads(b64(part) or b"")
+    except (ValueError, RecursionError):
+        return None
+
+
+def _token_heads(word: str) -> list[int]:
+    """Places from which a word can decode to a JSON object; it is decoded once for each place modulo four."""
+    decoded = [b64(word[r:]) for r in range(4)]
+    plain = [None if d is None else d.decode("latin-1") for d in decoded]
+    return [x for x in (m.start() for m in TOKEN_START.finditer(word)) if len(word) - x >= 8
+            and plain[x % 4] is not None and _TOKEN_HEAD.match(plain[x % 4], x // 4 * 3)]
+
+
+def _tokens(text: str) -> list[tuple[int, int, str]]:
+    """Signed tokens among words joined by dots; a header may begin within a word."""
+    out: list[tuple[int, int, str]] = []
+    for m in DOTTED.finditer(text):
+        words, at, i = m[0].split("."), m.start(), 0
+        while i + 2 < len(words):
+            head, body, sign = words[i:i + 3]
+            end = at + len(head) + 1 + len(body) + 1 + len(sign)
+            if len(body) >= 2 and TOKEN_START.search(head) and isinstance(_json(body), dict):
+                begin = next((x for x in _token_heads(head) if is_signed_token(f"{head[x:]}.{body}.{sign}")), None)
+                if begin is not None:
+                    out.append((at + begin, end, "token"))
+                    at, i = end + 1, i + 3
+                    continue
+            at, i = at + len(head) + 1, i + 1
+    return out
 
 
 def is_signed_token(text: str) -> bool:
@@ -170,30 +320,16 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def added_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans confirmed by decoding and parsing.
 
-    DER and OpenSSH keys may sit inside a longer run of base64 letters, so a decode is also tried where
-    their first bytes can begin; every start is a fixed prefix, which keeps the work linear.
+    A decode is tried at every place where a key's first bytes can stand; it reads the first bytes, and as many
+    more as their lengths say.
     """
     out: list[tuple[int, int, str]] = []
     if "PRIVATE KEY-----" in text:
         out += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if _pem_confirmed(m[2])]
-    if "." in text and "ey" in text:
-        out += [(m.start(), m.end(), "token") for m in TOKEN.finditer(text)
-                if m[0].startswith("ey") and is_signed_token(m[0])]
+    if "." in text and ("ey" in text or "ew" in text):
+        out += _tokens(text)
     covered = [(a, b) for a, b, _ in out]
-    for m in BASE64.finditer(text):
-        if any(a <= m.start() < b for a, b in covered):
-            continue
-        data = b64(m[0]) if m[0][0] in "Mb" else None  # 0x30 and "o" begin with M and b
-        if data and data[:1] == b"\x30" and is_private_der(data):
-            out.append((m.start(), m.end(), "der"))
-        elif data and is_openssh(data):
-            out.append((m.start(), m.end(), "openssh"))
-    for m in HEX_TEXT.finditer(text):
-        if m[0].startswith("30") and is_private_der(bytes.fromhex(m[0])):
-            out.append((m.start(), m.end(), "der"))
-        elif m[0].startswith("6f70") and is_openssh(bytes.fromhex(m[0])):
-            out.append((m.start(), m.end(), "openssh"))
-    return out
+    return out + _keys(text, BASE64_START, _BASE64_PIECE, covered) + _keys(text, HEX_START, _HEX_PIECE, [])
 
 
 _RANK = {k: i for i, k in enumerate(KINDS)}
