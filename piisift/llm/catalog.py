@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_duck, exact, html_text, lattice_lm, licences, near, packing, quality, secret_scan, token_files
+from . import (bpe_duck, exact, html_text, lattice_lm, licences, near, packing, quality, secret_scan, substring,
+               token_files)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -19,10 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_host_quality": quality.op9_host_quality,
     "op10_licence_scan": licences.op10_licence_scan,
+    "op11_substring_dedup": substring.op11_substring_dedup,
 }
 ORACLES: dict[str, str] = {
-    "op4_template_text": html_text.op4_template_text,
     "op5_exact_dedup": exact.OP5_SQL,
     "op9_host_quality": quality.OP9_SQL,
     "op10_licence_scan": licences.OP10_SQL,
+    "op11_substring_dedup": substring.OP11_SQL,
 }
