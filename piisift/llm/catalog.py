@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe_duck, exact, html_text, lattice_lm, licences, near, packing, quality, secret_scan, substring,
+from . import (bpe_duck, exact, html_text, lattice_lm, lexical, licences, near, packing, quality, secret_scan, substring,
                token_files)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,10 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_host_quality": quality.op9_host_quality,
     "op10_licence_scan": licences.op10_licence_scan,
     "op11_substring_dedup": substring.op11_substring_dedup,
+    "op13_lexical_search": lexical.op13_lexical_search,
 }
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": exact.OP5_SQL,
     "op9_host_quality": quality.OP9_SQL,
     "op10_licence_scan": licences.OP10_SQL,
     "op11_substring_dedup": substring.OP11_SQL,
+    "op13_lexical_search": lexical.OP13_SQL,
 }
