@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe_duck, exact, html_text, lattice_lm, lexical, licences, near, packing, quality, secret_scan, substring,
-               token_files)
+from . import (bpe_duck, dialogue, exact, html_text, lattice_lm, lexical, licences, near, packing, quality, secret_scan,
+               substring, token_files)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_host_quality": quality.op9_host_quality,
     "op10_licence_scan": licences.op10_licence_scan,
     "op11_substring_dedup": substring.op11_substring_dedup,
+    "op12_dialogue_repair": dialogue.op12_dialogue_repair,
     "op13_lexical_search": lexical.op13_lexical_search,
 }
 ORACLES: dict[str, str] = {

@@ -50,6 +50,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_range(df: DataFrame, *cols) -> DataFrame:
+    """Ranges of the given order: as many as the session's setting, or as the input has splits if those are more."""
+    splits = df.rdd.getNumPartitions()
+    if splits > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartitionByRange(splits, *cols)
+    return df.repartitionByRange(*cols)
+
+
 def store_of(uri: str):
     """``(pyarrow file system, path)`` of a URI (file, hdfs, s3, gs)."""
     from pyarrow import fs
