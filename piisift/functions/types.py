@@ -155,6 +155,8 @@ class Detector:
     source_pattern: str | None = field(default=None, compare=False)
     # checksum on the digits-only form (lets a caller strip the value once)
     digits_validator: Callable[[Column], Column] | None = None
+    # a match never holds a cut as ``operators.pieces`` makes them; unknown for user patterns
+    cuttable: bool = field(default=False, compare=False)
 
     def with_pattern(self, pattern: str, rewrite_boundaries: bool = True) -> "Detector":
         """Same type (validator, mask, risk) with a user pattern and no guard."""
@@ -191,7 +193,7 @@ def _builtin(name: str, risk: str, label: str, pattern: str) -> Detector:
     return Detector(name=name, pattern=ascii_boundaries(pattern, lead, tail), risk=risk,
                     label=label, validator=_VALIDATORS.get(name),
                     mask=_MASKS.get(name, masks.mask_last4), guard=_GUARDS[name],
-                    source_pattern=pattern, digits_validator=_DIGIT_VALIDATORS.get(name))
+                    source_pattern=pattern, digits_validator=_DIGIT_VALIDATORS.get(name), cuttable=True)
 
 
 BUILTIN_DETECTORS: tuple[Detector, ...] = tuple(_builtin(*row) for row in TYPE_TABLE)

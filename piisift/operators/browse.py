@@ -106,7 +106,7 @@ def positioned(df: DataFrame, seq: Sequence[Column] | None = None, descending: b
     bases = sizes.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
     ranks = ranged.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*ordered)))
     return (ranks.join(bases, "__part")
-            .withColumn("pos", (F.col("__base") + F.col("__rank")).cast("int")).drop("__part", "__rank", "__base"))
+            .withColumn("pos", (F.col("__base") + F.col("__rank")).cast("long")).drop("__part", "__rank", "__base"))
 
 
 #: Rows up to which a page is taken as a top-N; deeper pages go by position.
@@ -133,7 +133,7 @@ def page(df: DataFrame, page_no: int, size: int = PAGE_SIZE, seq: Sequence[Colum
         ordered = [c.desc() for c in seq] if descending else list(seq)
         # position inside the page: a window over at most ``size`` rows
         found = (rows.orderBy(*ordered).offset((p - 1) * size).limit(size)
-                 .withColumn("pos", F.row_number().over(Window.orderBy(*ordered)) + F.lit((p - 1) * size)))
+                 .withColumn("pos", F.row_number().over(Window.orderBy(*ordered)).cast("long") + F.lit((p - 1) * size)))
     return found.withColumn("page", F.lit(p)).withColumn("total", F.lit(total).cast("long"))
 
 

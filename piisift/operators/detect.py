@@ -223,6 +223,37 @@ def _finding_array(text, detectors, use_guards, guard_cols) -> Column:
     return F.flatten(F.array(*parts)) if parts else F.array().cast(FINDING_TYPE)
 
 
+CHECKED_TYPE = T.ArrayType(T.StructType(FINDING_TYPE.elementType.fields + [T.StructField("is_valid", T.BooleanType())]))
+
+
+def checked_array(text, detectors: Sequence[Detector], use_guards: bool = True,
+                  guard_cols: Mapping[str, str] | None = None) -> Column:
+    """Every candidate, masked and classified, with the verdict of its validator: findings whose
+    ``match_idx`` is still to be moved need the invalid candidates before them, but never their values."""
+    return _cached("checked", text, detectors, use_guards, guard_cols, None,
+                   lambda: _checked_array(text, detectors, use_guards, guard_cols))
+
+
+def _checked_array(text, detectors, use_guards, guard_cols) -> Column:
+    text = _as_column(text)
+    parts = []
+    for det in detectors:
+        raw = _indexed(_matches(text, det), det.digits_validator is not None)
+        arr = F.transform(raw, _checked_struct(det))
+        parts.append(_guarded(text, det, arr, CHECKED_TYPE, use_guards, guard_cols))
+    return F.flatten(F.array(*parts)) if parts else F.array().cast(CHECKED_TYPE)
+
+
+def _checked_struct(det: Detector):
+    finding, keep = _finding_struct(det), None if det.validator is None else _validity(det)
+
+    def build(x: Column) -> Column:
+        f = finding(x)
+        return F.struct(*[f[n].alias(n) for n in FINDING_TYPE.elementType.fieldNames()],
+                        (F.lit(True) if keep is None else keep(x)).alias("is_valid"))
+    return build
+
+
 def _resolve(df: DataFrame, types, custom_patterns, detectors) -> list[Detector]:
     """Chosen detectors; user patterns are compiled by Java, as Spark will."""
     check = None

@@ -145,6 +145,13 @@ def current_run(runs: DataFrame, seq: str = "seq") -> DataFrame:
         F.col("r").isNotNull()).select("r.*", "any_running")
 
 
+def running(runs: DataFrame, seq: str = "seq") -> DataFrame:
+    """Always one row: whether any run is running, and the id of the latest started of those (H4)."""
+    is_running = F.col("status") == "RUNNING"
+    return runs.agg((F.count_if(is_running) > 0).alias("any_running"),
+                    F.max_by(F.when(is_running, F.col("run_id")), F.when(is_running, F.col(seq))).alias("run_id"))
+
+
 def latest_run(runs: DataFrame) -> DataFrame:
     """The newest run (H5)."""
     return newest_first(runs).limit(1)

@@ -205,14 +205,14 @@ def findings_search(spark, sf_dir):
 
 # ---- Q5: newest first, with the position of each finding
 @register("findings_newest_first", run_ctes(
-    f"select {_FIND_COLS}, cast(row_number() over (order by {_SEQ_DESC}) as integer) as pos from run_findings",
+    f"select {_FIND_COLS}, row_number() over (order by {_SEQ_DESC}) as pos from run_findings",
     "run_findings"))
 def findings_newest_first(spark, sf_dir):
     return browse.positioned(run_findings(spark, sf_dir))
 
 
 @register("findings_deep_page", run_ctes(
-    f"select {_FIND_COLS}, cast(pos as integer) as pos from (select *, "
+    f"select {_FIND_COLS}, pos from (select *, "
     f"row_number() over (order by {_SEQ_DESC}) as pos from run_findings) x where pos between 21 and 30", "run_findings"))
 def findings_deep_page(spark, sf_dir):
     """A page far down the list, by position (the path of pages beyond ``TOP_ROWS``)."""
@@ -249,7 +249,7 @@ PAGE_NO = 3
 
 
 @register("findings_page", run_ctes(
-    f"select {_FIND_COLS}, cast(pos as integer) as pos, (select pg from page_no) as page, total from (select *, "
+    f"select {_FIND_COLS}, pos, (select pg from page_no) as page, total from (select *, "
     f"row_number() over (order by {_SEQ_DESC}) as pos, count(*) over () as total from run_findings) x "
     f"where pos > ((select pg from page_no) - 1) * {browse.PAGE_SIZE} "
     f"and pos <= (select pg from page_no) * {browse.PAGE_SIZE}", "run_findings").replace(
@@ -618,7 +618,7 @@ HISTORY_PAGE = 2
 
 
 @register("history_page", run_ctes(
-    "select run_id, status, start_time, scan_path, cast(pos as integer) as pos, (select pg from page_no) as page, "
+    "select run_id, status, start_time, scan_path, pos, (select pg from page_no) as page, "
     "total from (select *, row_number() over (order by start_time desc, run_id desc) as pos, "
     "count(*) over () as total from run_summary) x "
     f"where pos > ((select pg from page_no) - 1) * {browse.PAGE_SIZE} "

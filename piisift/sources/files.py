@@ -4,6 +4,9 @@
 job in which executors list a partition of the current directories
 (``mapInPandas`` over ``os.scandir``), prune excluded and hidden
 sub-directories on the spot, and hand the surviving ones to the next level.
+Names and kinds come from the directory alone; sizes and times are read
+afterwards, by all tasks, once the names are dealt evenly, so one folder that
+holds a third of all files costs one task a stream of names and no more.
 A tree with millions of directories is thus listed by all executors, not by
 one task, and each level is checkpointed to the shared checkpoint folder so
 a lost executor costs one level at most.  Paths never pass through the
@@ -78,11 +81,7 @@ def _lister(options: ScanOptions, config: ScanConfig):
                     continue
                 if not options.include_hidden_files and _is_hidden(e.name):
                     continue
-                st = e.stat(follow_symlinks=True)
-                # birth time where the OS has one, else the modified time (as Java does)
-                created = getattr(st, "st_birthtime", None) or st.st_mtime
-                yield (root, e.path, False, int(st.st_size), None if created is None else float(created),
-                       float(st.st_mtime), depth + 1, None)
+                yield (root, e.path, False, None, None, None, depth + 1, None)
             except OSError as exc:
                 yield (root, e.path, False, None, None, None, depth + 1, f"{type(exc).__name__}: {exc.strerror or exc}")
 
@@ -102,6 +101,25 @@ def _lister(options: ScanOptions, config: ScanConfig):
     return run
 
 
+def _attributes(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """mapInPandas function: listed names → the same rows with sizes and times."""
+    for pdf in batches:
+        sizes, created, modified, problems = [], [], [], []
+        for path, problem in zip(pdf["path"], pdf["problem"]):
+            found = (None, None, None, problem)
+            if problem is None:
+                try:
+                    st = os.stat(path)
+                    # birth time where the OS has one, else the modified time (as Java does)
+                    found = (int(st.st_size), float(getattr(st, "st_birthtime", None) or st.st_mtime), float(st.st_mtime), None)
+                except OSError as exc:
+                    found = (None, None, None, f"{type(exc).__name__}: {exc.strerror or exc}")
+            for column, value in zip((sizes, created, modified, problems), found):
+                column.append(value)
+        yield pdf.assign(size_bytes=pd.array(sizes, dtype="Int64"), created_s=pd.array(created, dtype="Float64"),
+                         modified_s=pd.array(modified, dtype="Float64"), problem=problems)
+
+
 def _created(path: str) -> float:
     st = os.stat(path)
     return getattr(st, "st_birthtime", None) or st.st_mtime
@@ -120,7 +138,7 @@ def check_roots(roots: Sequence[str], on_missing: str = "skip") -> list[str]:
 
 def list_files(spark: SparkSession, roots: Sequence[str], options: ScanOptions = ScanOptions(),
                config: ScanConfig = ScanConfig(), on_missing: str = "skip",
-               dirs_per_task: int = 64) -> DataFrame:
+               dirs_per_task: int = 64, files_per_task: int = 5000) -> DataFrame:
     """All files selected under ``roots``: root, path, rel_path, file_name,
     extension, size_bytes, created, modified.  Overlapping roots give
     duplicate rows, as separate walks would."""
@@ -142,6 +160,9 @@ def list_files(spark: SparkSession, roots: Sequence[str], options: ScanOptions =
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
+    names = found.count()  # of checkpointed rows; one number
+    tasks = max(1, min(names, max(spark.sparkContext.defaultParallelism, -(-names // files_per_task))))
+    found = found.repartition(tasks).mapInPandas(_attributes, ENTRY_SCHEMA).checkpoint()
     if single:  # a root that is a file is handed over as a file
         extra = spark.createDataFrame(
             [(r, p, False, os.path.getsize(p), _created(p), os.path.getmtime(p), 0, None) for r, p in single],

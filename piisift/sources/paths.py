@@ -95,6 +95,29 @@ def excluded_path_ok(path: Column, root: Column, excluded_paths: Sequence[str])
     return (d == r) | ~hit
 
 
+#: A folder's files are dealt to so many places in a join, as one folder may hold a third of them.
+SALTS = 16
+
+
+def exclude_paths(listing: DataFrame, excluded: DataFrame, path_col: str = "path", root_col: str = "root") -> DataFrame:
+    """The rows that :func:`excluded_path_ok` keeps, for any number of excluded paths (column ``path``).
+
+    Each folder's ancestors are looked up among the excluded paths by a hash join, once per folder; files are
+    then left out by their folder.  The work grows with folders times depth, not with the number of exclusions.
+    """
+    p = F.regexp_replace("path", "/+$", "")
+    gone = excluded.select(F.when(p == "", "/").otherwise(p).alias("__p")).distinct()
+    d, r = dir_of(F.col(path_col)), F.regexp_replace(F.col(root_col), "/+$", "")
+    rows = listing.filter(F.col(path_col).isNotNull() & F.col(root_col).isNotNull()).withColumn("__d", d).withColumn("__r", r)
+    parts = F.split("__d", "/")
+    above = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    folders = rows.select("__d", "__r").distinct().filter(F.col("__d") != F.col("__r"))
+    hits = (folders.withColumn("__p", F.explode(above)).join(gone, "__p", "left_semi").select("__d", "__r").distinct()
+            .withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    salted = rows.withColumn("__s", F.pmod(F.xxhash64(path_col), F.lit(SALTS)).cast("int"))
+    return salted.join(hits, ["__d", "__r", "__s"], "left_anti").select(*listing.columns)
+
+
 def excluded_name_ok(parts: Column, names: Sequence[str]) -> Column:
     """No directory below the root named like an excluded folder."""
     if not names:
