@@ -38,8 +38,9 @@ def build(findings: DataFrame, base: str, seq: Sequence[Column] | None = None, d
             .withColumn("part", part))
     rows.write.partitionBy("part").parquet(f"{folder}/rows")
     spark = findings.sparkSession
-    schema = T.StructType([*findings.schema.fields, T.StructField("rank", T.LongType()), T.StructField("part", T.IntegerType())])
-    sizes = spark.read.schema(schema).parquet(f"{folder}/rows").groupBy("part").agg(F.max("rank").alias("rows"))
+    columns = T.StructType([*findings.schema.fields, T.StructField("rank", T.LongType()), T.StructField("part", T.IntegerType())])
+    spark.createDataFrame([], columns).write.parquet(f"{folder}/columns")  # an index of no rows has them too
+    sizes = rows_of(spark, folder).groupBy("part").agg(F.max("rank").alias("rows"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
     sizes.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0))).write.parquet(f"{folder}/parts")
     return folder
@@ -47,7 +48,7 @@ def build(findings: DataFrame, base: str, seq: Sequence[Column] | None = None, d
 
 def rows_of(spark: SparkSession, folder: str) -> DataFrame:
     """All rows with ``part`` and ``rank``."""
-    return spark.read.parquet(f"{folder}/rows")
+    return spark.read.schema(spark.read.parquet(f"{folder}/columns").schema).parquet(f"{folder}/rows")
 
 
 def page(spark: SparkSession, folder: str, page_no: int, size: int = PAGE_SIZE) -> DataFrame:
@@ -86,8 +87,12 @@ def build_search(spark: SparkSession, folder: str, chunk_rows: int = CHUNK_ROWS,
      .write.partitionBy("bucket").parquet(f"{folder}/lists"))
 
 
+def _all_lists(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("gram string, part int, chunk long, ranks array<long>, bucket int").parquet(f"{folder}/lists")
+
+
 def _lists(spark: SparkSession, folder: str, grams: list[str], buckets: int) -> DataFrame:
-    lists = spark.read.parquet(f"{folder}/lists")
+    lists = _all_lists(spark, folder)
     wanted = spark.createDataFrame([(g,) for g in grams], "gram string").select(
         F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int")).distinct().collect()
     return lists.filter(F.col("bucket").isin([r[0] for r in wanted]) & F.col("gram").isin(grams))
@@ -101,7 +106,7 @@ def search(spark: SparkSession, folder: str, query: str | None, buckets: int = G
         return rows.drop("part", "rank")
     if len(q) < 3:
         # a short query: every list whose letters begin with it (folders are scanned for the letters alone)
-        lists = spark.read.parquet(f"{folder}/lists").filter(F.startswith("gram", F.lit(q)))
+        lists = _all_lists(spark, folder).filter(F.startswith("gram", F.lit(q)))
         found = lists.select("part", F.explode("ranks").alias("rank")).distinct()
     else:
         grams = sorted({q[i:i + 3] for i in range(len(q) - 2)})

@@ -199,7 +199,7 @@ def balance(listing: DataFrame, files_per_task: int = 1000, bytes_per_task: int
 
     Listings come out grouped by folder, so a folder holding most of the files
     would otherwise be read and scanned by one task.  The listing is small
-    metadata: one count, then a round-robin shuffle of paths (never bytes).
+    metadata: one count, then ranges of paths of equal size (never bytes).
     """
     files, size = listing.agg(F.count(F.lit(1)), F.sum("size_bytes")).first()
     files, size = int(files or 0), int(size or 0)
@@ -208,4 +208,4 @@ def balance(listing: DataFrame, files_per_task: int = 1000, bytes_per_task: int
     except Exception:  # noqa: BLE001 - no SparkContext access
         cores = 1
     n = max(cores, -(-files // files_per_task), -(-size // bytes_per_task))
-    return listing.repartition(max(1, min(n, max(files, 1))))
+    return listing.repartitionByRange(max(1, min(n, max(files, 1))), "path")
