@@ -5,9 +5,11 @@ Spark gathers for each host and token an occurrence vector over the host's pages
 count), and tokens that share a vector form an equivalence class.  Classes that occur on enough pages are
 valid; they nest by path into the host's template.  What the template leaves open are slots.  A slot is
 main text if it lies under the template's content container and under no container for menus, headers,
-footers, sidebars, notices, adverts, forms or comments; where no container says so by its name, the
-evidence of all pages decides: link-heavy slots and slots that read the same on every page are not text,
-and the container that holds most of the remaining text is the content.
+footers, sidebars, notices, adverts, forms or comments.  Names of containers propose, the classes' text over all
+pages decides: a container that holds half of its host's text or more, and the article or main part with it, is a
+wrapper and no sidebar or form, whatever words it carries; a class below the content that reads the same on every
+page is the template's own text.  Where no container is named as content, link-heavy classes and classes that read
+the same on every page are not text, and the container that holds most of the remaining text is the content.
 
 Blocks are the text between block-level tags and line breaks.  Character references are decoded, white
 space becomes one space, and nothing inside the kept slots is dropped or cut.
@@ -58,6 +60,9 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*
                   r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""", re.DOTALL)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _NAME_WORD = re.compile(r"[a-z]+|\d+")
+#: First and last words of names that describe a layout or a state, not what the container is.
+LAYOUT_FIRST = frozenset("has with without no is not layout page theme col".split())
+LAYOUT_LAST = frozenset("enabled disabled open opened closed layout on off active inactive visible hidden".split())
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in RAW}
 ROOT = "html"
 
@@ -67,7 +72,11 @@ def signature(tag: str, attributes: str) -> str:
     words: list[str] = []
     if attributes:
         for m in _NAMED.finditer(attributes):
-            words += [w for w in _NAME_WORD.findall((m[2] or m[3] or m[4] or "").lower()) if not w.isdigit()]
+            for name in (m[2] or m[3] or m[4] or "").lower().split():
+                own = [w for w in _NAME_WORD.findall(name) if not w.isdigit()]
+                if len(own) > 1 and (own[0] in LAYOUT_FIRST or own[-1] in LAYOUT_LAST):
+                    own = ["-".join(own)]  # "has-sidebar" names no sidebar
+                words += own
     return ".".join([tag, *sorted(set(words))])
 
 
@@ -213,27 +222,73 @@ def role(sign: str, inside_content: bool) -> str:
     return "open"
 
 
+def wrappers(chars: dict[tuple[str, ...], int]) -> set[tuple[str, ...]]:
+    """Containers that names would drop though they hold half of the text and every article or main part that
+    names would not drop.
+
+    ``chars``: characters of the text of each container itself.  A comment list that outweighs its
+    article is none, as the article lies outside.
+    """
+    def has_content(path):
+        return any(sign.split(".")[0] in CONTENT for sign in path)
+
+    total, out = sum(chars.values()), set()
+    while True:
+        under: dict[tuple[str, ...], int] = {}
+        for path, n in chars.items():
+            top = next((path[:k] for k in range(1, len(path) + 1) if path[:k] not in out and dropped_at(path, k, out)), None)
+            if top is not None:
+                under[top] = under.get(top, 0) + n
+        new = {top for top, n in under.items() if 2 * n >= total > 0
+               and any(has_content(p) for p in chars if p[:len(top)] == top)
+               and not any(has_content(p) and n and not any(dropped_at(p, k, out) for k in range(1, len(p) + 1))
+                           for p, n in chars.items() if p[:len(top)] != top)}
+        if not new:
+            return out
+        out |= new
+
+
+def dropped_at(path: tuple[str, ...], k: int, spared: set[tuple[str, ...]]) -> bool:
+    """Whether names drop the path at its k-th container, those above it spared or open."""
+    inside = False
+    for j, sign in enumerate(path[:k], 1):
+        r = role(sign, inside)
+        if r == "drop" and path[:j] not in spared:
+            return j == k
+        inside = inside or r == "content" or sign.split(".")[0] in CONTENT
+    return False
+
+
 class Template:
     """A host's nested classes, with the verdict on each slot."""
 
     def __init__(self, rows: list[dict]):
         self.tokens = {r["token"]: r for r in rows}
-        self.verdicts: dict[tuple[str, ...], tuple[bool, bool]] = {}
+        self.wrappers = wrappers({tuple(t.split(">")): r["chars"] for t, r in self.tokens.items()})
+        self.page_wrappers: set[tuple[str, ...]] = set()  # of the page at hand
         self.has_content = any(self._names(tuple(t.split(">")))[1] for t in self.tokens)
         self.content = None if self.has_content else self._largest()
 
-    @staticmethod
-    def _names(path: tuple[str, ...]) -> tuple[bool, int]:
+    def _names(self, path: tuple[str, ...]) -> tuple[bool, int]:
         """(dropped, depth of content) by the names along the path: 0 outside, 1 in a content container, 2 in an article."""
         inside = 0
-        for sign in path:
+        for k, sign in enumerate(path, 1):
             r = role(sign, inside > 0)
-            if r == "drop":
+            if r == "drop" and path[:k] not in self.wrappers and path[:k] not in self.page_wrappers:
                 return True, inside
-            if r == "content":
+            if r == "content" or (r == "drop" and sign.split(".")[0] in CONTENT):
                 inside = max(inside, 2 if sign.split(".")[0] == "article" else 1)
         return False, inside
 
+    def _own_text(self, path: tuple[str, ...]) -> bool:
+        """Whether a class below the content container reads the same on every page, though the content does not."""
+        first = next((k for k, sign in enumerate(path, 1) if role(sign, False) == "content" or sign.split(".")[0] in CONTENT), len(path))
+        content = self.tokens.get(">".join(path[:first]))
+        if content is None or (content["fixed"] and content["chars"]):
+            return False
+        below = (self.tokens.get(">".join(path[:k])) for k in range(first + 1, len(path) + 1))
+        return any(r is not None and r["chars"] and r["fixed"] and r["support"] >= FIXED_PAGES for r in below)
+
     def _evidence_drops(self, path: tuple[str, ...]) -> bool:
         """Whether any class along the path is a menu or the template's own text."""
         for k in range(1, len(path) + 1):
@@ -264,7 +319,7 @@ class Template:
         if dropped:
             return False
         if page_content:
-            return inside >= page_content
+            return inside >= page_content and not self._own_text(path)
         if self._evidence_drops(path):
             return False
         return self.content is None or (">".join(path) + ">").startswith(self.content + ">")
@@ -273,7 +328,11 @@ class Template:
 def extract(page: str, template: Template) -> str:
     """Main text of a page: the kept blocks joined by line ends."""
     blocks = read_page(page)
-    content = max((inside for dropped, inside in map(Template._names, {p for p, t, _ in blocks if t}) if not dropped), default=0)
+    chars: dict[tuple[str, ...], int] = {}
+    for path, text, _ in blocks:
+        chars[path] = chars.get(path, 0) + len(text)
+    template.page_wrappers = wrappers(chars)  # a page alone, or unlike its host
+    content = max((inside for dropped, inside in map(template._names, {p for p, t, _ in blocks if t}) if not dropped), default=0)
     kept: dict[tuple[str, ...], bool] = {}
     out = []
     for path, text, _ in blocks:
@@ -283,7 +342,7 @@ def extract(page: str, template: Template) -> str:
             if kept[path]:
                 out.append(text)
     if not out and not content and template.content:  # a page unlike its host: by names alone
-        out = [text for path, text, _ in blocks if text and not Template._names(path)[0]]
+        out = [text for path, text, _ in blocks if text and not template._names(path)[0]]
     return "\n".join(out)
 
 
@@ -292,7 +351,7 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
     key_type = pages.schema[key].dataType.simpleString()
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"),
                         F.coalesce(F.col(html), F.lit("")).alias("t"))
-    numbered = rows.withColumn("page", F.xxhash64("key", "url", "t"))
+    numbered = rows.withColumn("page", F.monotonically_increasing_id())  # repeated rows are pages of their own
     templates = written(deduce_templates(numbered), "templates")
     total = templates.agg(F.sum("pages")).first()[0] or 0
     is_hot = F.col("pages") * HOT_HOSTS >= F.lit(total)
