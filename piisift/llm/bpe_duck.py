@@ -9,6 +9,11 @@ Every word is encoded once per worker; the table of known words is bounded and e
 query recurses a bounded number of steps and is asked again for the words that still have pairs, which
 bounds the rows that a very long word leaves behind.
 
+Long words (text without blanks) are first cut wherever no token of the vocabulary lies across the cut: no merge
+can cross it, so the parts' ids are the word's.  Parts that are still long contract every occurrence of their minimum
+pair in one step, the leftmost of those that overlap.  That is what one occurrence at a time gives, unless a
+merged token makes a pair of lower rank with a neighbour; the step then ends at the first such occurrence.
+
 Defined cases: null text is empty; an empty text has no ids and decodes to no bytes; rows with equal keys
 are kept apart by their place; an empty table gives no row; other columns of the input are ignored.
 """
@@ -28,6 +33,10 @@ from .common import slices, table, text_of
 #: Documents gathered at once, words known at most, merge steps of one query, bytes of new words at once.
 ROWS, KNOWN_WORDS, STEPS, NEW_BYTES = 512, 1_000_000, 24, 2_000_000
 MEMORY = "400MB"
+#: While a long part is merged; a part of two million equal letters fits.
+LONG_MEMORY = "800MB"
+#: Bytes from which a word is cut, and from which a part contracts all occurrences of a pair at once, in few steps.
+LONG_WORD, LONG_PART, LONG_STEPS = 64, 256, 2
 
 #: Token rows are keyed by word and position in one number, ``k``: the word in the high half.
 MERGE_SQL = """
@@ -49,6 +58,33 @@ select k >> 32 as wid, k & 4294967295 as pos, k, tok, step
 from st join (select k >> 32 as w, max(step) as last_step from st group by 1) f on f.w = k >> 32 and f.last_step = step
 """
 
+#: The same for long parts: all occurrences of a word's minimum pair, every second of those that overlap.
+MERGE_ALL_SQL = """
+with recursive st(step, k, tok) as (
+    select 0, k, tok from pending
+    union all
+    (with pairs as (
+        select s.*, m.rank
+        from (select step, k, tok, lead(tok) over w as right_tok, lead(k) over w as right_k, row_number() over w as i,
+                     lag(tok) over w as before, lead(tok, 2) over w as after
+              from st where step < $steps window w as (order by k)) s
+        left join merges m on m.l = s.tok and m.r = s.right_tok and (s.right_k >> 32) = (s.k >> 32)),
+     best as (select k >> 32 as wid, min(rank) as rank from pairs where rank is not null group by 1),
+     hit as (select i, wid, best.rank, before, after, i - row_number() over (order by i) as island
+             from pairs join best on best.wid = k >> 32 and best.rank = pairs.rank),
+     odd as (select * from (select *, row_number() over (partition by island order by i) as nth from hit) where nth % 2 = 1),
+     stop as (select wid, min(i) as i from odd join risky on token = odd.rank
+              where (exists (from merges m where m.l = odd.rank and m.r in (odd.after, odd.rank) and m.rank < odd.rank)
+                     or exists (from merges m where m.l = odd.before and m.r = odd.rank and m.rank < odd.rank)) group by wid),
+     taken as (select odd.i from odd left join stop using (wid) where stop.i is null or odd.i <= stop.i)
+     select step + 1, k, case when t.i is not null then pairs.rank else tok end
+     from pairs join best on best.wid = k >> 32 left join taken t on t.i = pairs.i left join taken u on u.i = pairs.i - 1
+     where u.i is null)
+)
+select k >> 32 as wid, k & 4294967295 as pos, k, tok, step
+from st join (select k >> 32 as w, max(step) as last_step from st group by 1) f on f.w = k >> 32 and f.last_step = step
+"""
+
 #: Ids and decoded bytes of each new word, as hex, in token order.
 WORD_SQL = """
 insert into known
@@ -80,15 +116,18 @@ class DuckBpe:
         self.known_words = known_words
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": "",
                                                      "preserve_insertion_order": False})
-        left, right, rank = [], [], []
+        left, right, rank, risky = [], [], [], set()
         for token, r in self.ranks.items():
             for k in range(1, len(token)):
                 a, b = self.ranks.get(token[:k]), self.ranks.get(token[k:])
+                risky.update(x for x in (a, b) if x is not None and x > r)
                 if a is not None and b is not None:
                     left.append(a)
                     right.append(b)
                     rank.append(r)
         self._table("merges", l=pa.array(left, pa.int32()), r=pa.array(right, pa.int32()), rank=pa.array(rank, pa.int32()))
+        self._table("risky", token=pa.array(sorted(risky), pa.int32()))
+        self.finder = None  # of tokens in long words, made when the first one comes
         self._table("vocabulary", id=pa.array(self.ranks.values(), pa.int32()),
                     le=pa.array([r.to_bytes(4, "little").hex() for r in self.ranks.values()]),
                     bytes_hex=pa.array([t.hex() for t in self.ranks]))
@@ -104,18 +143,41 @@ class DuckBpe:
         self.db.unregister("arrow_in")
 
     def _forget(self) -> None:
-        self.word_id: dict[str, int] = {}
+        self.word_id: dict[str | bytes, int] = {}  # words, and parts of long words as bytes
         self._do("create or replace table known(wid integer, ids_hex varchar, text_hex varchar)")
 
-    def _learn(self, words: list[str]) -> None:
+    def _parts(self, word: str) -> list[str | bytes]:
+        """The word, or its parts where it is long: cut at the places that no token of the vocabulary spans."""
+        raw = word.encode()
+        if len(raw) <= LONG_WORD or raw in self.ranks:
+            return [word]
+        if self.finder is None:
+            import ahocorasick
+            self.finder = ahocorasick.Automaton()
+            for token in self.ranks:
+                if len(token) > 1:
+                    self.finder.add_word(token.decode("latin-1"), len(token))
+            self.finder.make_automaton()
+        spanned = np.zeros(len(raw) + 2, dtype=np.int64)
+        longest: dict[int, int] = {}
+        for end, n in self.finder.iter(raw.decode("latin-1")):
+            if n > longest.get(end, 0):
+                longest[end] = n
+        ends, sizes = np.fromiter(longest, dtype=np.int64, count=len(longest)), np.fromiter(longest.values(), dtype=np.int64, count=len(longest))
+        np.add.at(spanned, ends - sizes + 2, 1)
+        np.add.at(spanned, ends + 1, -1)
+        cuts = [0, *(np.flatnonzero(np.cumsum(spanned)[1:len(raw)] == 0) + 1).tolist(), len(raw)]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, words: list[str | bytes]) -> None:
         """Encode new words into ``known``."""
         first = len(self.word_id)
         whole_w, whole_t, split_w, split_b = [], [], [], []
         for wid, word in enumerate(words, first):
             self.word_id[word] = wid
-            raw = word.encode()
+            raw = word if isinstance(word, bytes) else word.encode()
             r = self.ranks.get(raw)
-            if r is None:
+            if r is None or raw is word and len(raw) > 1:  # a part of a word is merged like any other bytes
                 split_w.append(wid)
                 split_b.append(raw)
             else:  # the library takes a word of the vocabulary as it is
@@ -125,25 +187,28 @@ class DuckBpe:
             self.db.register("arrow_in", pa.table({"wid": pa.array(whole_w, pa.int32()), "tok": pa.array(whole_t, pa.int32())}))
             self._do(WORD_SQL.format(rows="(select wid, 0 as pos, tok from arrow_in)", ended="true"))
             self.db.unregister("arrow_in")
-        at = 0
-        while at < len(split_w):
-            to, size = at, 0
-            while to < len(split_w) and (to == at or size + len(split_b[to]) <= NEW_BYTES):
-                size += len(split_b[to])
-                to += 1
-            self._merge(split_w[at:to], split_b[at:to])
-            at = to
-
-    def _merge(self, wids: list[int], raws: list[bytes]) -> None:
+        for long in (False, True):
+            mine = [(w, b) for w, b in zip(split_w, split_b) if (len(b) > LONG_PART) == long]
+            at = 0
+            while at < len(mine):
+                to, size = at, 0
+                while to < len(mine) and (to == at or size + len(mine[to][1]) <= NEW_BYTES):
+                    size += len(mine[to][1])
+                    to += 1
+                self._merge([w for w, _ in mine[at:to]], [b for _, b in mine[at:to]], *((MERGE_ALL_SQL, LONG_STEPS) if long else (MERGE_SQL, STEPS)))
+                at = to
+
+    def _merge(self, wids: list[int], raws: list[bytes], sql: str, steps: int) -> None:
+        self._do(f"set memory_limit = '{LONG_MEMORY if sql is MERGE_ALL_SQL else MEMORY}'")
         n = np.array([len(r) for r in raws], dtype=np.int64)
         data = np.frombuffer(b"".join(raws), dtype=np.uint8)
         pos = np.arange(len(data), dtype=np.int64) - np.repeat(np.cumsum(n) - n, n)
         self._table("pending", k=pa.array((np.repeat(np.array(wids, dtype=np.int64), n) << 32) | pos),
                     tok=pa.array(self.byte_id[data]))
         while True:
-            self._do(f"create or replace table merged as {MERGE_SQL.replace('$steps', str(STEPS))}")
-            self._do(WORD_SQL.format(rows="merged", ended=f"step < {STEPS}"))
-            self._do("create or replace table pending as select k, tok from merged where step = ?", [STEPS])
+            self._do(f"create or replace table merged as {sql.replace('$steps', str(steps))}")
+            self._do(WORD_SQL.format(rows="merged", ended=f"step < {steps}"))
+            self._do("create or replace table pending as select k, tok from merged where step = ?", [steps])
             if not self._do("select count(*) from pending")[0][0]:
                 return
 
@@ -152,6 +217,7 @@ class DuckBpe:
         if len(self.word_id) > self.known_words:
             self._forget()
         split = [self.pattern.findall(t) for t in texts]
+        split = [words if max(map(len, words), default=0) * 4 <= LONG_WORD else [x for w in words for x in self._parts(w)] for words in split]
         new = dict.fromkeys(w for words in split for w in words if w not in self.word_id)
         if new:
             self._learn(list(new))
