@@ -48,7 +48,7 @@ _JOINT = r"(?:\r?\n|(?:\\r)?\\n)[ \t]*"
 #: Places where DER can begin (0x30 and a length), and the first bytes of an OpenSSH key.
 BASE64_START = re.compile(r"M[A-T](?=[A-Za-z0-9+/_-])|b3BlbnNz")
 HEX_START = re.compile(r"30(?=[0-9A-Fa-f])|6[Ff]70656[Ee]")
-_BASE64_PIECE = re.compile(rf"({_JOINT})?((?:[A-Za-z0-9+/_]|-(?!----))+)")  # an END line is no part of a key
+_BASE64_PIECE = re.compile(rf"({_JOINT})?((?:[A-Za-z0-9+/_]++|-(?!----))+)")  # an END line is no part of a key
 _HEX_PIECE = re.compile(rf"({_JOINT})?([0-9A-Fa-f]+)")
 #: Least length of a key that is text in base64 and of one in hex.
 LEAST_BASE64, LEAST_HEX = 40, 64
@@ -184,6 +184,41 @@ def _der_size(read: Callable[[int, int], bytes | None]) -> int | None:
     return at + n if at < len(head) and head[at] in (0x02, 0x30) else None
 
 
+def _may_be_key(read: Callable[[int, int], bytes | None], n: int) -> bool:
+    """Whether the heads of the first parts fit a private key of ``n`` bytes; no part is read for it.
+
+    Every key that :func:`is_private_der` confirms passes.
+    """
+    def item(at: int) -> tuple[int, int, int] | None:
+        head = read(at, min(at + 6, n))
+        if head is None or len(head) < 2:
+            return None
+        k = head[1] & 0x7F if head[1] >= 0x80 else 0
+        if head[1] >= 0x80 and (not 1 <= k <= 4 or len(head) < 2 + k):
+            return None
+        size = int.from_bytes(head[2:2 + k], "big") if k else head[1]
+        return (head[0], at + 2 + k, at + 2 + k + size) if at + 2 + k + size <= n else None
+
+    top = item(0)
+    first = None if top is None else item(top[1])
+    second = None if first is None or first[2] >= n else item(first[2])
+    if second is None:
+        return False
+    if first[0] == 0x30:  # encrypted PKCS#8
+        return second[0] == 0x04 and second[2] == n
+    if first[0] != 0x02 or first[2] - first[1] != 1 or read(first[1], first[2]) not in (b"\0", b"\1"):
+        return False
+    if second[0] == 0x04:
+        return True
+    wanted, at = {0x30: [0x04], 0x02: [0x02] * 4}.get(second[0], [0]), second[2]
+    for tag in wanted:
+        part = item(at) if at < n else None
+        if part is None or part[0] != tag:
+            return False
+        at = part[2]
+    return True
+
+
 class Letters:
     """The letters of a wrapped text from a place on, read no further than they are asked for."""
 
@@ -237,7 +272,7 @@ def _key_at(text: str, at: int, piece: re.Pattern[str]) -> tuple[int, str] | Non
     size = 2 * n if in_hex else -(-8 * n // 6)
     if size < (LEAST_HEX if in_hex else LEAST_BASE64):
         return None
-    if kind == "der" and not is_private_der(read(0, n) or b""):
+    if kind == "der" and not (_may_be_key(read, n) and is_private_der(read(0, n) or b"")):
         return None
     end = letters.place(size)
     if not in_hex:
@@ -248,10 +283,18 @@ def _key_at(text: str, at: int, piece: re.Pattern[str]) -> tuple[int, str] | Non
 def _keys(text: str, start: re.Pattern[str], piece: re.Pattern[str], covered: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
     """Keys that begin where ``start`` matches, outside the covered ranges and outside each other."""
     out: list[tuple[int, int, str]] = []
+    apart: list[tuple[int, int]] = []
+    for a, b in sorted(covered):
+        if apart and a < apart[-1][1]:
+            apart[-1] = (apart[-1][0], max(b, apart[-1][1]))
+        else:
+            apart.append((a, b))
+    begins = [a for a, _ in apart]
     m = start.search(text)
     while m is not None:
         at = m.start()
-        found = None if any(a <= at < b for a, b in covered) else _key_at(text, at, piece)
+        i = bisect_right(begins, at) - 1
+        found = None if i >= 0 and at < apart[i][1] else _key_at(text, at, piece)
         if found is not None:
             out.append((at, *found))
         m = start.search(text, at + 1 if found is None else found[0])
