@@ -4,7 +4,8 @@ A byte-level BPE with the word pattern of these vocabularies never joins a token
 follows a non-space.  A text may therefore be cut before each such space, and the units encoded
 separately: the ids are those of the whole text.  Units repeat, so a worker keeps a bounded table of
 them.  The pattern's words in new units are encoded by the library, many in one string; the byte lengths
-of the ids tell where each word ends.  Texts with other white space than blanks and line ends go to the library as a whole.
+of the ids tell where each word ends.  Texts with other white space than blanks and line ends, or with a special token's
+string, go to the library as a whole.
 """
 
 from __future__ import annotations
@@ -47,7 +48,8 @@ class Ids:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one Spark task, one core
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: texts that hold a special token's string go to the library whole, which gives the token's id
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.lib.get_added_tokens_decoder().values()) or r"(?!)")
         self.table: dict[str, bytes] = {}  # of units
         self.words: dict[str, bytes] = {}  # of the pattern's words inside new units
         self.table_size = table_size
@@ -102,7 +104,7 @@ class Ids:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if _ODD_SPACE.search(text):
+            if _ODD_SPACE.search(text) or self.special.search(text):
                 odd.append(i)
             else:
                 cut[i] = _units(text)
