@@ -7,8 +7,8 @@ is a licence file: it governs its directory.  Files without a header of their ow
 the nearest ancestor directory that has a licence file, found by joins on directory paths.
 
 A header is compared as a whole, and so are its parts: runs of its lines and sentences without the copyright
-lines, the names it states a licence by, and its SPDX tag, whose expression counts as it stands.  A file is
-compared as a whole with full licence texts.  A whole file comes before parts, then the highest cosine.
+lines.  A file is compared as a whole with full licence texts.  A whole file comes before parts, then the highest
+cosine.  Only where no cosine reaches the threshold does a file take the licence that it states by name or SPDX tag.
 
 All of it is DataFrame code.  The templates are a fixed list; only they are broadcast.
 
@@ -190,7 +190,9 @@ NAMES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "unlicense"),
     ("Zlib", "zlib license"),
 )
-STATED = (r"(?:^| )(?<!not )(?:licen[cs]ed|released|distributed|available|published|provided|covered|governed)(?: [a-z]+){0,3}? "
+DENIED = (r"\b(?:not|never|neither|nor|isn|wasn|aren|competitors?)((?: [a-z0-9]+){0,4}?) "
+          r"(?:licen[cs]ed|released|distributed|available|published|provided|covered|governed)\b")
+STATED = (r"(?:^| )(?:licen[cs]ed|released|distributed|available|published|provided|covered|governed)(?: [a-z]+){0,3}? "
           r"(?:under|by)(?: the)?(?: terms(?: and conditions)? of)?(?: the| an?)?(?: gnu)? (?:NAME)(?: |$)")
 _SPDX_ID = r"\(*[A-Za-z0-9](?:[A-Za-z0-9.:-]*[A-Za-z0-9])?\+?\)*"
 SPDX = rf"SPDX-License-Identifier:[ \t]*({_SPDX_ID}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_SPDX_ID})*)"
@@ -277,6 +279,7 @@ def windows(regions: DataFrame) -> DataFrame:
 def stated(regions: DataFrame) -> DataFrame:
     """row, block, licence, similarity, n_words of the licences that regions state by name or by SPDX tag."""
     bare = F.array_join(F.expr(f"regexp_extract_all(lower(header), '{WORD}', 0)"), " ")
+    bare = F.regexp_replace(bare, DENIED, "denied$1")  # "never released under" states nothing
 
     def found(licence: Column, said: Column) -> Column:
         return F.struct(licence.alias("licence"), F.lit(1.0).alias("similarity"),
@@ -339,15 +342,16 @@ def best_templates(blocks: DataFrame, keys: tuple[str, ...] = ("row", "block"),
 
 
 def best_parts(regions: DataFrame) -> DataFrame:
-    """row, licence, similarity, n_words of the best part or statement of each region."""
+    """row, licence, similarity, n_words, said of each region's best part; of a statement (``said``) where no part counts."""
     parts = windows(regions)
     extra = parts.groupBy("row", "block").agg(F.max("extra").alias("extra"))
     near = (best_templates(parts, ("row", "block", "part")).join(extra, ["row", "block"])
             .select("row", "block", "licence", "similarity", (F.col("n_words") + F.col("extra")).alias("n_words")))
-    best = F.min_by(F.struct("licence", "similarity"), F.struct((-F.col("similarity")).alias("s"), F.col("licence")))
+    order = F.struct("said", (-F.col("similarity")).alias("s"), F.col("licence"))
+    best = F.min_by(F.struct("licence", "similarity", "said"), order)
     words = F.max_by("n_words", F.struct("similarity", "n_words"))
-    return (near.unionByName(stated(regions)).groupBy("row", "block").agg(best.alias("best"), words.alias("n_words"))
-            .select("row", "best.*", "n_words"))
+    both = near.withColumn("said", F.lit(False)).unionByName(stated(regions).withColumn("said", F.lit(True)))
+    return both.groupBy("row", "block").agg(best.alias("best"), words.alias("n_words")).select("row", "best.*", "n_words")
 
 
 def scan_licences(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -361,13 +365,13 @@ def scan_licences(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     shape = ("row", "licence", "similarity", "n_words")
     found = written(
         best_templates(headers(held_texts)).select(*shape, F.lit(1).alias("by"))
-        .unionByName(best_parts(regions).select(*shape, F.lit(2).alias("by")))
+        .unionByName(best_parts(regions).select(*shape, F.when(F.col("said"), 3).otherwise(2).alias("by")))
         .unionByName(best_templates(held_texts.select("row", F.col("t").alias("header")), ("row",), full_texts(), FULL_THRESHOLD)
                      .select(*shape, F.lit(0).alias("by"))), "licence-headers")
-    by_words = [F.sum(F.when(F.col("by") == k, F.col("n_words"))) for k in range(3)]  # the same words may be found by each
+    by_words = [F.sum(F.when(F.least("by", F.lit(2)) == k, F.col("n_words"))) for k in range(3)]  # the same words may be found by each
     per_row = found.groupBy("row").agg(
-        F.min_by(F.struct("licence", "similarity"), F.struct((F.col("by") > 0).alias("part"), (-F.col("similarity")).alias("s"),
-                                                             F.col("licence"))).alias("own"),
+        F.min_by(F.struct("licence", "similarity"), F.struct((F.col("by") > 0).alias("part"), (F.col("by") == 3).alias("said"),
+                                                             (-F.col("similarity")).alias("s"), F.col("licence"))).alias("own"),
         F.greatest(*by_words).alias("licence_words"))
     size = F.expr(f"size(regexp_extract_all(lower(t), '{WORD}', 0))")
     files = numbered.select("row", "key", "path", F.when(F.col("t").isNotNull(), size).alias("n_words"))

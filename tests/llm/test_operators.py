@@ -381,3 +381,16 @@ def test_pages(spark):
     assert by[200] == by[201] == "" and by[202] == "just text" and by[203].startswith("cut off here")
     assert by[204] == ("long " * 20000).strip()
     assert html_text.extract_pages(frame.limit(0)).count() == 0
+
+
+def test_cosine_before_names(spark):
+    """A notice that the cosine finds outranks licences named beside it; a name that is denied counts for nothing."""
+    mit = dict(licences.full_texts())["MIT"]
+    texts = {"a": (mit + "\nParts are released under the Apache License 2.0", "MIT"),
+             "b": ("We never said this is distributed under the GPL version 2", None),
+             "c": ("Our competitor's tool is licensed under the MIT License", None),
+             "d": ("Released under the Apache License 2.0", "Apache-2.0"),
+             "e": ("x = 1  # SPDX-License-Identifier: MPL-2.0", "MPL-2.0")}
+    frame = spark.createDataFrame([(i, f"/{k}/x.py", t) for i, (k, (t, _)) in enumerate(texts.items())], "doc_id long, path string, text string")
+    by = {r["path"][1]: r["licence"] for r in licences.scan_licences(frame, "path").collect()}
+    assert by == {k: want for k, (_, want) in texts.items()}
