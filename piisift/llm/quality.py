@@ -133,6 +133,30 @@ def judge(measured: DataFrame) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_failed") & F.col("strict_failed")))
 
 
+#: Places that a host's undecided rows are dealt to.
+SALTS = 32
+
+
+def verdicts(measured: DataFrame) -> DataFrame:
+    """``measured`` plus base_failed, strict_failed and kept, as :func:`judge` gives them.
+
+    A row that meets the strict rules, or fails the base rules, is judged by itself and stays in its task; only the others
+    are joined to the failing hosts, and a host's rows are dealt to ``SALTS`` places there.
+    """
+    rows = measured.withColumn("base_failed", base_failed()).withColumn("strict_failed", strict_failed())
+    hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("strict_failed").cast("long")).alias("failed"))
+    hosts = written(hosts, "quality-hosts")
+    alpha, beta = beta_prior(hosts)
+    rate = (F.col("failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))
+    failing = hosts.filter(rate > HOST_LIMIT).select("host", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"),
+                                                     F.lit(True).alias("__fails"))
+    asks = F.col("strict_failed") & ~F.col("base_failed")
+    sure = rows.filter(~asks).withColumn("kept", ~F.col("base_failed"))
+    salt = F.pmod(F.xxhash64("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.monotonically_increasing_id()), F.lit(SALTS))
+    asked = rows.filter(asks).withColumn("__salt", salt.cast("int")).join(failing, ["host", "__salt"], "left")
+    return sure.unionByName(asked.withColumn("kept", F.col("__fails").isNull()).drop("__salt", "__fails"))
+
+
 def host_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """Measures and verdict of every document (see :func:`judge`)."""
     return judge(written(measure_documents(docs, key, text, host), "quality"))
@@ -153,7 +177,7 @@ def keep_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", hos
 
     fields = ", ".join(f"{o} {f.dataType.simpleString()}" for o, f in zip(own, docs.schema.fields))
     measured = written(docs.mapInArrow(run, f"{fields}, host string, {MEASURES}"), "quality-rows")
-    return judge(measured).filter("kept").select(*(F.col(o).alias(c) for o, c in zip(own, docs.columns)))
+    return verdicts(measured).filter("kept").select(*(F.col(o).alias(c) for o, c in zip(own, docs.columns)))
 
 
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -161,7 +185,8 @@ COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_rep
 
 def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdicts of every document."""
-    return host_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(*COLUMNS)
+    measured = written(measure_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), "quality")
+    return verdicts(measured).select(*COLUMNS)
 
 
 _WS = r"[\x20\x09-\x0D]+"
