@@ -7,7 +7,8 @@ training word counts with its posterior weight.  A text's score is its marginal
 spell its words in pieces, summed by a forward recursion in log space, and one end.
 
 Words do not overlap in the lattice (a piece never spans white space), so a text's probability is the
-product over its words, and each distinct word is solved once, on Spark, whatever its count.  Frequent
+product over its words, and each distinct word is solved once, on Spark, whatever its count, thousands of
+words at a time (:class:`Lattice`).  Frequent
 words (a bounded table) are scored where the text is read; all other words are shuffled once per document
 and word and joined to the word table, which therefore may grow with the corpus.
 
@@ -38,6 +39,8 @@ FREQUENT_WORDS = 100_000
 PASSES = 2
 #: Distinct words gathered in a task before they are handed on.
 GATHERED = 200_000
+#: Words whose lattices are solved together.
+WORDS_AT_ONCE = 8192
 SMOOTHING = 0.1
 SPACE = "▁"  # how sentencepiece writes the blank before a word
 LN10 = math.log(10.0)
@@ -64,6 +67,11 @@ class Pieces:
         self.n = len(scores)  # the end is piece n
         self.longest = max(map(len, self.index), default=1)
         self.heads = {p[:k] for p in self.index for k in range(1, len(p))}
+        nodes = {p: i for i, p in enumerate(sorted({"", *self.heads, *self.index}))}
+        edges = sorted((nodes[p[:-1]] << 21 | ord(p[-1]), i, self.index.get(p, -1)) for p, i in nodes.items() if p)
+        #: The pieces as a tree: (node, character) pairs in order, the node each leads to, and the piece it is.
+        self.keys, self.to, self.piece = (np.array(c, dtype=np.int64) for c in zip(*edges))
+        self.root = nodes[""]
         order = np.argsort(np.argsort(-np.array(scores), kind="stable"), kind="stable")
         start = np.append(1.0 / (order + 10.0), 1.0 / (self.n + 10.0))  # Zipf's law over the file's order
         self.start = np.log(start / start.sum())
@@ -157,6 +165,88 @@ def _add_expected_log(n: int, arcs: list, logp: list[float], count: float, out:
         tails[a].append(p + beta[b])
 
 
+#: Longest word that is solved together with others.
+TOGETHER = 64
+
+
+class Lattice:
+    """The lattices of many words at once: arcs in groups of equal start (from the word's) and length.
+
+    Words with characters that have no piece, and very long ones, are left to :func:`forward` (``rest``).
+    """
+
+    def __init__(self, pieces: Pieces, words: list[str]):
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+        short = np.flatnonzero(size <= TOGETHER)
+        texts = [SPACE + words[i] for i in short.tolist()]
+        size = size[short]
+        first = np.cumsum(size) - size
+        chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        word = np.repeat(np.arange(len(short)), size)
+        end = np.repeat(first + size, size)
+        at, node, starts, lengths, ids = np.arange(len(chars)), np.full(len(chars), pieces.root), [], [], []
+        alone = np.zeros(len(short), dtype=bool)  # words with a character that has no piece
+        for n in range(1, pieces.longest + 1):
+            fits = at + n <= end[at]
+            at, node = at[fits], node[fits]
+            if not len(at):
+                break
+            key = node << 21 | chars[at + n - 1]
+            j = np.minimum(np.searchsorted(pieces.keys, key), len(pieces.keys) - 1)
+            known = pieces.keys[j] == key
+            if n == 1:
+                single = known & (pieces.piece[j] >= 0)
+                alone[word[at[~single]]] = True
+            at, j = at[known], j[known]
+            node = pieces.to[j]
+            hit = pieces.piece[j] >= 0
+            starts.append(at[hit])
+            lengths.append(np.full(int(hit.sum()), n))
+            ids.append(pieces.piece[j[hit]])
+        start, length, self.ids = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (starts, lengths, ids))
+        group = (start - first[word[start]]) * 64 + length
+        by = np.argsort(group.astype(np.int16), kind="stable")
+        start, length, self.ids, group = start[by], length[by], self.ids[by], group[by]
+        self.source = start + word[start]  # a word of n characters has n + 1 places
+        self.target = self.source + length
+        cuts = np.flatnonzero(np.diff(group)) + 1
+        self.groups = [slice(a, b) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)]) if b > a]
+        self.begin = first + np.arange(len(short))
+        self.last = self.begin + size
+        self.places = int(size.sum()) + len(short)
+        self.taken = short[~alone]  # words solved here, in order
+        self.solved = ~alone
+        self.rest = np.setdiff1d(np.arange(len(words)), self.taken)
+
+    def _alpha(self, weight: np.ndarray) -> np.ndarray:
+        """Log probability of all spellings up to each place (words of one group never share a place)."""
+        alpha = np.full(self.places, -np.inf)
+        alpha[self.begin] = 0.0
+        for g in self.groups:
+            to = self.target[g]
+            alpha[to] = np.logaddexp(alpha[to], alpha[self.source[g]] + weight[g])
+        return alpha
+
+    def scores(self, logp: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of each word taken."""
+        return self._alpha(logp[self.ids])[self.last][self.solved]
+
+    def add_expected(self, logp: np.ndarray, counts: np.ndarray, out: np.ndarray) -> None:
+        """Add the expected uses of each piece in ``counts`` occurrences of the words taken."""
+        weight = logp[self.ids]
+        alpha = self._alpha(weight)
+        beta = np.full(self.places, -np.inf)
+        times = np.zeros(len(self.last))
+        times[self.solved] = counts
+        with np.errstate(divide="ignore"):
+            beta[self.last] = np.log(times) - np.where(np.isfinite(alpha[self.last]), alpha[self.last], 0.0)
+        for g in reversed(self.groups):
+            at = self.source[g]
+            beta[at] = np.logaddexp(beta[at], beta[self.target[g]] + weight[g])
+        uses = np.exp(alpha[self.source] + weight + beta[self.target])
+        out += np.bincount(self.ids, np.nan_to_num(uses, nan=0.0), len(out))
+
+
 _PIECES: dict[str, Pieces] = {}
 
 
@@ -208,14 +298,19 @@ def fit(words: DataFrame, ends: int, path: str, passes: int = PASSES) -> np.ndar
         now = logp.tolist()
 
         def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            own, prob = pieces_of(path), [math.exp(x) for x in now]
-            out = [0.0] * (own.n + 1)
-            for b in batches:
-                for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    add_expected(own, now, prob, w, c, out)
-            used = [i for i, x in enumerate(out) if x]
-            yield pa.record_batch([pa.array(used, pa.int32()), pa.array([out[i] for i in used], pa.float64())],
-                                  ["piece", "uses"])
+            own, prob, log = pieces_of(path), [math.exp(x) for x in now], np.array(now)
+            total = np.zeros(own.n + 1)
+            for b in slices(batches, WORDS_AT_ONCE):
+                words, counts = b.column(0).to_pylist(), b.column(1).to_numpy()
+                lattice = Lattice(own, words)
+                lattice.add_expected(log, counts[lattice.taken], total)
+                out = [0.0] * (own.n + 1) if len(lattice.rest) else None
+                for i in lattice.rest.tolist():
+                    add_expected(own, now, prob, words[i], int(counts[i]), out)
+                if out is not None:
+                    total += out
+            used = np.flatnonzero(total)
+            yield pa.record_batch([pa.array(used, pa.int32()), pa.array(total[used], pa.float64())], ["piece", "uses"])
 
         uses = np.full(pieces.n + 1, SMOOTHING)  # every piece stays possible
         uses[pieces.n] += ends
@@ -240,12 +335,16 @@ def score_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str =
     now = logp.tolist()
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pieces_of(path)
-        for b in batches:
+        own, log = pieces_of(path), np.array(now)
+        for b in slices(batches, WORDS_AT_ONCE):
             word, c = b.column(0).to_pylist(), b.column(1).to_pylist()
+            lattice, scores = Lattice(own, word), np.zeros(len(word))
+            scores[lattice.taken] = lattice.scores(log)
+            for i in lattice.rest.tolist():
+                scores[i] = word_score(own, now, word[i])
             yield pa.record_batch([b.column(0), b.column(1), b.column(2),
                                    pa.array([math.log10(x + 0.1) - below for x in c], pa.float64()),
-                                   pa.array([word_score(own, now, w) / LN10 for w in word], pa.float64())],
+                                   pa.array(scores / LN10, pa.float64())],
                                   ["word", "c", "n", "base", "lp"])
 
     solved = written(words.select("word", "c", "n").mapInArrow(solve, "word string, c long, n long, base double, lp double"),
