@@ -217,7 +217,9 @@ class DuckBpe:
         if len(self.word_id) > self.known_words:
             self._forget()
         split = [self.pattern.findall(t) for t in texts]
-        split = [words if max(map(len, words), default=0) * 4 <= LONG_WORD else [x for w in words for x in self._parts(w)] for words in split]
+        most = LONG_WORD // 4  # a character has four bytes at most
+        split = [[x for w in words for x in (self._parts(w) if len(w) > most else (w,))] if max(map(len, words), default=0) > most else words
+                 for words in split]
         new = dict.fromkeys(w for words in split for w in words if w not in self.word_id)
         if new:
             self._learn(list(new))
