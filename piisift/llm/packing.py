@@ -5,7 +5,8 @@ and then the first piece is the short one.  Packing needs the lengths alone, so
 ``size`` lengths is counted by Spark and planned on the driver: longest first, each gap is looked up in
 an index of single lengths, of pair sums and of triple sums, and a combination that fills the gap exactly
 is used as often as its counts allow; where none exists, the longest length that fits goes in and the
-smaller gap is looked up again (best fit).  The plan is a list of patterns with multiplicities; each step
+smaller gap is looked up again (best fit).  Of a few plans that differ in the widest gap that pairs and
+triples may fill, the one of fewest sequences is taken.  The plan is a list of patterns with multiplicities; each step
 uses up the count of at least one length, so the plan is bounded by ``size``, whatever the number of rows.
 
 Pieces take their places by rank within their length.  Ranks come from salted counts: no length, however
@@ -70,61 +71,66 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
             .withColumnRenamed("key", key))
 
 
-def _pair(gap: int, c: np.ndarray, even: bool) -> list[int] | None:
-    """Two available lengths that sum to the gap: the most even or the most uneven pair."""
-    a = np.arange(1, gap // 2 + 1)
-    ok = (c[a] > 0) & (c[gap - a] > 0)
-    if gap % 2 == 0 and len(a):
-        ok[-1] = c[gap // 2] > 1
-    hit = np.flatnonzero(ok)
-    if not len(hit):
-        return None
-    small = int(a[hit[-1 if even else 0]])
-    return [gap - small, small]
+class SumIndex:
+    """Pairs and triples of available lengths by their sum.
 
+    A sum's combinations are listed when it is first looked up; lengths are only ever used up, so later look-ups
+    drop those that hold a length that has run out.
+    """
 
-def _triple(gap: int, c: np.ndarray, even: bool) -> list[int] | None:
-    """Three available lengths that sum to the gap, the longest part as long as can be."""
-    for x in np.flatnonzero(c[:max(0, gap - 1)])[::-1].tolist():
-        if 3 * x < gap:
-            break
-        c[x] -= 1
-        two = _pair(gap - x, c, even)
-        c[x] += 1
-        if two:
-            return [x, *two]
-    return None
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
+        self.found: dict[tuple[int, int], np.ndarray] = {}
 
+    def _listed(self, total: int, parts: int) -> np.ndarray:
+        free = np.flatnonzero(self.counts[:total])
+        if parts == 2:
+            rest = total - free
+            ok = (rest <= free) & (self.counts[rest] > 0)
+            return np.stack([free[ok], rest[ok]], axis=1).astype(np.int32)
+        x, y = free[:, None], free[None, :]
+        rest = total - x - y
+        i, j = np.nonzero((y <= x) & (rest <= y) & (rest > 0) & (self.counts[np.maximum(rest, 0)] > 0))
+        return np.stack([free[i], free[j], rest[i, j]], axis=1).astype(np.int32)
 
-def exact_fill(gap: int, c: np.ndarray, parts: int, even: bool) -> list[int] | None:
-    """Available lengths that fill the gap exactly: a single, else a pair, else a triple (up to ``parts``)."""
-    if c[gap] > 0:
-        return [gap]
-    return (parts > 1 and _pair(gap, c, even)) or (parts > 2 and _triple(gap, c, even)) or None
+    def take(self, total: int, parts: int, c: np.ndarray) -> list[int] | None:
+        """The combination of ``parts`` lengths, available under ``c``, with the longest length; ties by the next."""
+        rows = self.found.get((total, parts))
+        rows = self._listed(total, parts) if rows is None else rows[(self.counts[rows] > 0).all(axis=1)]
+        self.found[total, parts] = rows
+        need = (rows[:, :, None] == rows[:, None, :]).sum(axis=2)  # a length may stand in it more than once
+        rows = rows[(c[rows] >= need).all(axis=1)]
+        return rows[np.lexsort(rows.T[::-1])[-1]].tolist() if len(rows) else None
 
 
-#: Orders of look-up that are planned: most parts of a combination, and whether pairs are even.  Which one
-#: leaves the least room depends on the lengths; planning costs little, so all are and the best is taken.
-ORDERS = ((3, False), (3, True), (2, True), (1, True))
+def exact_fill(gap: int, c: np.ndarray, index: SumIndex) -> list[int] | None:
+    """Available lengths that fill the gap exactly: a single, else a pair, else a triple."""
+    return [gap] if c[gap] > 0 else index.take(gap, 2, c) or index.take(gap, 3, c)
+
+
+#: Widest gaps, as parts of a sequence, that pairs and triples may fill; in a wider one without a single the best
+#: fitting length goes first, which spares short lengths.  Which of them leaves the least room depends on the
+#: lengths; planning costs little, so all are planned and the fewest sequences taken.
+WIDEST = (1, 4, 8)
 
 
 def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[list[int], int]]:
-    """[(lengths of a sequence, how many such sequences)] for all pieces of the histogram, fewest of ``ORDERS``."""
-    return min((_plan(histogram, size, *order) for order in ORDERS), key=lambda p: sum(times for _, times in p))
+    """[(lengths of a sequence, how many such sequences)] for all pieces of the histogram, fewest of ``WIDEST``."""
+    return min((_plan(histogram, size, size // part) for part in WIDEST), key=lambda p: sum(times for _, times in p))
 
 
-def _plan(histogram: dict[int, int], size: int, parts: int, even: bool) -> list[tuple[list[int], int]]:
+def _plan(histogram: dict[int, int], size: int, widest: int) -> list[tuple[list[int], int]]:
     counts = np.zeros(size + 1, dtype=np.int64)
     for length, n in histogram.items():
         counts[length] += n
-    out = []
+    out, index = [], SumIndex(counts)
     for first in range(size, 0, -1):
         while counts[first] > 0:
             pattern, c = [first], counts.copy()
             c[first] -= 1
             gap = size - first
             while gap:
-                combo = exact_fill(gap, c, parts, even)
+                combo = exact_fill(gap, c, index) if gap <= widest or c[gap] > 0 else None
                 if combo is None:
                     fit = np.flatnonzero(c[:gap + 1])
                     if not len(fit):

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import itertools
 import json
 import random
 import re
@@ -38,7 +39,10 @@ def library():
 
 
 def test_ids_equal_the_library(ids):
-    assert ids.encode(TEXTS) == ids._whole(TEXTS)
+    from tokenizers import Tokenizer
+    fresh = Tokenizer.from_file(JSON_VOCAB)
+    want = [np.array(fresh.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in TEXTS]
+    assert ids.encode(TEXTS) == want
 
 
 @settings(max_examples=60, deadline=None)
@@ -354,3 +358,31 @@ def test_page_text_prefers_the_article_and_keeps_its_own_header():
 
 def test_digest_helpers_agree():
     assert hashlib.md5(b" ".join(near.words_of(" a\tb \n"))).hexdigest() == hashlib.md5(b"a b").hexdigest()
+
+
+def test_sum_index_finds_every_available_combination():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        counts = rng.integers(0, 3, 31).astype(np.int64)
+        counts[0] = 0
+        index = packing.SumIndex(counts)
+        for _ in range(3):  # lengths run out between look-ups
+            for total in range(1, 31):
+                for parts in (2, 3):
+                    want = [c for c in itertools.combinations_with_replacement(range(30, 0, -1), parts)
+                            if sum(c) == total and all(counts[x] >= c.count(x) for x in c)]
+                    got = index.take(total, parts, counts)
+                    assert got == (list(max(want)) if want else None)
+            counts[rng.integers(1, 31, 4)] = 0
+
+
+def test_plans_use_every_piece_once_whatever_the_widest_gap():
+    rng = np.random.default_rng(6)
+    lengths = {int(x): int(n) for x, n in zip(rng.integers(1, 129, 40), rng.integers(1, 50, 40))}
+    for part in packing.WIDEST:
+        used = {}
+        for pattern, times in packing._plan(lengths, 128, 128 // part):
+            assert sum(pattern) <= 128
+            for x in pattern:
+                used[x] = used.get(x, 0) + times
+        assert used == lengths
