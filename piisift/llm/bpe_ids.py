@@ -71,29 +71,21 @@ class Ids:
         return [np.array(e.ids, dtype="<u4").tobytes()
                 for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_words(self, words: list[str]) -> None:
-        """Encode new words of the pattern; those that begin with a blank may stand side by side."""
-        joined = [w for w in words if w[0] == " " and len(w) > 1 and not w[1].isspace()]
-        alone = [w for w in words if not (w[0] == " " and len(w) > 1 and not w[1].isspace())]
+    def _learn(self, units: list[str]) -> None:
+        """Encode new units; those that begin with white space and end without may stand side by side."""
+        joined = [u for u in units if u[0] in " \n" and u[-1] not in " \n"]
+        alone = [u for u in units if u[0] not in " \n" or u[-1] in " \n"]
         for at in range(0, len(joined), 2000):
             part = joined[at:at + 2000]
-            ids = np.array(self.lib.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.cumsum(self.length[ids])
-            cut = np.searchsorted(ends, np.cumsum([len(w.encode()) for w in part])) + 1
+            text = "".join(part)
+            ids = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            sizes = map(len, part) if text.isascii() else [len(u.encode()) for u in part]
+            cut = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(np.fromiter(sizes, np.int64, len(part)))) + 1
             raw, before = ids.tobytes(), 0
-            for w, to in zip(part, (cut * 4).tolist()):
-                self.words[w] = raw[before:to]
+            for u, to in zip(part, (cut * 4).tolist()):
+                self.table[u] = raw[before:to]
                 before = to
-        self.words.update(zip(alone, self._whole(alone)))
-
-    def _learn(self, units: list[str]) -> None:
-        if len(self.words) > self.table_size:
-            self.words.clear()
-        split = [self.pattern.findall(u) for u in units]
-        self._learn_words(list({w for words in split for w in words if w not in self.words}))
-        get = self.words.__getitem__
-        for u, words in zip(units, split):
-            self.table[u] = get(words[0]) if len(words) == 1 else b"".join(map(get, words))
+        self.table.update(zip(alone, self._whole(alone)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:

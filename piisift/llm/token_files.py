@@ -6,9 +6,10 @@ arrays: 64-bit frame offsets, 32-bit frame lengths, 32-bit id counts), the docum
 ``MAGIC`` again.  A reader takes the tail, then seeks to any document without touching the others.
 The dictionary lies beside the shards; a reader refuses a shard whose hash names another one.
 
-``write_token_files`` orders documents by key over range partitions; each task writes one shard under a
-name of its own attempt, and the row index (Parquet, committed by Spark) names the shards that count,
-so a task that is lost or run twice leaves no trace in the result.
+``write_token_files`` encodes and compresses documents where they are read and stores the frames in the
+shared folder.  Only frames are then ordered by key, over ranges as many as the input has splits; each task
+writes one shard under a name of its own attempt, and the row index (Parquet, committed by Spark) names the
+shards that count, so a task that is lost or run twice leaves no trace in the result.
 
 Defined cases: null text is empty; an empty text has the end id alone; null keys come first; rows with
 equal keys are all kept, in the order of their texts' hashes; an empty table gives no shard and no row;
@@ -28,11 +29,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe_ids import ids_for
-from .common import scratch, slices, store_of, table, text_of
+from .common import by_range, scratch, slices, store_of, table, text_of, written
 
 MAGIC = b"TOKIDS01"
-#: Documents whose ids train the dictionary, and the most bytes taken of each.  The dictionary changes
-#: sizes only, never ids; the sample is the rows of smallest key hash.
+#: Documents whose ids train the dictionary, and the most bytes taken of each, from a hashed place of its text.
+#: The dictionary changes sizes only, never ids; the sample is the rows of smallest key hash.
 SAMPLE_DOCS, SAMPLE_BYTES = 512, 16_384
 DICT_BYTES = 65_536
 
@@ -66,10 +67,13 @@ class ShardWriter:
         self.at += len(data)
 
     def add(self, ids: bytes) -> int:
-        frame = self.press.compress(ids)
+        return self.add_frame(self.press.compress(ids), len(ids) // 4)
+
+    def add_frame(self, frame: bytes, n_tokens: int) -> int:
+        """A document's compressed ids; its place in the shard."""
         self.offsets.append(self.at)
         self.sizes.append(len(frame))
-        self.counts.append(len(ids) // 4)
+        self.counts.append(n_tokens)
         self._put(frame)
         return len(self.offsets) - 1
 
@@ -116,8 +120,11 @@ def _sample(docs: DataFrame, key: str, text: str, path: str) -> list[bytes]:
             ids = ids_for(path).encode(b.column(0).to_pylist())
             yield pa.record_batch([pa.array([x[:SAMPLE_BYTES] for x in ids], pa.binary())], ["ids"])
 
-    # the sample only looks for common byte runs, so a head of each text serves
-    few = (docs.select(F.substring(text_of(text), 1, 4 * SAMPLE_BYTES).alias("t"), F.xxhash64(key).alias("h"))
+    # the sample only looks for common byte runs, so a piece of each text serves
+    size = 4 * SAMPLE_BYTES
+    place = F.pmod("p", F.greatest(F.length("t") - size, F.lit(0)) + 1) + 1
+    few = (docs.select(text_of(text).alias("t"), F.xxhash64(F.lit("place"), key).alias("p"), F.xxhash64(key).alias("h"))
+           .select(F.substring("t", place.cast("int"), F.lit(size)).alias("t"), "h")
            .orderBy("h").limit(SAMPLE_DOCS).select("t"))
     return [bytes(r[0]) for r in few.mapInArrow(encode, "ids binary").collect()]
 
@@ -135,6 +142,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, key: str = "
     end = int(end_id).to_bytes(4, "little")
     key_type = docs.schema[key].dataType
 
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, _ = _codec(dictionary)
+        for b in slices(batches):
+            ids = [x + end for x in ids_for(tokenizer).encode(b.column(2).to_pylist())]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(map(press.compress, ids), pa.binary()),
+                                   pa.array([len(x) // 4 for x in ids], pa.int64())], ["key", "h", "frame", "n_tokens"])
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, total = None, 0
         for b in slices(batches):
@@ -142,20 +156,20 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, key: str = "
                 name = f"shard-{uuid.uuid4().hex}.tok"  # of this attempt alone
                 store, where = store_of(folder)
                 writer = ShardWriter(store.open_output_stream(f"{where}/{name}"), dictionary)
-            ids = [x + end for x in ids_for(tokenizer).encode(b.column(1).to_pylist())]
-            n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            n = b.column(2).to_numpy()
             starts = total + np.cumsum(n) - n
             total += int(n.sum())
-            ordinals = [writer.add(x) for x in ids]
-            yield pa.record_batch([b.column(0), pa.array([name] * len(ids)), pa.array(ordinals, pa.int64()),
-                                   b.column(2), pa.array(starts), pa.array(n)],
+            ordinals = [writer.add_frame(x, k) for x, k in zip(b.column(1).to_pylist(), n.tolist())]
+            yield pa.record_batch([b.column(0), pa.array([name] * len(n)), pa.array(ordinals, pa.int64()),
+                                   b.column(3), pa.array(starts), b.column(2)],
                                   ["key", "shard", "ordinal", "part", "local_start", "n_tokens"])
         if writer is not None:
             writer.close()
 
-    ordered = (docs.select(F.col(key).alias("key"), text_of(text).alias("t"))
-               .repartitionByRange("key").sortWithinPartitions("key", F.xxhash64("t"))
-               .select("key", "t", F.spark_partition_id().cast("long").alias("part")))
+    rows = docs.select(F.col(key).alias("key"), text_of(text).alias("t")).select("key", F.xxhash64("t").alias("h"), "t")
+    frames = written(rows.mapInArrow(compress, f"key {key_type.simpleString()}, h long, frame binary, n_tokens long"), "frames")
+    ordered = (by_range(frames, "key").sortWithinPartitions("key", "h")
+               .select("key", "frame", "n_tokens", F.spark_partition_id().cast("long").alias("part")))
     schema = f"key {key_type.simpleString()}, shard string, ordinal long, part long, local_start long, n_tokens long"
     ordered.mapInArrow(write, schema).write.parquet(f"{folder}/index")
     index = spark.read.schema(schema).parquet(f"{folder}/index")
