@@ -7,8 +7,9 @@ its capacity is split by one more bit, the others stay, until none is overfull.
 keys, so a text with many copies takes one place.  Texts that share a key without being equal are chained:
 their bytes are compared, and each gets its own link.
 
-All of it is DataFrame code.  Copies meet map-side first (a group of a third of all rows sends one row per
-task), texts are shuffled only where a key occurs twice, and neither directory nor index visits the driver.
+All of it is DataFrame code.  Copies meet map-side first, by their bytes: a group of a third of all rows sends
+one row per task, each distinct text is shuffled once, and from there on only keys and digests move.  Neither
+directory nor index visits the driver.
 
 Defined cases: null text counts as empty, so null and empty texts are one group; the row with the smallest
 key column stays, and of rows with equal texts and equal ids all are members and each such row is marked
@@ -68,21 +69,15 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", capaci
     rows = docs.select(F.col(key).alias("key"), normalised(text).alias("norm"))
     hashed = rows.withColumn("h", F.xxhash64("norm"))
     entries = written(hashed.select("key", "h", F.sha2("norm", 256).alias("text_sha256")), "entries")
-    keys = written(entries.groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("keep_id"),
-                                            F.min("text_sha256").alias("text_sha256")), "keys")
-    placed = directory(keys, capacity).withColumn("bucket", bucket_of())
-    alone = placed.filter("n = 1").select("bucket", "depth", "h", F.lit(1).alias("link"), "text_sha256",
-                                          "keep_id", F.lit(1).cast("long").alias("group_size"))
-    shared = placed.filter("n > 1").select("bucket", "depth", "h")
-    # rows whose key occurs again bring their text; equal bytes make one row per task before the shuffle
-    again = entries.join(shared, "h", "left_semi").select("h").distinct()
-    texts = (hashed.join(again, "h", "left_semi").groupBy("h", "norm")
-             .agg(F.min("key").alias("keep_id"), F.count("*").alias("group_size")))
-    chain = W.partitionBy("h").orderBy(F.col("keep_id").asc_nulls_last(), "norm")
-    links = (texts.join(shared, "h").withColumn("link", F.row_number().over(chain))
-             .select("bucket", "depth", "h", "link", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"))
+    # equal bytes make one row per task before the shuffle, and none of the text goes on after it
+    texts = written(hashed.groupBy("h", "norm").agg(F.min("key").alias("keep_id"), F.count("*").alias("group_size"))
+                    .select("h", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"), "texts")
+    placed = directory(written(texts.select("h").distinct(), "keys"), capacity).withColumn("bucket", bucket_of())
+    chain = W.partitionBy("h").orderBy(F.col("keep_id").asc_nulls_last(), "text_sha256")
+    links = (texts.join(placed, "h").withColumn("link", F.row_number().over(chain))
+             .select("bucket", "depth", "h", "link", "text_sha256", "keep_id", "group_size"))
     # owner tasks: each writes whole ranges of keys
-    index = alone.unionByName(links).repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h", "link")
+    index = links.repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h", "link")
     return entries, written(index, "index")
 
 
