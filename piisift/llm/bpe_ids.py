@@ -3,8 +3,8 @@
 A byte-level BPE with the word pattern of these vocabularies never joins a token across a space that
 follows a non-space.  A text may therefore be cut before each such space, and the units encoded
 separately: the ids are those of the whole text.  Units repeat, so a worker keeps a bounded table of
-them.  The pattern's words in new units are encoded by the library, many in one string; the byte lengths
-of the ids tell where each word ends.  Texts with other white space than blanks and line ends, or with a special token's
+them.  New units are encoded by the library, many side by side in one string; the byte lengths of the ids
+tell where each ends.  Texts with other white space than blanks and line ends, or with a special token's
 string, go to the library as a whole.
 """
 
@@ -16,8 +16,9 @@ import re
 
 import numpy as np
 
-#: Entries kept per worker in each table before it is emptied: a bound of about 350 MB together.
-TABLE_SIZE = 1_000_000
+#: Entries of a worker's table before a new one is begun; the one before is kept beside it, so that units which come
+#: again are not encoded again: a bound of about 350 MB together.
+TABLE_SIZE = 700_000
 
 _ODD_SPACE = re.compile(r"[^\S \n]")  # Python's \s covers Unicode White_Space
 _UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -30,10 +31,6 @@ def _units(text: str) -> list[str]:
     return text.replace(" ", "\0 ").split("\0")  # a cut before each blank is enough
 
 
-#: Fixed: the word pattern built into the library's byte-level pre-tokenizer.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
 def _byte_of_char() -> dict[str, int]:
     """The printable stand-ins of byte-level vocabularies, by their published rule."""
     keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -51,7 +48,7 @@ class Ids:
         #: texts that hold a special token's string go to the library whole, which gives the token's id
         self.special = re.compile("|".join(re.escape(t.content) for t in self.lib.get_added_tokens_decoder().values()) or r"(?!)")
         self.table: dict[str, bytes] = {}  # of units
-        self.words: dict[str, bytes] = {}  # of the pattern's words inside new units
+        self.before: dict[str, bytes] = {}  # the table before this one
         self.table_size = table_size
         with open(path, encoding="utf-8") as fh:
             spec = json.load(fh)
@@ -61,9 +58,6 @@ class Ids:
                      and spec.get("normalizer") is None)
         self.length = np.zeros(max(self.lib.get_vocab(with_added_tokens=True).values()) + 1, dtype=np.int64)
         byte = _byte_of_char()
-        if self.cuts:
-            import regex
-            self.pattern = regex.compile(WORD_PATTERN)
         for word, i in self.lib.get_vocab(with_added_tokens=False).items():
             self.length[i] = sum(1 for c in word if c in byte)
 
@@ -91,7 +85,7 @@ class Ids:
         if not self.cuts:
             return self._whole(texts)
         if len(self.table) > self.table_size:
-            self.table.clear()
+            self.before, self.table = self.table, {}
         table, out, cut, odd = self.table, [b""] * len(texts), {}, []
         for i, text in enumerate(texts):
             if not text:
@@ -104,7 +98,11 @@ class Ids:
         for units in cut.values():
             new.update(units)
         new.discard("")
-        self._learn([u for u in new if u not in table])
+        fresh = [u for u in new if u not in table]
+        if self.before:
+            table.update((u, self.before[u]) for u in fresh if u in self.before)
+            fresh = [u for u in fresh if u not in table]
+        self._learn(fresh)
         table[""] = b""
         for i, units in cut.items():
             out[i] = b"".join(map(table.__getitem__, units))
