@@ -9,14 +9,20 @@ Only the live counters hold state — one row per group.
 
 from __future__ import annotations
 
-from typing import Sequence
+import hashlib
+import os
+import re
+import uuid
+from typing import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import summary
 from ..operators.detect import scan
+from ..session import shared_dir
 
 
 def read_texts(spark: SparkSession, path: str, schema, fmt: str = "parquet",
@@ -139,30 +145,127 @@ def read_text_files(spark: SparkSession, root: str, glob: str | None = "*.[tT][x
 
 
 BINARY_FILE_SCHEMA = ("path string, modificationTime timestamp, length long, content binary")
+#: Names of a part of a ledger, files of a task that reads them, and bytes of a batch of contents.
+FILES_PER_PART, FILES_PER_TASK, BATCH_BYTES = 1000, 2000, 32 << 20
+
+
+def _mounted(path: str) -> str | None:
+    """The path on a mounted file system; None on any other."""
+    local = re.sub("^file:(//)?", "", path)
+    return None if "://" in local else os.path.abspath(local)
+
+
+def land_files(spark: SparkSession, root: str, files_per_part: int = FILES_PER_PART) -> tuple[str, int, int] | None:
+    """Record the files that are new under ``root`` in its ledger, a table of names in the shared folder.
+
+    Executors list the tree and join it with the ledger, so neither the driver nor a checkpoint ever holds a name.  New
+    names become visible together, by one rename; of two listings at a time the later one looks again.  Returns the
+    ledger's folder, and the number and bytes of the files to expect in it; None where the ledger cannot be kept.
+    """
+    from ..sources.files import balance, list_files
+    from ..sources.paths import ScanConfig, ScanOptions
+    place, key = _mounted(root), f"{root.rstrip('/')}|{files_per_part}"
+    ledger = _mounted(shared_dir(spark, "landed", hashlib.sha256(key.encode()).hexdigest()[:32]))
+    if place is None or ledger is None:
+        return None
+    os.makedirs(ledger, exist_ok=True)
+    listed = list_files(spark, [place], ScanOptions(follow_symbolic_links=True), ScanConfig(excluded_folder_names=()))
+    # names that Spark's file sources leave out as well
+    listed = listed.filter(~F.col("rel_path").rlike(r"(^|/)(\.|_(?!metadata|common_metadata|[^/]*=))|\._COPYING_$"))
+    listed = listed.select("path", "size_bytes")
+    while True:
+        number = len(os.listdir(ledger))
+        known = spark.read.schema("path string, size_bytes long").option("recursiveFileLookup", True).parquet(ledger)
+        new = listed.join(known, "path", "left_anti") if number else listed
+        new = new.checkpoint() if number else new
+        files, size = new.agg(F.count(F.lit(1)), F.sum("size_bytes")).first()
+        if not files:
+            files, size = known.agg(F.count(F.lit(1)), F.sum("size_bytes")).first()
+            return ledger, files, size or 0
+        part = shared_dir(spark, "landing", uuid.uuid4().hex)
+        balance(new, files_per_part).write.option("maxRecordsPerFile", files_per_part).parquet(part)
+        try:
+            os.rename(_mounted(part), f"{ledger}/part-{number}")
+            return ledger, files, size or 0
+        except OSError:
+            if not os.path.exists(f"{ledger}/part-{number}"):
+                raise
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: names -> names, times and bytes; a file that is gone by now gives no row."""
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        path, at, data = zip(*rows)
+        return pa.record_batch([pa.array(path, pa.string()), pa.array(at, pa.int64()), pa.array(data, pa.binary())],
+                               ["path", "at", "content"])
+
+    for b in batches:
+        rows, size = [], 0
+        for path in b.column(0).to_pylist():
+            try:
+                with open(path, "rb") as fh:
+                    rows.append((path, os.fstat(fh.fileno()).st_mtime_ns // 1_000_000, fh.read()))
+            except FileNotFoundError:
+                continue
+            size += len(rows[-1][2])
+            if size >= BATCH_BYTES:
+                yield batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield batch(rows)
+
+
+def _name_matches(spark: SparkSession, name, glob: str):
+    """``glob`` as ``pathGlobFilter`` reads it."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()
+    return name.rlike(rf"\A(?s:{pattern})\z")
 
 
 def read_files(spark: SparkSession, root: str, glob: str | None = None,
                max_files_per_trigger: int | None = None) -> DataFrame:
-    """A stream of files landing anywhere under ``root`` with their bytes
-    (``binaryFile`` source): path, rel_path, file_name, extension, size_bytes,
-    modified, content.  Each new file is read once per checkpoint."""
+    """A stream of files landing anywhere under ``root`` with their bytes: path, rel_path, file_name, extension,
+    size_bytes, modified, content.  Each new file is read once per checkpoint.
+
+    On a mounted file system the stream follows the ledger of ``land_files``: this call records what is new, and a
+    stream that runs on reads what later calls of ``land_files`` record.  Elsewhere it is Spark's ``binaryFile``
+    source, whose driver lists the tree and keeps every name.
+    """
     from ..sources.paths import extension_of
-    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    df = reader.load(root)
+    per_part = min(FILES_PER_PART, max_files_per_trigger or FILES_PER_PART)
+    landed = land_files(spark, root, per_part)
+    if landed is None:
+        df = _read_binary(spark, root, glob, max_files_per_trigger)
+    else:
+        ledger, files, size = landed
+        # a part is a file of the stream; parts never grow old
+        reader = (spark.readStream.schema("path string").option("recursiveFileLookup", True).option("maxFileAge", "36500d"))
+        if max_files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", max(1, max_files_per_trigger // per_part))
+        names = reader.parquet(ledger)
+        if glob:
+            names = names.filter(_name_matches(spark, F.substring_index("path", "/", -1), glob))
+        tasks = max(spark.sparkContext.defaultParallelism, -(-files // FILES_PER_TASK), -(-size // (128 << 20)))
+        read = names.repartition(min(tasks, max(files, 1))).mapInArrow(_contents, "path string, at long, content binary")
+        df = read.select(F.concat(F.lit("file:"), "path").alias("path"), F.timestamp_millis("at").alias("modificationTime"),
+                         F.octet_length("content").cast("long").alias("length"), "content")
     name = F.substring_index(F.col("path"), "/", -1)
-    base = root.rstrip("/")
+    base = root.rstrip("/") if landed is None else _mounted(root)
     rel = F.regexp_replace(F.regexp_replace(F.col("path"), "^file:", ""), "^" + _re_quote(base) + "/", "")
     return df.select("path", rel.alias("rel_path"), name.alias("file_name"), extension_of(name).alias("extension"),
                      F.col("length").alias("size_bytes"), F.col("modificationTime").cast("timestamp_ntz")
                      .alias("modified"), "content")
 
 
+def _read_binary(spark: SparkSession, root: str, glob: str | None, max_files_per_trigger: int | None) -> DataFrame:
+    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("recursiveFileLookup", True)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.load(root)
+
+
 def _re_quote(s: str) -> str:
-    import re
     return re.escape(s)
 
 
