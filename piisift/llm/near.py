@@ -6,12 +6,12 @@ bucket only if they share these k-mers and their order, which makes the sketch s
 similarity, not just to common words.
 
 Texts of equal words are one text from the start.  In a bucket, each text is compared with the bucket's
-hub, the text that meets most others.  In buckets that then still hold several components, each text is
-compared with the next hub and with its neighbour of another component in the order of the next minima,
-where the most similar texts lie side by side, and so on: the number of comparisons grows with the members
-of buckets, not with their square.  A comparison aligns the two k-mer sequences inside the band that the threshold allows; the
-similarity is shared k-mers of the alignment over all k-mers of both, and from ``SIMILARITY`` on they are
-linked.  Linked texts form components; the rounds end when ``QUIET_ROUNDS`` in a row find no link.
+hub, the text that meets most others.  A comparison aligns the two k-mer sequences inside the band that the
+threshold allows; the similarity is shared k-mers of the alignment over all k-mers of both, and from
+``SIMILARITY`` on they are linked.  Linked texts form components.  Where a bucket then still holds several,
+every pair of its texts that lie in different components is compared as well, but for those that cannot reach the
+similarity by their length or their rarest k-mers (``remaining_pairs``): the components are those of all pairs of
+a bucket, and pairs inside a component, which would not change them, are never made.
 
 Defined cases: null text is empty; empty texts are equal to each other; texts of under five words are one
 k-mer, so only equal words link them; of a group, the text with the smallest key stays (the smaller digest
@@ -22,11 +22,12 @@ table gives no row; other columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import slices, table, text_of, written
@@ -184,59 +185,88 @@ def sketch_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
         run, f"key {key_type}, digest binary, buckets array<struct<b:bigint,f:bigint>>")
 
 
-#: The comparisons end after so many rounds without a link.
-QUIET_ROUNDS = 2
+#: Candidates of a text that are aligned first, those that share most k-mers.
+FIRST = 4
+#: K-mers of texts that a task keeps between comparisons.
+KMERS_HELD = 500_000
 
 
 def _ordered(a: str, b: str):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def next_hubs(members: DataFrame, used: DataFrame | None) -> DataFrame:
-    """b, hub, hub_comp: of each bucket the member that meets most others and was not its hub yet."""
-    free = members if used is None else members.join(used.withColumnRenamed("hub", "digest"), ["b", "digest"], "left_anti")
-    return (free.groupBy("b")
-            .agg(F.max_by(F.struct(F.col("digest").alias("hub"), F.col("comp").alias("hub_comp")),
-                          F.struct("reach", "digest")).alias("h")).select("b", "h.*"))
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """a, b: each member of a bucket with its hub, the member that meets most others.  Linear in the members."""
+    hubs = members.groupBy("b").agg(F.max_by("digest", F.struct("reach", "digest")).alias("hub"))
+    return members.join(hubs, "b").filter("digest <> hub").select(*_ordered("digest", "hub")).distinct()
 
 
-def candidate_pairs(members: DataFrame, hubs: DataFrame, neighbours_too: bool) -> DataFrame:
-    """a, b: each member of a bucket with its hub, and with its neighbour of another component.
+def prefix_length(n: int, at_least: float = SIMILARITY) -> int:
+    """Of the n k-mers of a text, in any order that all texts share, a text that reaches the similarity holds one of so
+    many first ones, as it holds ``at_least`` of them all."""
+    return n - math.ceil(at_least * n - 1e-9) + 1
 
-    ``members``: b (bucket), f (order), digest, comp.  Linear in the members.
+
+def text_kmers(texts: DataFrame) -> DataFrame:
+    """digest, comp, n (k-mers of the text), budget (its prefix's length), k: one row per k-mer of a text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found = [labelled(shingles(words_of(t))).view(np.int64) for t in b.column(2).to_pylist()]
+            size = [len(h) for h in found]
+            flat = pa.array(np.concatenate(found) if found else np.zeros(0, dtype=np.int64), pa.int64())
+            ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), pa.int32())
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(size, pa.int32()),
+                                   pa.array([prefix_length(n) for n in size], pa.int32()), pa.ListArray.from_arrays(ends, flat)],
+                                  ["digest", "comp", "n", "budget", "ks"])
+
+    kmers = texts.select("digest", "comp", "t").mapInArrow(run, "digest binary, comp binary, n int, budget int, ks array<bigint>")
+    return kmers.select("digest", "comp", "n", "budget", F.explode("ks").alias("k"))
+
+
+def remaining_pairs(texts: DataFrame) -> DataFrame:
+    """x, y, shared: every pair of texts of different components that can reach the similarity.
+
+    ``texts``: digest, comp, t.  Exact: pairs that share none of the rarest k-mers of either (``prefix_length`` of them),
+    or differ too much in length, cannot reach it.  In the group of a k-mer only texts outside its largest component
+    look for partners, so a group that is one component but for a few texts costs these few times its members.
     """
-    star = members.join(hubs, "b").filter("comp <> hub_comp").select(*_ordered("digest", "hub"))
-    if not neighbours_too:
-        return star.distinct()
-
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket = last = last_comp = None
-        for batch in batches:
-            left, right = [], []
-            for b, digest, comp in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2))):
-                if b == bucket and comp != last_comp:
-                    left.append(min(last, digest))
-                    right.append(max(last, digest))
-                bucket, last, last_comp = b, digest, comp
-            yield pa.record_batch([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
-
-    # ranges of (bucket, order): a large bucket spreads over tasks
-    near = (members.select("b", "digest", "comp", "f").repartitionByRange("b", "f", "digest")
-            .sortWithinPartitions("b", "f", "digest").mapInArrow(neighbours, "a binary, b binary"))
-    return star.unionByName(near).distinct()
+    kmers = written(text_kmers(texts), "kmers")
+    often = kmers.groupBy("k").agg(F.count("*").alias("often"), (F.min("comp") < F.max("comp")).alias("open")).filter("often > 1")
+    common = kmers.join(often, "k")
+    # k-mers of one text only come first in its order and meet nobody
+    alone = common.groupBy("digest").agg((F.first("budget") - F.first("n") + F.count("*")).alias("left")).filter("left > 0")
+    rank = F.row_number().over(Window.partitionBy("digest").orderBy("often", "k"))
+    prefix = written(common.join(alone, "digest").withColumn("place", rank).filter("place <= left AND open")
+                     .select("digest", "comp", "n", "k"), "prefix")
+    sizes = prefix.groupBy("k", "comp").count().groupBy("k").agg(
+        F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
+    small = prefix.join(sizes, "k").filter("comp <> main").select(
+        "k", "main", F.col("digest").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"))
+    both = small.join(prefix, "k").filter("x_comp <> comp AND (comp = main OR x < digest)")
+    fits = F.least("n", "x_n") >= F.lit(SIMILARITY - 1e-9) * F.greatest("n", "x_n")
+    return both.filter(fits).groupBy("x", F.col("digest").alias("y")).agg(F.count("*").alias("shared"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose alignment reaches the similarity."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[bytes, tuple[np.ndarray, frozenset]] = {}  # bounded: emptied when it holds enough
+        held = 0
         for b in slices(batches):
-            own: dict[bytes, np.ndarray] = {}
             keep = []
-            for i, (x, y, s, t) in enumerate(zip(*(b.column(c).to_pylist() for c in range(4)))):
-                for d, text in ((x, s), (y, t)):
+            for i, ends in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                found = []
+                for c, d in enumerate(ends):
                     if d not in own:
-                        own[d] = shingles(words_of(text))
-                if similarity(own[x], own[y]):
+                        h = shingles(words_of(b.column(2 + c)[i].as_py()))
+                        if held > KMERS_HELD:
+                            own, held = {}, 0
+                        own[d], held = (h, frozenset(labelled(h).tolist())), held + len(h)
+                    found.append(own[d])
+                (h, hs), (g, gs) = found
+                both = len(hs & gs)
+                # no alignment shares more k-mers than the two multisets do
+                if both >= SIMILARITY * (len(h) + len(g) - both) and similarity(h, g):
                     keep.append(i)
             yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
@@ -274,27 +304,30 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     members = written(shared.drop("size").join(reach, "digest"), "buckets")
     texts = written(bodies.join(members.select("digest").distinct(), "digest", "left_semi")
                     .groupBy("digest").agg(F.first("t").alias("t")), "texts")
-    labels, links, tried, used, quiet = None, None, None, None, 0
-    open_members = members.withColumn("comp", F.col("digest"))
-    while quiet < QUIET_ROUNDS:
-        hubs = written(next_hubs(open_members, used), "hubs")
-        pairs = candidate_pairs(open_members, hubs, neighbours_too=used is not None)
-        if tried is not None:
+    links = written(verify(written(hub_pairs(members), "pairs"), texts), "found")
+    labels = components(links)
+    # texts of buckets that still hold several components
+    now = members.join(labels, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
+    several = now.groupBy("b").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("b")
+    open_texts = now.join(several, "b", "left_semi").select("digest", "comp").distinct()
+    rest = written(remaining_pairs(texts.join(open_texts, "digest")), "rest")
+    for first in (True, False):
+        todo = rest
+        if first:  # most links are found, and most other pairs settled, by the likeliest partners
+            todo = rest.withColumn("place", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("shared"), "y")))
+            todo = todo.filter(F.col("place") <= FIRST)
+        elif not found.isEmpty():  # the others, unless both texts are in one component by now
+            of = lambda c: labels.select(F.col("digest").alias(c), F.col("comp").alias(f"{c}_comp"))
+            todo = rest.join(of("x"), "x", "left").join(of("y"), "y", "left")
+            todo = todo.filter(F.coalesce("x_comp", "x") != F.coalesce("y_comp", "y"))
+        pairs = todo.select(*_ordered("x", "y")).distinct()
+        if not first:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        found = written(verify(pairs, texts), "found")
-        used = hubs.select("b", "hub") if used is None else used.unionByName(hubs.select("b", "hub"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if links is not None and found.isEmpty():
-            quiet += 1
-            continue
-        quiet = 0
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        # buckets that still hold several components
-        now = members.join(labels, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
-        several = now.groupBy("b").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("b")
-        open_members = written(now.join(several, "b", "left_semi"), "open")
+        tried = written(pairs, "pairs")
+        found = written(verify(tried, texts), "found")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = components(links)
     ids = rows.select("key", "digest")
     all_rows = ids.join(labels, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
     classes = all_rows.groupBy("comp").agg(

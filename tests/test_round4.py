@@ -56,3 +56,32 @@ def test_file_stream_keeps_names_off_the_driver(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 300
     log = "".join(p.read_text() for p in (cp / "sources" / "0").iterdir() if not p.name.startswith("."))
     assert log.count("parquet") and "299.txt" not in log
+
+
+def _family(rng, size, words):
+    vocabulary = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    base = [rng.choice(vocabulary) for _ in range(words)]
+    for _ in range(size):
+        copy = list(base)
+        for _ in range(rng.randint(1, 5)):
+            copy[rng.randrange(words)] = rng.choice(vocabulary)
+        yield " ".join(copy)
+
+
+def test_near_groups_find_every_link_of_large_sparse_groups(spark):
+    """Copies a few changes apart each: most pairs are below the similarity, hubs and neighbours miss links."""
+    import random
+
+    from piisift.llm import near
+    rng = random.Random(5)
+    texts = [t for _ in range(6) for t in _family(rng, 120, 100)]
+    kmers = [near.shingles(near.words_of(t)) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i - i % 120, i):
+            if label[i] != label[j] and (texts[i] == texts[j] or near.similarity(kmers[i], kmers[j])):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near.near_groups(frame).collect()}
+    assert got == dict(enumerate(label))
