@@ -85,3 +85,32 @@ def test_near_groups_find_every_link_of_large_sparse_groups(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in near.near_groups(frame).collect()}
     assert got == dict(enumerate(label))
+
+
+def test_patterns_test_the_next_character_before_a_boundary():
+    from piisift.functions.types import BY_NAME, ascii_boundaries, spelled_classes
+    assert ascii_boundaries(r"\b\d{16}") == r"(?=\d)(?<!\w)\d{16}"
+    assert ascii_boundaries(r"\b[a-z.]+@").startswith("(?=[a-z.])(?:")
+    for unsure in (r"\b\d*", r"\b[a-z]?x", r"\b(?:a|b)", r"(?i)\b[a-z]+", r"\b[^a]+"):  # the class may not come, or mean more
+        assert "(?=[" not in ascii_boundaries(unsure) and r"(?=\d)" not in ascii_boundaries(unsure)
+    assert spelled_classes("[a-c0-2.-]") == "[abc012.-]" and spelled_classes(r"\Q[a-c0-2]\E") == r"\Q[a-c0-2]\E"
+    assert "a-z" not in BY_NAME["UPI_ID"].pattern and "A-Z" not in BY_NAME["EMAIL"].pattern
+
+
+def test_checksums_of_two_digits_equal_digit_by_digit(spark):
+    from piisift.functions.checks import VERHOEFF_D, VERHOEFF_P, luhn_digits, verhoeff_digits
+
+    def luhn(d):
+        doubled = [int(x) * (1 + i % 2) for i, x in enumerate(reversed(d))]
+        return 13 <= len(d) <= 19 and sum(x - 9 if x > 9 else x for x in doubled) % 10 == 0
+
+    def verhoeff(d):
+        c = 0
+        for i, x in enumerate(reversed(d)):
+            c = int(VERHOEFF_D[c * 10 + int(VERHOEFF_P[i % 8 * 10 + int(x)])])
+        return len(d) == 12 and c == 0
+
+    values = [str((10**17 * 7 + i * 1_234_567_891) % 10**n).zfill(n) for i in range(150) for n in range(11, 21)] + ["", "0" * 12, "0" * 13]
+    rows = spark.createDataFrame([(v,) for v in values], "d string").select("d", luhn_digits(F.col("d")).alias("l"), verhoeff_digits(F.col("d")).alias("v"))
+    got = rows.collect()
+    assert all((r.l, r.v) == (luhn(r.d), verhoeff(r.d)) for r in got) and {r.l for r in got} == {r.v for r in got} == {True, False}
