@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from typing import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -30,36 +29,43 @@ class RunStates(StatefulProcessor):
         self.handle = handle
         self.held = handle.getValueState("run", STATE)
 
-    def _row(self, key, s: dict) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], s["status"], s["start"], s["ended"], s["scan_path"], s["report_path"], s["version"])],
-                            columns=[f.split()[0] for f in STATES.split(", ")]).astype(
-                                {"start_ms": "Int64", "end_ms": "Int64", "version": "Int64"})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s = dict(zip(FIELDS, self.held.get())) if self.held.exists() else {**dict.fromkeys(FIELDS), "version": 0}
-        for batch in rows:
-            for e in batch.to_dict("records"):
-                at, seq = int(pd.Timestamp(e["at"]).timestamp() * 1000), int(e["seq"])
-                s["newest"] = at if s["newest"] is None else max(s["newest"], at)
-                if e["event"] == "started":
-                    s["start"] = at if s["start"] is None else min(s["start"], at)
-                    if s["scan_seq"] is None or seq > s["scan_seq"]:
-                        s["scan_path"], s["scan_seq"] = e["scan_path"], seq
-                elif s["end_seq"] is None or seq > s["end_seq"]:
-                    done = e["event"] == "finished"
-                    s["ended"], s["end_seq"], s["report_path"] = at, seq, e["report_path"] if done else None
-                if s["status_seq"] is None or seq > s["status_seq"]:
-                    s["status"] = {"finished": "COMPLETED", "failed": "FAILED"}.get(e["event"], "RUNNING")
-                    s["status_seq"] = seq
+    def _row(self, key, s: dict) -> Row:
+        return Row(run_id=key[0], status=s["status"], start_ms=s["start"], end_ms=s["ended"], scan_path=s["scan_path"],
+                   report_path=s["report_path"], version=s["version"])
+
+    def _timer(self, s: dict) -> int | None:
+        """When the run is failed unless it speaks: the one timer of a running run."""
+        return s["newest"] + self.silence_ms if s["status"] == "RUNNING" else None
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # a call of the state's server takes longer than all else here: the timer is known without asking
+        held = self.held.get()
+        s = dict(zip(FIELDS, held)) if held is not None else {**dict.fromkeys(FIELDS), "version": 0}
+        before = self._timer(s)
+        for e in rows:
+            at, seq = e["at_ms"], int(e["seq"])
+            s["newest"] = at if s["newest"] is None else max(s["newest"], at)
+            if e["event"] == "started":
+                s["start"] = at if s["start"] is None else min(s["start"], at)
+                if s["scan_seq"] is None or seq > s["scan_seq"]:
+                    s["scan_path"], s["scan_seq"] = e["scan_path"], seq
+            elif s["end_seq"] is None or seq > s["end_seq"]:
+                done = e["event"] == "finished"
+                s["ended"], s["end_seq"], s["report_path"] = at, seq, e["report_path"] if done else None
+            if s["status_seq"] is None or seq > s["status_seq"]:
+                s["status"] = {"finished": "COMPLETED", "failed": "FAILED"}.get(e["event"], "RUNNING")
+                s["status_seq"] = seq
         s["version"] += 1
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if s["status"] == "RUNNING":
-            self.handle.registerTimer(s["newest"] + self.silence_ms)
+        after = self._timer(s)
+        if before != after:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if after is not None:
+                self.handle.registerTimer(after)
         self.held.update(tuple(s[f] for f in FIELDS))
         yield self._row(key, s)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         s = dict(zip(FIELDS, self.held.get()))
         s["status"], s["ended"], s["version"] = "FAILED", s["newest"] + self.silence_ms, s["version"] + 1
         self.held.update(tuple(s[f] for f in FIELDS))
@@ -71,8 +77,8 @@ class RunStates(StatefulProcessor):
 
 def run_changes(events: DataFrame, silence_ms: int, delay: str = "10 minutes") -> DataFrame:
     """Every state that any run takes: run_id, status, start_time, end_time, scan_path, report_path, version."""
-    timed = events.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", delay)
-    rows = timed.groupBy("run_id").transformWithStateInPandas(
+    timed = events.withColumn("at", F.col("at").cast("timestamp")).withColumn("at_ms", F.unix_millis("at"))
+    rows = timed.withWatermark("at", delay).groupBy("run_id").transformWithState(
         statefulProcessor=RunStates(silence_ms), outputStructType=STATES, outputMode="Update", timeMode="EventTime")
     return rows.select("run_id", "status", F.timestamp_millis("start_ms").alias("start_time"),
                        F.timestamp_millis("end_ms").alias("end_time"), "scan_path", "report_path", "version")
