@@ -46,10 +46,14 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return secret_scan.redact(docs, length="n_chars")
 
 
+#: Units that a worker of the packing stage keeps: it still holds what the stages before have left in its memory.
+UNITS_KEPT = 150_000
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
     ship_package(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), table_size=UNITS_KEPT)
 
 
 STAGES = [("quality", quality_stage), ("exact", exact_stage), ("near", near_stage),

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe_ids import ids_for
+from .bpe_ids import TABLE_SIZE, ids_for
 from .common import slices, table, text_of, written
 
 SIZE = 1024
@@ -37,14 +37,17 @@ SALTS, PIECES_PER_SALT = 64, 200_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 2,
-           size: int = SIZE, with_ids: bool = False) -> DataFrame:
-    """key, piece, start, length, ids_crc32 (and ids) of every piece of every document; one narrow pass."""
+           size: int = SIZE, with_ids: bool = False, table_size: int = TABLE_SIZE) -> DataFrame:
+    """key, piece, start, length, ids_crc32 (and ids) of every piece of every document; one narrow pass.
+
+    ``table_size`` bounds what a worker keeps to encode faster (``bpe_ids``); the ids do not depend on it.
+    """
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             row, piece, start, length, crc, body = [], [], [], [], [], []
-            for i, ids in enumerate(ids_for(tokenizer).encode(b.column(1).to_pylist())):
+            for i, ids in enumerate(ids_for(tokenizer, table_size).encode(b.column(1).to_pylist())):
                 ids += end
                 n = len(ids) // 4
                 bounds = [0, *range(n % size or size, n + 1, size)]
@@ -199,9 +202,9 @@ def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 2,
-                   size: int = SIZE, with_ids: bool = False) -> DataFrame:
+                   size: int = SIZE, with_ids: bool = False, table_size: int = TABLE_SIZE) -> DataFrame:
     """All pieces of all documents with their places: key, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(written(pieces(docs, tokenizer, key, text, end_id, size, with_ids), "pieces"), size)
+    return pack(written(pieces(docs, tokenizer, key, text, end_id, size, with_ids, table_size), "pieces"), size)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,7 +123,10 @@ def _sample(docs: DataFrame, key: str, text: str, path: str) -> list[bytes]:
     # the sample only looks for common byte runs, so a piece of each text serves
     size = 4 * SAMPLE_BYTES
     place = F.pmod("p", F.greatest(F.length("t") - size, F.lit(0)) + 1) + 1
-    few = (docs.select(text_of(text).alias("t"), F.xxhash64(F.lit("place"), key).alias("p"), F.xxhash64(key).alias("h"))
+    hashed = docs.withColumn("h", F.xxhash64(key))
+    # the keys alone tell which rows these are, so that no other row's text is looked at
+    last = hashed.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    few = (hashed.filter(F.col("h") <= F.lit(last)).select(text_of(text).alias("t"), F.xxhash64(F.lit("place"), key).alias("p"), "h")
            .select(F.substring("t", place.cast("int"), F.lit(size)).alias("t"), "h")
            .orderBy("h").limit(SAMPLE_DOCS).select("t"))
     return [bytes(r[0]) for r in few.mapInArrow(encode, "ids binary").collect()]

@@ -386,3 +386,19 @@ def test_plans_use_every_piece_once_whatever_the_widest_gap():
             for x in pattern:
                 used[x] = used.get(x, 0) + times
         assert used == lengths
+
+
+def test_a_worker_keeps_as_many_units_as_the_stage_allows():
+    import corpus_pipeline
+    text = " ".join(f"w{i}" for i in range(300))
+    own = bpe_ids.ids_for(JSON_VOCAB, table_size=20)
+    assert own.table_size == 20 and corpus_pipeline.UNITS_KEPT < bpe_ids.TABLE_SIZE
+    assert own.encode([text]) == own._whole([text])
+    own.encode(["a"])
+    own.encode(["b"])
+    assert len(own.table) < 20
+    assert bpe_ids.ids_for(JSON_VOCAB) is own and own.table_size == bpe_ids.TABLE_SIZE
+
+
+def test_units_end_at_line_ends_too():
+    assert bpe_ids._units("a b.\nc d") == ["a", " b.", "\nc", " d"]
