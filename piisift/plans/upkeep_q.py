@@ -108,8 +108,19 @@ _EVENTS_SQL = ("ev as (select event_id, ts, event_id as c_custkey, props, " + _D
                "where m.mark is null or date_trunc('hour', ts) + INTERVAL 1 HOUR > m.mark)")
 
 
-def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events").withColumn("c_custkey", F.col("event_id")).withColumn("delivery", F.expr(_DELIVERY))
+#: Events of a task: a file's size says little about them, as their texts are made here and compress well.
+EVENTS_PER_TASK = 50_000
+
+
+def event_tasks(spark: SparkSession, sf_dir: str) -> int:
+    rows = read_table(spark, sf_dir, "events").count()
+    return max(spark.sparkContext.defaultParallelism, -(-rows // EVENTS_PER_TASK))
+
+
+def deliveries(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events")
+    ev = ev.select("event_id", "ts", "props").repartition(tasks) if tasks else ev
+    ev = ev.withColumn("c_custkey", F.col("event_id")).withColumn("delivery", F.expr(_DELIVERY))
     return ev.select("event_id", "ts", "delivery", F.expr(_EVENT_TEXT.format(s="string")).alias("text"))
 
 
@@ -119,11 +130,12 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_windows(spark, sf_dir):
     """Findings per hour of event time and type, written once each hour closes."""
     base = _fresh(spark, "windows")
-    events = browse.stored(deliveries(spark, sf_dir), "deliveries")
+    tasks = event_tasks(spark, sf_dir)
+    events = browse.stored(deliveries(spark, sf_dir, tasks), "deliveries")
     for n in range(1, 5):
         events.filter(F.col("delivery") == n).drop("delivery").write.mode("append").parquet(f"{base}/in")
         stream = spark.readStream.schema(events.drop("delivery").schema).parquet(f"{base}/in")
-        counts = SW.windowed_findings(stream, "ts", "text", "1 hour", DELAY)
+        counts = SW.windowed_findings(stream, "ts", "text", "1 hour", DELAY, num_partitions=tasks)
         start_findings_sink(counts, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     out = spark.read.parquet(f"{base}/out")
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),

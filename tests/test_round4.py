@@ -114,3 +114,29 @@ def test_checksums_of_two_digits_equal_digit_by_digit(spark):
     rows = spark.createDataFrame([(v,) for v in values], "d string").select("d", luhn_digits(F.col("d")).alias("l"), verhoeff_digits(F.col("d")).alias("v"))
     got = rows.collect()
     assert all((r.l, r.v) == (luhn(r.d), verhoeff(r.d)) for r in got) and {r.l for r in got} == {r.v for r in got} == {True, False}
+
+
+def test_events_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    from piisift.plans import upkeep_q as U
+    rows = spark.range(400).select(F.col("id").alias("event_id"), F.lit("{}").alias("props"),
+                                   F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(id as int))").alias("ts"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(U, "EVENTS_PER_TASK", 50)
+    assert U.event_tasks(spark, str(tmp_path)) == 8
+    sizes = U.deliveries(spark, str(tmp_path), 8).groupBy(F.spark_partition_id()).count().collect()
+    assert sorted(n for _, n in sizes) == [50] * 8
+
+
+def test_document_files_are_written_a_few_texts_at_a_time(tmp_path):
+    import pyarrow as pa
+    from piisift.plans import sources_q as Q
+    n = 2 * Q.TEXTS_AT_ONCE + 2
+    batch = pa.record_batch([pa.array(["a b"] * n), pa.array([f"{i}.CSV" if i % 2 else f"{i}.txt" for i in range(n)]),
+                             pa.array([None if i == 0 else 'say "é"' for i in range(n)]), pa.array([i in (2, 3) for i in range(n)]),
+                             pa.array([1_700_000_000] * n)], list(Q.WRITTEN))
+    done = [b.column(0).to_pylist() for b in Q._writer(str(tmp_path))(iter([batch]))]
+    assert done == [[Q.TEXTS_AT_ONCE], [Q.TEXTS_AT_ONCE], [2]]
+    got = {p.name: p.read_bytes() for p in (tmp_path / "a b").iterdir()}
+    assert len(got) == n and got["0.txt"] == b"" and got["1.CSV"] == '"say ""é"""\n'.encode()
+    assert got["2.txt"] == 'say "é"'.encode() + b"\xff" and got["3.CSV"] == b'"say ""\xc3\xa9""\n'
+    assert os.stat(tmp_path / "a b" / "4.txt").st_mtime == 1_700_000_000
