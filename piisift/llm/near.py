@@ -227,23 +227,27 @@ def remaining_pairs(texts: DataFrame) -> DataFrame:
     """x, y, shared: every pair of texts of different components that can reach the similarity.
 
     ``texts``: digest, comp, t.  Exact: pairs that share none of the rarest k-mers of either (``prefix_length`` of them),
-    or differ too much in length, cannot reach it.  In the group of a k-mer only texts outside its largest component
+    or differ too much in length, cannot reach it, nor can those whose first common k-mer leaves too few behind it in the
+    order of all k-mers by rarity; a pair is met at that k-mer at least.  In the group of a k-mer only texts outside its largest component
     look for partners, so a group that is one component but for a few texts costs these few times its members.
     """
     kmers = written(text_kmers(texts), "kmers")
     often = kmers.groupBy("k").agg(F.count("*").alias("often"), (F.min("comp") < F.max("comp")).alias("open")).filter("often > 1")
     common = kmers.join(often, "k")
     # k-mers of one text only come first in its order and meet nobody
-    alone = common.groupBy("digest").agg((F.first("budget") - F.first("n") + F.count("*")).alias("left")).filter("left > 0")
+    alone = common.groupBy("digest").agg((F.first("budget") - F.first("n") + F.count("*")).alias("left"),
+                                         F.count("*").alias("met")).filter("left > 0")
     rank = F.row_number().over(Window.partitionBy("digest").orderBy("often", "k"))
     prefix = written(common.join(alone, "digest").withColumn("place", rank).filter("place <= left AND open")
-                     .select("digest", "comp", "n", "k"), "prefix")
+                     .select("digest", "comp", "n", "k", (F.col("met") - F.col("place")).alias("after")), "prefix")
     sizes = prefix.groupBy("k", "comp").count().groupBy("k").agg(
         F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
     small = prefix.join(sizes, "k").filter("comp <> main").select(
-        "k", "main", F.col("digest").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"))
+        "k", "main", F.col("digest").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"), F.col("after").alias("x_after"))
     both = small.join(prefix, "k").filter("x_comp <> comp AND (comp = main OR x < digest)")
     fits = F.least("n", "x_n") >= F.lit(SIMILARITY - 1e-9) * F.greatest("n", "x_n")
+    # shared k-mers are at least this part of the k-mers of both; at the first one, all others come after it
+    fits &= F.least("after", "x_after") + 1 >= F.lit(SIMILARITY / (1 + SIMILARITY) - 1e-9) * (F.col("n") + F.col("x_n"))
     return both.filter(fits).groupBy("x", F.col("digest").alias("y")).agg(F.count("*").alias("shared"))
 
 
